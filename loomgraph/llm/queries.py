@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, rollup, secrets, sharding, simhash, sketch, urlfilter
+from . import bpe, decontam, langid, lm, rollup, secrets, sharding, simhash, sketch, urlfilter
 from .common import crc_mod, documents, scratch_path
 
 #: The rules of the URL contract (host, path, verdict).
@@ -97,6 +97,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("_b", bpe.digests(spark, F.col("text"), *tokenizer())).select("doc_id", "_b.*")
 
 
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    got = lm.score(docs, crc_mod(F.col("doc_id"), 7) != 2)
+    return got.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = decontam.contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
@@ -106,7 +112,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_secret_scan, op4_simhash_dedup, op5_document_fingerprints, op6_token_rollup, op7_feistel_shards, op8_byte_bpe, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_secret_scan, op4_simhash_dedup, op5_document_fingerprints, op6_token_rollup, op7_feistel_shards, op8_byte_bpe, op9_katz_scores, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
