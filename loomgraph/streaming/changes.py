@@ -25,7 +25,7 @@ def classify(events: DataFrame, suffix: str = ".java") -> DataFrame:
     rows = events.select("project", "ts", "seq", F.explode(both).alias("x")).select("project", "ts", "seq", "x.*")
     keep = F.col("path").endswith(suffix)
     for folder in EXCLUDED:
-        keep = keep & ~F.col("path").contains(folder)
+        keep = keep & ~F.concat(F.lit("/"), F.col("path")).contains(folder)  # relative paths too
     return rows.where(keep)
 
 
