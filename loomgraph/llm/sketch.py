@@ -97,15 +97,16 @@ def with_edits(df: DataFrame, *, text: str = "text", key: str = "doc_id", k: int
     (beginning, sketch) of that key; a row without a key has an empty next text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    # never null, so that no filter on it sets the two readings of the exchange apart
-    at = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    docs = df.select(at.alias("at"), F.col(key).alias("key"), t.alias("text"), sketch(t, k, words).alias("sk")).repartition("at")
+    # never null, so that no filter on it sets the two readings of the exchange apart; nothing but texts is in it
+    none_key = -(2**63)
+    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(none_key)).alias("at"), t.alias("text")).repartition("at")
     need = next_in_order(df, key).withColumnRenamed(key, "key")
     wants = need.join(df.select(F.col(key).alias("key"), F.length(t).alias("n")), "key").groupBy("key", "next_key").agg(F.max("n").alias("n"))
     wants = wants.select(F.coalesce(F.col("key").cast("long"), F.lit(0)).alias("owner"), F.coalesce(F.col("next_key").cast("long"), F.lit(0)).alias("at"), F.expr("cast(n div 3 as int)").alias("need"))
-    given = docs.drop("key").join(wants, "at").select("owner", F.substring("text", F.lit(1), F.col("need")).alias("head"), F.col("sk").alias("next_sk"))
+    given = docs.join(wants, "at").select("owner", F.substring("text", F.lit(1), F.col("need")).alias("head"), sketch(F.col("text"), k, words).alias("next_sk"))
     given = given.groupBy("owner").agg(F.min(F.struct("head", "next_sk")).alias("g"))
-    out = docs.join(given, docs["at"] == given["owner"], "left").withColumn("n_chars", F.length("text").cast("long"))
+    out = docs.join(given, docs["at"] == given["owner"], "left").withColumn("n_chars", F.length("text").cast("long")).withColumn("sk", sketch(F.col("text"), k, words))
+    out = out.withColumn("key", F.nullif("at", F.lit(none_key)).cast(df.schema[key].dataType))
     third = F.expr("cast(n_chars div 3 as int)")
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int"))
     head = F.substring(F.coalesce("g.head", F.lit("")), F.lit(1), third)
