@@ -53,6 +53,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def least_picks(df: DataFrame, total: int, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df`` with the least values of ``pick`` (an even 64-bit hash), one for each value.
+
+    A filter on the hash passes about twice as many of the ``total`` rows, so what tasks hand on to the
+    final sort does not grow with their number; copies are dropped before it.
+    """
+    share = min(1.0, 2 * rows / max(total, 1))
+    top = min(2**63 - 1, -(2**63) + int(share * 2**64))
+    return df.where(F.col("pick") <= top).dropDuplicates(["pick"]).orderBy("pick").limit(rows)
+
+
 def byte_steps(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (bytes, offsets) over consecutive rows of an Arrow string array, about STEP_BYTES each.
 

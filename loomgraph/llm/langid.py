@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_steps
+from .common import byte_steps, least_picks
 
 BUCKET_BITS = 13
 SIZES = (3, 4)
@@ -119,12 +119,10 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", sampl
     ``max_labels`` labels at most are learned, the most frequent of the sample. ``false_reject`` is the share
     of calibration rows that the threshold may lose.
     """
+    known = labelled.where(F.col(label).isNotNull())
+    wanted = known.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text, label).alias("pick")).where(F.col("text").rlike(r"\p{L}"))
     rows = (
-        labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text, label).alias("pick"))
-        .where(F.col("text").rlike(r"\p{L}"))
-        .orderBy("pick")
-        .limit(sample_rows)
+        least_picks(wanted, known.count(), sample_rows)
         .repartition(12)
         .select("label", "pick", bucket_counts(F.col("text")).alias("f"))
         .select("label", "pick", "f.*")

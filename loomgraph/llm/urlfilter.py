@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, least_picks
 
 FEATURES = ("url_len", "host_len", "path_len", "depth", "labels", "digit_ratio", "entropy", "params", "hyphens", "suffix_rate")
 
@@ -183,7 +183,7 @@ def judge(df: DataFrame, rules: Sequence[Rule], *, url: str = "url", sample_rows
     else:
         labelled = split(labelled.select(F.col("url"), F.col("blocked").cast("int")).where("blocked is not null"), F.col("url"))
     fit, use = with_features(rows, labelled)
-    got = fit.select(F.xxhash64("url").alias("pick"), "blocked", *FEATURES).orderBy("pick").limit(sample_rows).toPandas()
+    got = least_picks(fit.select(F.xxhash64("url").alias("pick"), "blocked", *FEATURES), labelled.count(), sample_rows).toPandas().sort_values("pick")
     trees = fit_trees(got[list(FEATURES)].to_numpy(np.float64), got["blocked"].to_numpy(np.float64))
     score = 1 / (1 + F.exp(-trees.logit()))
     return use.select("_row.*", "host", "path", "rule", F.coalesce(by_rule, F.when(score > 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("block_score"))
