@@ -1,9 +1,16 @@
 """Text as column expressions: javadoc cleaning, search terms, query sanitising."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: a column used n times in an expression is n copies of its tree."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean_javadoc(doc: Column, limit: int = 500) -> Column:
     bare = F.regexp_replace(F.coalesce(doc, F.lit("")), r"/\*\*|\*/", "")
     lines = F.transform(F.split(bare, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^\*+", "")))
@@ -25,14 +32,20 @@ def sanitize(query: Column) -> Column:
     Short text passes. Of a longer one: the last line or sentence that ends in a question mark, else the last
     line of at least LEAST characters, else the end of the text; each cut to its last MOST characters.
     """
-    text = F.trim(F.coalesce(query, F.lit("")))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    pieces = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?。！？])\s*")))
-    asked = F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x.rlike("[?？][\"']?$") & (F.length(x) >= LEAST))
-    long = F.filter(lines, lambda x: F.length(x) >= LEAST)
     tail = lambda x: F.trim(F.when(F.length(x) > MOST, F.substring(x, -MOST, MOST)).otherwise(x))
-    last = lambda a: F.element_at(a, -1)
-    short = F.length(text) <= SAFE
-    method = F.when(short, "passthrough").when(F.size(asked) > 0, "question_extraction").when(F.size(long) > 0, "tail_sentence").otherwise("tail_truncation")
-    clean = F.when(short, text).when(F.size(asked) > 0, tail(last(asked))).when(F.size(long) > 0, tail(last(long))).otherwise(tail(text))
-    return F.struct(clean.alias("query"), method.alias("method"), F.length(text).alias("original_length"), F.length(clean).alias("clean_length"))
+    last = lambda a: let(F.element_at(a, -1), tail)
+
+    def choose(text: Column, lines: Column) -> Column:
+        pieces = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?。！？])\s*")))
+        asked = F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x.rlike("[?？][\"']?$") & (F.length(x) >= LEAST))
+        long = F.filter(lines, lambda x: F.length(x) >= LEAST)
+        said = lambda method, clean: F.struct(clean.alias("query"), F.lit(method).alias("method"))
+        otherwise = let(long, lambda b: F.when(F.size(b) > 0, said("tail_sentence", last(b))).otherwise(said("tail_truncation", tail(text))))
+        by_question = let(asked, lambda a: F.when(F.size(a) > 0, said("question_extraction", last(a))).otherwise(otherwise))
+        return F.when(F.length(text) <= SAFE, said("passthrough", text)).otherwise(by_question)
+
+    def whole(text: Column) -> Column:
+        chosen = choose(text, F.transform(F.split(text, "\n"), lambda x: F.trim(x)))
+        return let(chosen, lambda c: F.struct(c["query"].alias("query"), c["method"].alias("method"), F.length(text).alias("original_length"), F.length(c["query"]).alias("clean_length")))
+
+    return let(F.trim(F.coalesce(query, F.lit(""))), whole)

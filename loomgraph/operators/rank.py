@@ -29,33 +29,54 @@ def entry_seeds(graph: Graph) -> DataFrame:
     return graph["handles"].select(F.col("src").alias("node")).unionByName(marked).distinct()
 
 
-def pagerank(edges: DataFrame, entries: DataFrame, *, alpha: float = 0.85, boost: float = 10.0, iterations: int = 100, tolerance: float = 1e-6, every: int = 5, fixed: bool = False) -> DataFrame:
-    """(node, pagerank) by power iteration over distinct (src, dst); entries weigh ``boost`` in the restart, others 1.
-
-    Mass of nodes without outgoing edges is dealt like the restart. Stops when the total change is below nodes
-    times ``tolerance``, or after ``iterations`` (``fixed``: always that many). Each round joins the ranks with
-    the edges on the source; lineage is cut every few rounds.
-    """
+def _prepared(edges: DataFrame, entries: DataFrame, boost: float) -> tuple[DataFrame, DataFrame, int]:
+    """(nodes: node, p, deg), (edges: src, dst, deg) and the number of nodes; p is the restart, summing to one."""
     e = edges.select("src", "dst").distinct()
     nodes = union_all([e.select(F.col("src").alias("node")), e.select(F.col("dst").alias("node")), entries.select("node")]).distinct()
     nodes = nodes.join(entries.select("node", F.lit(boost).alias("w")).distinct(), "node", "left").select("node", F.coalesce("w", F.lit(1.0)).alias("w"))
     out = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
+    nodes = checkpointed(nodes.join(out, "node", "left"))
     n, weight = nodes.agg(F.count(F.lit(1)), F.sum("w")).first()
+    e = checkpointed(e.join(out.withColumnRenamed("node", "src"), "src").select("src", "dst", "deg"))
+    return nodes.select("node", (F.col("w") / F.lit(weight)).alias("p"), "deg"), e, n
+
+
+def _received(e: DataFrame, ranks: DataFrame) -> DataFrame:
+    sent = e.join(ranks.select(F.col("node").alias("src"), "r"), "src")
+    return sent.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") / F.col("deg")).alias("got"))
+
+
+def pagerank(edges: DataFrame, entries: DataFrame, *, alpha: float = 0.85, boost: float = 10.0, iterations: int = 100, tolerance: float = 1e-6, every: int = 5, fixed: bool = False) -> DataFrame:
+    """(node, pagerank) over distinct (src, dst); entries weigh ``boost`` in the restart p, others 1.
+
+    Mass of nodes without outgoing edges is dealt like the restart, so the ranks are a multiple of the solution
+    of y = alpha P y + p: rounds of that need no sum over all nodes, and on call graphs, which hardly have
+    cycles, they end after the longest chain. ``every`` rounds are one plan, then the lineage is cut and the
+    total change compared with nodes times ``tolerance``. ``fixed`` deals the lost mass in each round and does
+    exactly ``iterations`` rounds from equal ranks.
+    """
+    nodes, e, n = _prepared(edges, entries, boost)
     if not n:
         return nodes.select("node", F.lit(0.0).alias("pagerank"))
-    nodes = checkpointed(nodes.join(out, "node", "left").select("node", (F.col("w") / weight).alias("p"), "deg"))
-    e = checkpointed(e.join(out.withColumnRenamed("node", "src"), "src").select("src", "dst", "deg"))
-    ranks = nodes.select("node", "p", "deg", F.lit(1.0 / n).alias("r"))
+    if fixed:
+        return _power(nodes, e, n, alpha, iterations)
+    y = nodes.withColumn("r", F.col("p"))
     for k in range(1, iterations + 1):
-        sent = e.join(ranks.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") / F.col("deg")).alias("got"))
-        lost = ranks.where("deg is null").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
-        new = ranks.join(sent, "node", "left").select("node", "p", "deg", F.col("r").alias("old"), (alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("p")) + (1 - alpha) * F.col("p")).alias("r"))
+        y = y.join(_received(e, y), "node", "left").select("node", "p", F.col("r").alias("old"), (alpha * F.coalesce("got", F.lit(0.0)) + F.col("p")).alias("r"))
         if k % every == 0 or k == iterations:
-            new = checkpointed(new)
-            if not fixed and new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] < n * tolerance:
-                ranks = new
+            y = checkpointed(y)
+            total, change = y.agg(F.sum("r"), F.sum(F.abs(F.col("r") - F.col("old")))).first()
+            if change < n * tolerance * total:
                 break
-        ranks = new.drop("old")
+    return y.select("node", (F.col("r") / F.lit(total)).alias("pagerank"))
+
+
+def _power(nodes: DataFrame, e: DataFrame, n: int, alpha: float, iterations: int) -> DataFrame:
+    ranks = nodes.withColumn("r", F.lit(1.0 / n))
+    for _ in range(iterations):
+        lost = ranks.where("deg is null").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
+        new = ranks.join(_received(e, ranks), "node", "left")
+        ranks = checkpointed(new.select("node", "p", "deg", (alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("p")) + (1 - alpha) * F.col("p")).alias("r")))
     return ranks.select("node", F.col("r").alias("pagerank"))
 
 

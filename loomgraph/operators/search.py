@@ -220,4 +220,5 @@ def retrieve(graph: Graph, drawers: DataFrame, queries: DataFrame, *, n_results:
         hits = top(rerank(hits.join(text, "key", "left"), q, reranker, floor=floor), n_results, "rerank_score")
     near = neighbors(graph, hits.select(F.col("key").alias("fqn"))).withColumnRenamed("fqn", "key")
     out = hits.join(near, "key", "left")
+    out = out.orderBy("query_id", F.desc("rerank_score" if use_rerank else "score"), F.desc("score"), "key")
     return out.select("query_id", "key", "label", "file", "line", F.round("score", 4).alias("score"), "ranks", "callers", "callees", *(["rerank_score"] if use_rerank else []))

@@ -126,13 +126,14 @@ def test_delta_agrees_with_full(spark, tmp_path):
     assert ext[f"{name}#place(long,{S})"] is True and left["calls"].count() == 9
 
 
-@pytest.mark.skip(reason="not seen to finish: an import took over 110 s here; open, see README")
 def test_engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "store"))
     assert e.import_graph(save(document(), tmp_path / "full.json"), "ex") == 1
     assert {r.caller for r in e.callers("ex", PKG + "BaseSvc#hook()", 1).collect()} == {PKG + "BaseSvc#save(com.ex.Ent)"}
     assert e.context_stats("ex").count() == 3 and e.entry_points("ex").count() == 3
     assert e.sql("ex", "select count(*) as n from calls").first().n == 10
+    hits = e.retrieve("ex", "UserSvcImpl", 3, rerank=False).collect()
+    assert hits[0].key == PKG + "UserSvcImpl" and hits[0].label == "class"
 
 
 def test_sync_mode():
