@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, lm, rollup, secrets, sharding, simhash, sketch, urlfilter
+from . import bpe, decontam, katz, langid, rollup, secrets, sharding, simhash, sketch, urlfilter
 from .common import crc_mod, documents, scratch_path
 
 #: The rules of the URL contract (host, path, verdict).
@@ -99,7 +99,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    got = lm.score(docs, crc_mod(F.col("doc_id"), 7) != 2)
+    got = katz.score(docs, crc_mod(F.col("doc_id"), 7) != 2)
     return got.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
