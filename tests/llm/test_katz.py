@@ -74,3 +74,14 @@ def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = katz.score(docs, F.lit(False)).collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in got} == {(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)}
+
+
+def test_no_vocabulary(spark, tmp_path):
+    """More words than lm.VOCABULARY, all equally rare: what follows what still counts."""
+    per, texts = 22_000, 50
+    train = [" ".join(f"w{i}" for i in range(k * per, (k + 1) * per)) for k in range(texts)]
+    assert per * texts > lm.VOCABULARY
+    held = ids(True, 2)
+    rows = [*zip(ids(False, 2 * texts), train + train), (held[0], "w5 w6 w7 w8"), (held[1], "w8 w7 w6 w5")]
+    got = {r.doc_id: r.score for r in op9(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path) if r.held_out}
+    assert got[held[0]] > got[held[1]] + 3
