@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomgraph.llm import katz, lm, queries
@@ -85,3 +86,18 @@ def test_no_vocabulary(spark, tmp_path):
     rows = [*zip(ids(False, 2 * texts), train + train), (held[0], "w5 w6 w7 w8"), (held[1], "w8 w7 w6 w5")]
     got = {r.doc_id: r.score for r in op9(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path) if r.held_out}
     assert got[held[0]] > got[held[1]] + 3
+
+
+def test_asks_are_summed(spark):
+    """Equal (key, text) entries are one, ids travel once a block, and answers name only texts that were hit."""
+    docs = spark.createDataFrame([(1, "a b " * 20_000), *((i, "a b") for i in range(2, 500)), (500, "c")], "rid long, text string").coalesce(1)
+    rows = katz.asks(docs, 8).collect()
+    entries = sum(len(r.d) // 4 for r in rows if r.kind == 1)
+    assert entries == 7 + 498 * 6 + 4  # words, ends and pairs of each text, once
+    assert sum(len(r.a) // 8 for r in rows if r.kind == 2) == 500 and len({r.block for r in rows}) == sum(r.kind == 2 for r in rows)
+    key = int(katz.pair_keys(*(katz._mix(h) for h in next(lm.token_steps(pa.array(["a b"])))[0].reshape(2, 1)))[0].astype(np.int64))
+    table = katz.packed_values(spark.createDataFrame([(key, 0.5, 0)], "key long, v double, c long"), 8)
+    got = table.unionByName(katz.asks(docs, 8)).repartition(8, "part").sortWithinPartitions("part", "kind", "block").mapInArrow(katz._answer, katz._ANSWERS)
+    assert sum(len(r.s) // 8 for r in got.where("s is not null").collect()) == 499
+    sums = {r.rid: r.s for r in got.groupBy("block").applyInArrow(katz._gather, "rid long, n_words long, s double, base double, known long").collect()}
+    assert len(sums) == 500 and sums[1] == 10_000 and sums[2] == 0.5 and sums[500] == 0
