@@ -16,6 +16,8 @@ from ..sources.store import Graph
 from .catalog import locations, neighbors
 
 RRF_K = 60
+#: Queries that one array has, about.
+QUERY_BLOCK = 256
 #: Field weights of the text index, and the order of types in fused lists.
 WEIGHTS = {"class": {"name": 10.0}, "method": {"name": 10.0, "javadoc": 3.0, "body": 1.0}, "endpoint": {"path": 5.0}}
 TYPE_ORDER = {"class": 0, "method": 1, "endpoint": 2}
@@ -69,14 +71,21 @@ def embed(df: DataFrame, embedder: Embedder | None = None, text: str = "document
     return df.withColumn(out, (embedder or hashing_embedder())(F.col(text)))
 
 
+def query_blocks(queries: DataFrame, *fields: str) -> DataFrame:
+    """(qs): the queries' fields in arrays of about QUERY_BLOCK structs each, dealt by a hash of the id."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.struct(*fields).alias("q"))
+    return dealt.groupBy("block").agg(F.collect_list("q").alias("qs")).select("qs")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, max_distance: float = 0.0) -> DataFrame:
     """(query_id, id, distance, similarity, rank): exact top ``k`` by cosine distance of vectors (id, embedding) for queries (query_id, vector).
 
-    The queries are a stated set and travel to the vectors as one array; the per-query row_number filter keeps
-    each task's best k before the shuffle.
+    Each vector meets one block of queries at a time; the per-query row_number filter keeps each task's best k
+    before the shuffle.
     """
-    q = queries.select(F.struct("query_id", "vector").alias("q")).groupBy().agg(F.collect_list("q").alias("qs"))
-    best = vectors.select("id", "embedding", F.explode(q.scalar()).alias("q")).select(F.col("q.query_id").alias("query_id"), "id", cosine_distance(F.col("embedding"), F.col("q.vector")).alias("d"))
+    q = query_blocks(queries, "query_id", "vector")
+    best = vectors.select("id", "embedding").crossJoin(q).select("id", "embedding", F.explode("qs").alias("q")).select(F.col("q.query_id").alias("query_id"), "id", cosine_distance(F.col("embedding"), F.col("q.vector")).alias("d"))
     near = best if max_distance <= 0 else best.where(F.col("d") <= max_distance)
     w = Window.partitionBy("query_id").orderBy("d", "id")
     ranked = near.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
@@ -131,8 +140,7 @@ def route_queries(queries: DataFrame) -> DataFrame:
 def graph_direct(graph: Graph, routed: DataFrame, limit: int = 50) -> DataFrame:
     """(query_id, key, type, score, rank): what a routed query names outright.
 
-    Names are equi-joined; the parts that only ``contains`` can find test each node against the array of such
-    queries, which are a stated set.
+    What only ``contains`` can find is tested for each node against one block of such queries at a time.
     """
     h = routed.select("query_id", F.trim("query").alias("q"), "hint.*")
     nodes = union_all([
@@ -140,7 +148,7 @@ def graph_direct(graph: Graph, routed: DataFrame, limit: int = 50) -> DataFrame:
         graph["method"].select("fqn", "name", F.lit("method").alias("type"), F.col("external").isNull().alias("own")),
         graph["endpoint"].select(F.col("id").alias("fqn"), F.col("path").alias("name"), F.lit("endpoint").alias("type"), F.lit(True).alias("own")),
     ])
-    asked = h.where("kind is not null").agg(F.collect_list(F.struct("query_id", "q", "kind", "verb", "path")).alias("qs")).scalar()
+    asked = query_blocks(h.where("kind is not null"), "query_id", "q", "kind", "verb", "path")
     t, own, name, fqn = F.col("type"), F.col("own"), F.col("name"), F.col("fqn")
 
     def score(x):
@@ -153,7 +161,7 @@ def graph_direct(graph: Graph, routed: DataFrame, limit: int = 50) -> DataFrame:
             .when((x["kind"] == "name") & (t == "method") & own, part)
         )
 
-    scored = nodes.withColumn("qs", asked).select("fqn", "type", F.explode(F.filter(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), score(x).alias("score"))), lambda y: y["score"].isNotNull())).alias("h"))
+    scored = nodes.crossJoin(asked).select("fqn", "type", F.explode(F.filter(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), score(x).alias("score"))), lambda y: y["score"].isNotNull())).alias("h"))
     rows = scored.select(F.col("h.query_id").alias("query_id"), F.col("fqn").alias("key"), "type", F.col("h.score").alias("score"))
     order = F.when(t == "method", 0).when(t == "class", 1).otherwise(2)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), order, "key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -14,7 +14,11 @@ from .ingest import union_all
 
 def _names(edges: DataFrame, key: str, other: str, first: int, most: int) -> DataFrame:
     """(fqn, names): short names of the first ``first`` by call line and name, distinct, sorted, ``most`` at most."""
-    got = edges.groupBy(F.col(key).alias("fqn")).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("line", F.lit(0)).alias("l"), F.col(other).alias("o")))), 1, first).alias("x"))
+    # the row_number filter keeps each task's first rows of a key, so a method that all call is not collected
+    w = Window.partitionBy("fqn").orderBy("l", "o")
+    sites = edges.select(F.col(key).alias("fqn"), F.coalesce("line", F.lit(0)).alias("l"), F.col(other).alias("o"))
+    kept = sites.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
+    got = kept.groupBy("fqn").agg(F.array_sort(F.collect_list(F.struct("l", "o"))).alias("x"))
     short = lambda x: F.concat(ids.simple_class(ids.class_of(x["o"])), F.lit("#"), ids.method_name(x["o"]))
     return got.select("fqn", F.slice(F.array_sort(F.array_distinct(F.transform("x", short))), 1, most).alias(f"_{other}"))
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Build output and tool folders that are never watched.
 EXCLUDED = ("/build/", "/target/", "/out/", "/.gradle/", "/.idea/")
 
@@ -30,11 +32,25 @@ def classify(events: DataFrame, suffix: str = ".java") -> DataFrame:
 
 
 def debounce(changes: DataFrame, gap: str = "5 seconds") -> DataFrame:
-    """(project, start, end, changes): one row a session, with the last kind of each path, sorted. Batch or stream (with a watermark on ts)."""
-    s = changes.groupBy("project", F.session_window("ts", gap).alias("w")).agg(F.collect_list(F.struct("path", "seq", "kind")).alias("all"))
-    paths = F.array_sort(F.array_distinct(F.transform("all", lambda x: x["path"])))
-    last = lambda p: F.array_max(F.transform(F.filter("all", lambda x: x["path"] == p), lambda x: F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"))))["kind"]
-    return s.select("project", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.transform(paths, lambda p: F.struct(p.alias("path"), last(p).alias("kind"))).alias("changes"))
+    """(project, start, end, changes): one row a session, with the last kind of each path, sorted. Batch or stream (with a watermark on ts).
+
+    A batch takes the last event of each path before it collects a session's paths. A stream's state holds the
+    session's events, and its paths come from one pass over them in order.
+    """
+    w = F.session_window("ts", gap).alias("w")
+    if changes.isStreaming:
+        s = changes.groupBy("project", w).agg(F.collect_list(F.struct("path", "seq", "kind")).alias("all"))
+        last = lambda a: F.filter(a, lambda x, i: ~x["path"].eqNullSafe(F.get(a, i + 1)["path"]) | (i == F.size(a) - 1))
+        paths = F.transform(let(F.array_sort("all"), last), lambda x: F.struct(x["path"].alias("path"), x["kind"].alias("kind")))
+        return s.select("project", F.col("w.start").alias("start"), F.col("w.end").alias("end"), paths.alias("changes"))
+    # a session's first row stands before its events, which take its bounds
+    bounds = changes.groupBy("project", w).agg(F.lit(True).alias("first")).select("project", F.col("w.start").alias("ts"), F.col("w").alias("s"))
+    rows = changes.select("project", "ts", "seq", "path", "kind").unionByName(bounds, allowMissingColumns=True)
+    before = Window.partitionBy("project").orderBy("ts", F.col("s").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.withColumn("w", F.last("s", ignorenulls=True).over(before)).where("s is null")
+    each = held.groupBy("project", "w", "path").agg(F.max(F.struct("seq", "kind"))["kind"].alias("kind"))
+    s = each.groupBy("project", "w").agg(F.array_sort(F.collect_list(F.struct("path", "kind"))).alias("changes"))
+    return s.select("project", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "changes")
 
 
 def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, *, gap: str = "5 seconds", late: str = "10 minutes", **trigger):
