@@ -37,6 +37,22 @@ def graph_postings(graph: Graph) -> DataFrame:
     return union_all([postings(c, WEIGHTS["class"]), postings(m, WEIGHTS["method"]), postings(e, WEIGHTS["endpoint"])])
 
 
+def within_edits(terms: DataFrame, q: DataFrame) -> DataFrame:
+    """Terms (term, ...) joined to queries (query_id, q, edits) that are at most ``edits`` edits away; a pair may come twice.
+
+    Of the edits + 1 pieces of a query at least one is untouched, and stands in the term at most ``edits`` places off.
+    The join is on the query's length and such a piece, so the number of a term's keys depends on the edits alone.
+    """
+    cut = "cast(i * l div (edits + 1) as int)"
+    piece = f"named_struct('k', edits, 'l', l, 'i', i, 'p', substring({{text}}, {{at}} + 1, {cut.replace('i *', '(i + 1) *')} - {cut}))"
+    asked = q.withColumn("l", F.length("q")).withColumn("i", F.explode(F.expr("sequence(0, edits)"))).withColumn("key", F.expr(piece.format(text="q", at=cut)))
+    n = "length(term)"
+    places = f"transform(filter(transform(sequence(-edits, edits), s -> {cut} + s), x -> x >= 0 and x <= {n}), x -> {piece.format(text='term', at='x')})"
+    keys = F.expr(f"array_distinct(flatten(flatten(transform(sequence(greatest({n} - edits, 1), {n} + edits), l -> transform(sequence(0, edits), i -> {places})))))")
+    near = terms.crossJoin(F.broadcast(q.select("edits").distinct())).withColumn("key", F.explode(keys)).drop("edits")  # edits are one digit
+    return near.join(asked.select("key", "query_id", "q", "edits"), "key").where(F.levenshtein("term", "q") <= F.col("edits"))
+
+
 def fts_search(index: DataFrame, queries: DataFrame, limit: int = 50, documents: DataFrame | None = None) -> DataFrame:
     """(query_id, type, key, score, rank): sum of weight times ln(1 + N / df) over a query's distinct terms; N and df by type.
 
@@ -49,10 +65,10 @@ def fts_search(index: DataFrame, queries: DataFrame, limit: int = 50, documents:
     n = (documents if documents is not None else index.select("type", "key").distinct()).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
     idf = df.join(n, "type").select("type", "term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
     plain = idf.join(q.where("not prefix and edits is null").select("query_id", F.col("q").alias("term")), "term")
-    first = F.substring("term", 1, 1)  # prefix and fuzzy terms share their first letter with what they match
-    odd = idf.withColumn("f", first).join(q.where("prefix or edits is not null").withColumn("f", F.substring("q", 1, 1)), "f")
-    odd = odd.where(F.when(F.col("prefix"), F.col("term").startswith(F.col("q"))).otherwise(F.levenshtein("term", "q") <= F.col("edits"))).select("term", "type", "idf", "query_id")
-    hits = plain.select("term", "type", "idf", "query_id").unionByName(odd).distinct()
+    first = F.substring("term", 1, 1)  # prefix terms share their first letter with what they match
+    ahead = idf.withColumn("f", first).join(q.where("prefix").withColumn("f", F.substring("q", 1, 1)), "f").where(F.col("term").startswith(F.col("q")))
+    fuzzy = within_edits(idf, q.where("not prefix and edits is not null"))
+    hits = union_all([x.select("term", "type", "idf", "query_id") for x in (plain, ahead, fuzzy)]).distinct()
     scored = index.join(hits, ["type", "term"]).groupBy("query_id", "type", "key").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))  # rounded, so that equal documents tie
     w = Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "key")
     return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
