@@ -12,7 +12,8 @@ the executors in turn; marks of hit words pass from one chunk to the next, so an
 size of benchmark is searched whole. Texts are never shuffled.
 
 Defined results: null or empty text, and text without a word, has no words and no
-hits; a null or wordless item has no window; an item id that repeats counts once;
+hits; a null or wordless item has no window; an item without an id hits words but
+is no item of a document's list; an item id that repeats counts once;
 equal texts have equal results; extra columns pass through.
 """
 
@@ -70,7 +71,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 class Windows:
     """Shift tables and buckets for a set of (item id, text); at most MAX_PASS_WORDS words of windows."""
 
-    def __init__(self, items: list[tuple[str, str]]):
+    def __init__(self, items: list[tuple[str | None, str]]):
         vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
@@ -81,7 +82,7 @@ class Windows:
             for k in range(max(1, len(ids) - WINDOW + 1)) if ids else ():
                 found.setdefault(tuple(ids[k : k + WINDOW]), set()).add(item)
         self.vocabulary = sorted(vocabulary, key=vocabulary.get)
-        self.items = [sorted(v) for v in found.values()]
+        self.items = [sorted(v - {None}) for v in found.values()]
         joined = b"".join(self.vocabulary)
         lengths = np.array([len(w) for w in self.vocabulary], np.int64)
         ends = np.cumsum(lengths)
@@ -241,7 +242,7 @@ def _single(windows: Windows, text: Column) -> Column:
 def window_chunks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[Windows]:
     """Windows of the items, ``limit`` words a chunk (or one larger item)."""
     some, size = [], 0
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null")
     for r in rows.toLocalIterator():
         words = (len(r["t"]) // 2 + 1) * WINDOW
         if some and size + words > limit:
