@@ -15,6 +15,11 @@ from loomgraph.llm.common import crc_mod, documents, materialize
 from loomgraph.llm.queries import tokenizer
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """(_row, text): columns whose names an operator uses for itself wait in ``_row``."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), "text")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go; the others keep their row as it is."""
     model = langid.train(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
@@ -29,12 +34,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark's windows cover to a twentieth or more go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.contamination(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
+    return decontam.contamination(_aside(docs), benchmark).where(~F.col("contaminated")).select("_row.*", "text").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of a secret is replaced by a mark; n_chars follows the text."""
-    clean = secrets.redact(docs)
+    clean = secrets.redact(_aside(docs)).select("_row.*", "text").select(*docs.columns)
     if "n_chars" not in docs.columns:
         return clean
     length = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -55,7 +60,7 @@ STAGES = [
     ("byte-level BPE", encode_tokens),
 ]
 
-#: Trained models, hashing and merges are beyond SQL; tests compare with brute force.
+#: Trained models, hashing and merges are beyond SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
