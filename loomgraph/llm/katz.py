@@ -1,20 +1,30 @@
 """Katz backoff language model, order two, over every word and every pair of the training texts.
 
 Tokens are words of A-Z-lowered text and one end per text; the end also stands before a text's first word. Words are
-told apart by a 64-bit hash, pairs by a 64-bit hash of their words'. There is no vocabulary and no count below
-which a pair is left out.
+told apart by a 64-bit hash. There is no vocabulary and no count below which a pair is left out.
 
 * unigrams: (h, c); P1 with Good-Turing discounts, what they free is the probability of words never seen.
-* pairs: (w1, w2, n) with n >= 1. P(w2|w1) = d(n) n / c(w1) for a pair of the table, a(w1) P1(w2) for others.
+* pairs: (w1, w2, n) with n >= 1. P(w2|w1) = d(n) n / u(w1) for a pair of the table, a(w1) P1(w2) for others;
+  a(w1) makes each context sum to one.
 
-A text's score is the sum of log10 probabilities. It is that of as many unseen words, plus for each word what P1
-and the weight of backing off from it add, plus for each pair of the table what it gains over backing off. So words
-and pairs are keys of one table of values, split by key range into parts of a stated size. Texts ask it in blocks, by
-(key, text) with counts; a task reads a part's keys and then streams the asks, so that no number of asks of one part
-has to fit into memory; answers name only texts that were hit.
+A text's score is the sum of log10 probabilities, put together from three kinds of keys:
+
+* the ``head`` most frequent words are sent to all tasks, with their values; the rest are keys of a table;
+* pairs are keys of a table, split into parts of a bounded number of tokens; frequent first words are dealt to many
+  parts by their second. The pairs that make up more than one in ``HOT_PAIRS`` tokens (so no more than that) are sent
+  to all tasks as well;
+* texts ask the table in blocks, by (key, text) with counts. A task holds one part's keys and streams the asks.
+  Answers name only texts that were hit.
+
+How many words are in the head decides what travels how, and no result. A pair of two head words is one number of 40
+bits, with its text 64, so blocks sort and pack well; pairs with another word go by a 64-bit hash.
+
+In a training text every pair is in the table and what remains is sum(log d(n) n) - sum(log u(w)); another text is
+scored as if all were backed off, and gets what each pair of the table gains over that.
 
 Defined results: null text is empty and has the end token only; equal rows have equal scores; an empty training set
-gives every word the probability of an unseen one (1).
+gives every word the probability of an unseen one (1). A text of any length is one text of one block. Ties of counts
+at the end of the head are all left out of it. Other columns pass through; those with a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -23,20 +33,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .lm import EMIT_TOKENS, KATZ, _planes, _unique_sums, _unplanes, discounts, token_steps
-
-#: Keys of the table that one part has, about, and entries of one packed row, which bound what a task holds.
-PART_KEYS = 4_000_000
-ROW_ENTRIES = 2048
+from .common import byte_steps, materialize
+from .decontam import _LOWER, word_hashes
+
+#: Words sent to all tasks (at most 2^20, 32 bytes each with their values), tokens of one part of the table of pairs,
+#: and pairs sent to all tasks; tokens that one emission of counts and one block of asks hold, about.
+HEAD = 1 << 20
+PART_TOKENS = 8_000_000
+HOT_PAIRS = 1 << 16
+COUNT_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
+#: Katz's k: counts above it are not discounted.
+KATZ = 5
+
+_CODE = np.uint64(20)
+_CODES = np.uint64((1 << 20) - 1)
+_TEXT = np.uint64(24)
+_TAIL = np.uint64(1 << 63)
 _END = np.uint64(0x9AE16A3B2F90404F)
-_ROWS = "part int, kind int, block long, a binary, b binary, c binary, d binary"
-_ANSWERS = "block long, rids binary, words binary, docs binary, s binary, base binary, known binary"
-_ANSWER_TYPES = [pa.int64(), *[pa.binary()] * 6]
+_ROWS = "part int, kind int, block long, a binary, b binary, c binary, d binary, e binary, f binary"
+_ANSWERS = "block long, a binary, b binary, c binary, d binary, e binary, f binary"
+_MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -45,233 +70,453 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a ^ (b << np.uint64(23) | b >> np.uint64(41))
+def _pack(x: np.ndarray) -> bytes:
+    """All lowest bytes of the numbers first and so on, compressed: sorted numbers get small so."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T) if x.dtype.kind != "f" else x
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(b: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    if np.dtype(kind).kind == "f":
+        return raw.view(kind)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def _pair_key(a: str, b: str) -> Column:
-    return F.col(a).bitwiseXOR(F.shiftleft(b, 23).bitwiseOR(F.shiftrightunsigned(b, 41)))
+def _firsts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins."""
+    new = np.zeros(len(sorted_keys[0]), bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
-def tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words before, words, text of each, words per text without the end) of consecutive texts."""
+def _lengths(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(first, n))
+
+
+def token_steps(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts): word hashes of consecutive texts, and how many words each text has."""
+    for raw, offsets in byte_steps(texts):
+        data = _LOWER[raw]
+        edge = np.diff(np.concatenate([[0], _WORD[data].view(np.int8), [0]]))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        inner = np.unique(offsets[1:-1])
+        inner = inner[(inner > 0) & (inner < len(data))]
+        inner = inner[_WORD[data[inner]] & _WORD[data[inner - 1]]]
+        if len(inner):  # words of two texts that touch
+            starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+        yield word_hashes(data, starts, ends), np.diff(np.searchsorted(starts, offsets))
+
+
+def tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, text of each, words per text without the end) of consecutive texts; what stands before the first is an end."""
     for h, words in token_steps(texts):
         n = len(words)
         t = np.full(len(h) + n, _END)
         t[np.arange(len(h)) + np.repeat(np.arange(n), words)] = _mix(h)
-        yield np.concatenate([[_END], t[:-1]]), t, np.repeat(np.arange(n), words + 1), words
+        yield t, np.repeat(np.arange(n), words + 1), words
 
 
-def _cuts(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
-    """(part, from, to) of sorted keys, ROW_ENTRIES at most."""
-    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    for p, start in zip(*np.unique(part, return_index=True)):
-        stop = int(np.searchsorted(part, p, "right"))
-        for i in range(int(start), stop, ROW_ENTRIES):
-            yield int(p), i, min(stop, i + ROW_ENTRIES)
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Katz's d(0..KATZ) from the numbers n[r] of types seen r times; where Good-Turing gives none, half a count is taken."""
+    d = np.ones(KATZ + 1)
+    d[0] = 0
+    top = (KATZ + 1) * n[KATZ + 1] / n[1] if n[1] else 1.0
+    for r in range(1, KATZ + 1):
+        new = (r + 1) * n[r + 1] / n[r] if n[r] else 0.0
+        v = (new / r - top) / (1 - top) if top < 1 else 0.0
+        d[r] = v if 0 < v < 1 else (r - 0.5) / r
+    return d
+
+
+def _kept(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return np.where(n <= KATZ, d[np.minimum(n, KATZ)], 1.0) * n
+
+
+def _kept_column(n: str, d: np.ndarray) -> Column:
+    few = F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(F.col(n), F.lit(KATZ)).cast("int") + 1)
+    return F.when(F.col(n) <= KATZ, few).otherwise(1.0) * F.col(n)
+
+
+class Head:
+    """The most frequent words: hashes and counts by code, which is the rank."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, parts: int):
+        self.hashes, self.counts, self.parts = hashes, counts, parts
+        # over how many parts a word's pairs are dealt
+        self.spread = np.minimum(parts, 1 + counts * parts * 2 // max(total, 1)).astype(np.uint64)
+        self.slots = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"slots": None}
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """Code of each word, -1 for words outside; by open addressing, all words in step."""
+        if not len(self.hashes):
+            return np.full(len(h), -1, np.int64)
+        bits = (4 * len(self.hashes)).bit_length()
+        if self.slots is None:
+            self.slots = np.zeros(1 << bits, np.int32)
+            left, at = np.arange(len(self.hashes), dtype=np.int32), (self.hashes >> np.uint64(64 - bits)).astype(np.int64)
+            while len(left):
+                free = self.slots[at] == 0
+                self.slots[at[free]] = left[free] + 1
+                lost = self.slots[at] != left + 1
+                left, at = left[lost], (at[lost] + 1) & ((1 << bits) - 1)
+        at = (h >> np.uint64(64 - bits)).astype(np.int64)
+        code = self.slots[at].astype(np.int64) - 1
+        other = np.flatnonzero((code >= 0) & (self.hashes[code] != h))
+        while len(other):
+            at[other] = (at[other] + 1) & ((1 << bits) - 1)
+            code[other] = self.slots[at[other]].astype(np.int64) - 1
+            other = other[(code[other] >= 0) & (self.hashes[code[other]] != h[other])]
+        return code
+
+    def pairs(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, positions of pairs in the head, their keys, positions of the other pairs) of tokens; pair i ends at i."""
+        c = self.codes(t)
+        before = np.concatenate([self.codes(np.array([_END])), c[:-1]])
+        both = (c >= 0) & (before >= 0)
+        at = np.flatnonzero(both)
+        return c, at, before[at].astype(np.uint64) << _CODE | c[at].astype(np.uint64), np.flatnonzero(~both)
+
+    def part(self, keys: np.ndarray) -> np.ndarray:
+        """Part of sorted keys: by the first word and, as far as that is frequent, by the second."""
+        out = _mix(keys) % np.uint64(self.parts)
+        own = int(np.searchsorted(keys, _TAIL))
+        first, second = keys[:own] >> _CODE, keys[:own] & _CODES
+        out[:own] = (_mix(first + np.uint64(1)) + _mix(second) % self.spread[first]) % np.uint64(self.parts)
+        return out.astype(np.int64)
+
+
+def tail_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of pairs with a word outside the head."""
+    return _mix(a ^ (b << np.uint64(23) | b >> np.uint64(41))) | _TAIL
+
+
+def _before(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.where(at > 0, t[at - 1], _END)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(h, c) of all tokens, the end too; tasks sum what they read before the shuffle."""
 
     def count(batches):
-        keys, sums, held = [], [], 0
+        held, size = [], 0
 
         def flush():
-            k, s = _unique_sums(np.concatenate(keys), np.concatenate(sums))
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(s)], ["h", "c"])
+            keys, n = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = _firsts(keys)
+            return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.add.reduceat(n[order], first))], ["h", "c"])
 
         for b in batches:
-            for _, t, _, _ in tokens(b.column(0)):
-                k, s = _unique_sums(t)
-                keys.append(k)
-                sums.append(s)
-                held += len(k)
-                if held > 3 * EMIT_TOKENS:
+            for t, _, _ in tokens(b.column(0)):
+                t = np.sort(t)
+                first = _firsts(t)
+                held.append((t[first], _lengths(first, len(t))))
+                size += len(first)
+                if size > 2 * COUNT_TOKENS:
                     yield flush()
-                    keys, sums, held = [], [], 0
-        if keys:
+                    held, size = [], 0
+        if size:
             yield flush()
 
     return texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def count_pairs(texts: DataFrame, parts: int) -> DataFrame:
-    """(w1, w2, n) of all pairs."""
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(part, kind="stable")
+    first = _firsts(part[order])
+    for i, n in zip(first.tolist(), _lengths(first, len(part)).tolist()):
+        yield int(part[order[i]]), order[i : i + n]
+
+
+def count_pairs(texts: DataFrame, shared) -> DataFrame:
+    """A row (part, keys, counts, ...) for a part's pairs in the head, and rows (part, ..., key, w1, w2, n) for its others."""
 
     def emit(batches):
         held, size = [], 0
 
         def flush():
-            a, b = (np.concatenate(x) for x in zip(*held))
-            k = pair_keys(a, b)
-            order = np.argsort(k)
-            k = k[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            n = np.diff(np.concatenate([first, [len(k)]])).astype(np.uint32)
-            k, a, b = k[first], a[order[first]], b[order[first]]
-            part = ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            stops = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(p, slice(stops[p], stops[p + 1])) for p in range(parts) if stops[p] < stops[p + 1]]
-            cols = [pa.array([p for p, _ in rows], pa.int32()), *(pa.array([x[i].tobytes() for _, i in rows], pa.binary()) for x in (a, b)), pa.array([_planes(n[i]) for _, i in rows], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["part", "w1", "w2", "n"])
+            head: Head = shared.value
+            near, far = [], []
+            for t in held:
+                _, _, keys, other = head.pairs(t)
+                near.append(keys)
+                far.append((_before(t, other), t[other]))
+            keys = np.sort(np.concatenate(near))
+            first = _firsts(keys)
+            keys, n = keys[first], _lengths(first, len(keys))
+            a, b = (np.concatenate(x) for x in zip(*far))
+            far_keys = tail_keys(a, b)
+            order = np.argsort(far_keys)
+            far_keys = far_keys[order]
+            first = _firsts(far_keys)
+            far_n, far_keys, a, b = _lengths(first, len(far_keys)), far_keys[first], a[order[first]], b[order[first]]
+            empty = _pack(np.zeros(0, np.uint64))
+            rows = [(p, _pack(keys[i]), _pack(n[i].astype(np.uint32)), empty, empty, empty) for p, i in _by_part(head.part(keys))]
+            rows += [(p, empty, empty, _pack(a[i]), _pack(b[i]), _pack(far_n[i].astype(np.uint32))) for p, i in _by_part(head.part(far_keys))]
+            kinds = [pa.int32(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["part", "keys", "n", "a", "b", "m"])
 
         for b in batches:
-            for before, t, _, _ in tokens(b.column(0)):
-                held.append((before, t))
+            for t, _, _ in tokens(b.column(0)):
+                held.append(t)
                 size += len(t)
-                if size > EMIT_TOKENS:
+                if size > COUNT_TOKENS:
                     yield flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
     def total(table: pa.Table) -> pa.Table:
-        a, b = (np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column(k)]) for k in ("w1", "w2"))
-        n = np.concatenate([_unplanes(x.as_py(), np.uint32) for x in table.column("n")]).astype(np.int64)
-        k = pair_keys(a, b)
-        order = np.argsort(k)
-        k = k[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        cols = [a[order[first]].view(np.int64), b[order[first]].view(np.int64), np.add.reduceat(n[order], first)]
-        return pa.table([pa.array(x) for x in cols], ["w1", "w2", "n"])
+        part = table.column("part")[0].as_py()
+        column = lambda k, kind: np.concatenate([_unpack(x.as_py(), kind) for x in table.column(k)])
+        keys, n = column("keys", np.uint64), column("n", np.uint32)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = _firsts(keys)
+        near = (keys[first], np.add.reduceat(n[order].astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64))
+        a, b, m = column("a", np.uint64), column("b", np.uint64), column("m", np.uint32).astype(np.int64)
+        keys = tail_keys(a, b)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = _firsts(keys)
+        far = [keys[first], a[order[first]], b[order[first]]]
+        sums = np.add.reduceat(m[order], first) if len(first) else np.zeros(0, np.int64)
+        k = len(first)
+        cols = [pa.array([part] * (k + 1), pa.int32()), *(pa.array([_pack(x), *[None] * k], pa.binary()) for x in near)]
+        cols += [pa.array([None, *x.tolist()], pa.int64()) for x in (*(y.view(np.int64) for y in far), sums)]
+        return pa.table(cols, ["part", "keys", "counts", "key", "w1", "w2", "n"])
+
+    kind = "part int, keys binary, counts binary, key long, w1 long, w2 long, n long"
+    return texts.mapInArrow(emit, "part int, keys binary, n binary, a binary, b binary, m binary").groupBy("part").applyInArrow(total, kind)
+
+
+def _head_pairs(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        for k, n in zip(b.column("keys"), b.column("counts")):
+            yield _unpack(k.as_py(), np.uint64), _unpack(n.as_py(), np.uint64).astype(np.int64)
 
-    return texts.mapInArrow(emit, "part int, w1 binary, w2 binary, n binary").groupBy("part").applyInArrow(total, "w1 long, w2 long, n long")
 
+def pair_types(pairs: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n[r] for r to KATZ + 1; keys and counts of the pairs in the head that are seen ``hot`` times or more."""
 
-def packed_values(values: DataFrame, parts: int) -> DataFrame:
-    """Rows of kind 0 of a table (key, v, c)."""
+    def count(batches):
+        types, keys, often = np.zeros(KATZ + 2, np.int64), [], []
+        for k, n in _head_pairs(batches):
+            types += np.bincount(n[n <= KATZ + 1], minlength=KATZ + 2)
+            keys += k[n >= hot].astype(np.int64).tolist()
+            often += n[n >= hot].tolist()
+        rows = [(None, r, int(x)) for r, x in enumerate(types)] + list(zip(keys, often, [1] * len(keys)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["key", "n", "k"])
 
-    def pack(batches):
-        held, size = [], 0
+    near = pairs.where("keys is not null").select("keys", "counts").mapInArrow(count, "key long, n long, k long")
+    far = pairs.where("key is not null")
+    far_few = far.where(F.col("n") <= KATZ + 1).select(F.lit(None).cast("long").alias("key"), "n", F.lit(1).cast("long").alias("k"))
+    rows = near.unionByName(far_few).groupBy("key", "n").agg(F.sum("k").alias("k")).collect()
+    types = np.array([sum(r["k"] for r in rows if r["key"] is None and r["n"] == x) for x in range(KATZ + 2)], float)
+    often = sorted((r["key"], r["n"]) for r in rows if r["key"] is not None)
+    return types, np.array([k for k, _ in often], np.uint64), np.array([n for _, n in often], np.int64)
 
-        def flush():
-            k, v, c = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(k)
-            k, v, c = k[order], v[order], c[order]
-            out = [(p, 0, 0, _planes(k[i:j]), v[i:j].tobytes(), _planes(c[i:j]), b"") for p, i, j in _cuts(k, parts)]
-            return _batch(out)
 
+def context_sums(pairs: DataFrame, shared, d2: np.ndarray, p1: np.ndarray) -> DataFrame:
+    """(h, used, p): what a context's pairs in the head keep of its count, and P1 of their second words; partial sums."""
+
+    def sums(batches):
+        head: Head = shared.value
+        for k, n in _head_pairs(batches):
+            first = _firsts(k >> _CODE)
+            if len(first):
+                used, p = np.add.reduceat(_kept(n, d2), first), np.add.reduceat(p1[(k & _CODES).astype(np.int64)], first)
+                yield pa.RecordBatch.from_arrays([pa.array(head.hashes[k[first] >> _CODE].view(np.int64)), pa.array(used), pa.array(p)], ["h", "used", "p"])
+
+    return pairs.where("keys is not null").select("keys", "counts").mapInArrow(sums, "h long, used double, p double")
+
+
+def _batch(rows: list[tuple], head: int) -> pa.RecordBatch:
+    names = (_ROWS if head == 3 else _ANSWERS).split(", ")
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    cols = [pa.array([r[j] for r in rows], kinds[x.split()[1]]) for j, x in enumerate(names)]
+    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in names])
+
+
+def packed_tail(values: DataFrame) -> DataFrame:
+    """Table rows (kind 0) of (part, key, vt, vh, c): values in training texts and in others, and a word's count or -1."""
+
+    def pack(batches):
         for b in batches:
-            held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()))
-            size += b.num_rows
-            if size > EMIT_TOKENS:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
+            part, key, vt, vh, c = (b.column(i).to_numpy() for i in range(5))
+            rows = [(p, 0, 0, None, None, _pack(key[i].view(np.uint64)), _pack(vt[i]), _pack(vh[i]), _pack(c[i].astype(np.int64))) for p, i in _by_part(part)]
+            yield _batch(rows, 3)
 
-    return values.select("key", "v", "c").mapInArrow(pack, _ROWS)
+    return values.select("part", "key", "vt", "vh", "c").repartition("part").mapInArrow(pack, _ROWS)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], k) for j, k in enumerate(kinds)], ["part", "kind", "block", "a", "b", "c", "d"])
+class Model:
+    """What all tasks get: the head with its words' values, hot pairs, and the discounts of pairs."""
 
+    def __init__(self, head: Head, log_u, log_a, log_p1, unseen: float, hot, hot_n, d2):
+        self.head, self.unseen, self.d2 = head, unseen, d2
+        self.train, self.other, self.off, self.log_p1 = -log_u, log_a + log_p1, log_u + log_a, log_p1
+        self.hot, self.hot_n = hot, hot_n
 
-def asks(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows of kind 1, (key, text) with counts, and one row of kind 2 a block with its texts' ids."""
+    def gains(self, keys: np.ndarray, n: np.ndarray, train: np.ndarray) -> np.ndarray:
+        """Value of pairs in the head with counts n: in a training text, and over backing off in another."""
+        v = np.log10(_kept(n, self.d2))
+        back = self.off[keys >> _CODE] + self.log_p1[keys & _CODES]
+        return np.where(train, v, v - back)
+
+
+def asks(docs: DataFrame, shared) -> DataFrame:
+    """Rows of kind 1, (key, text) with counts, and one row of kind 2 a block: its texts and what is known of them at once."""
 
     def ask(batches):
         task, blocks, held, size, rows = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def flush():
-            block = task << 32 | blocks
-            before, t, d, rids, words = (np.concatenate(x) for x in zip(*held))
-            k, d = np.concatenate([pair_keys(before, t), t]), np.concatenate([d, d])
-            order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]))
-            m = np.diff(np.concatenate([first, [len(k)]])).astype(np.uint32)
-            k, d = k[first], d[first].astype(np.uint32)
-            out = [(block % parts, 2, block, rids.tobytes(), words.tobytes(), b"", b"")]
-            for p, i, j in _cuts(k, parts):
-                u, times = _unique_sums(k[i:j])
-                out.append((p, 1, block, _planes(u), _planes(times.astype(np.uint32)), _planes(d[i:j]), _planes(m[i:j])))
-            return _batch(out)
+            model: Model = shared.value
+            head, block = model.head, task << 32 | blocks
+            t, of, words, train, *rids = (np.concatenate(x) for x in zip(*held))
+            n = len(words)
+            c, at, keys, other = head.pairs(t)
+            inside = np.flatnonzero(c >= 0)
+            own, text = c[inside], of[inside]
+            add = lambda i, v: np.bincount(i, v, n)
+            known, base = add(text, None), add(text, np.log10(head.counts[own] + 1.0))
+            rest = add(of, None) - known
+            s = add(text, np.where(train[text], model.train[own], model.other[own])) + np.where(train, 0, rest * model.unseen)
+            # a text's number and whether it is one to learn from
+            tag = of.astype(np.uint64) << np.uint64(1) | train[of]
+            x = np.sort(keys << _TEXT | tag[at])
+            first = _firsts(x)
+            k, d, m = x[first] >> _TEXT, x[first] & np.uint64((1 << 24) - 1), _lengths(first, len(x))
+            if len(model.hot):
+                i = np.minimum(np.searchsorted(model.hot, k), len(model.hot) - 1)
+                hit = model.hot[i] == k
+                s += add((d[hit] >> np.uint64(1)).astype(np.int64), m[hit] * model.gains(k[hit], model.hot_n[i[hit]], (d[hit] & np.uint64(1)).astype(bool)))
+                k, d, m = k[~hit], d[~hit], m[~hit]
+            far = np.flatnonzero(c < 0)
+            fk, fd = np.concatenate([t[far] | _TAIL, tail_keys(_before(t, other), t[other])]), np.concatenate([tag[far], tag[other]])
+            order = np.lexsort((fd, fk))
+            fk, fd = fk[order], fd[order]
+            first = _firsts(fk, fd)
+            k, d, m = np.concatenate([k, fk[first]]), np.concatenate([d, fd[first]]).astype(np.uint32), np.concatenate([m, _lengths(first, len(fk))]).astype(np.uint32)
+            first = _firsts(k)
+            times = _lengths(first, len(k))
+            out = [(block % head.parts, 2, block, *map(_pack, (*rids, words.astype(np.int64), s, base, known.astype(np.int64))))]
+            for p, u in _by_part(head.part(k[first])):
+                each = times[u]
+                i = np.repeat(first[u] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                out.append((p, 1, block, _pack(k[first[u]]), _pack(each.astype(np.uint32)), _pack(d[i]), _pack(m[i]), None, None))
+            return _batch(out, 3)
 
         for b in batches:
-            rid, row = b.column("rid").to_numpy(zero_copy_only=False), 0
-            for before, t, of, words in tokens(b.column("text")):
-                held.append((before, t, of + rows, rid[row : row + len(words)], words.astype(np.int64)))
-                row, rows, size = row + len(words), rows + len(words), size + len(t)
-                if size > EMIT_TOKENS // 2:
+            rids, row = [b.column(k).to_numpy(zero_copy_only=False) for k in ("r1", "r2")], 0
+            train = b.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            for t, of, words in tokens(b.column("text")):
+                to = row + len(words)
+                held.append((t, of + rows, words, train[row:to], *(r[row:to] for r in rids)))
+                row, rows, size = to, rows + len(words), size + len(t)
+                if size > BLOCK_TOKENS:
                     yield flush()
                     blocks, held, size, rows = blocks + 1, [], 0, 0
         if held:
             yield flush()
 
-    return docs.select("rid", "text").mapInArrow(ask, _ROWS)
-
-
-def _answer(batches):
-    """Rows in order of (part, kind, block): a part's table is held, its asks pass by."""
-    part, table, key, block, found = None, [], None, None, []
+    return docs.select("r1", "r2", "train", "text").mapInArrow(ask, _ROWS)
 
-    def close():
-        if not found:
-            return []
-        d, *sums = (np.concatenate(x) for x in zip(*found))
-        u, back = np.unique(d, return_inverse=True)
-        s, base, known = (np.bincount(back, x, len(u)) for x in sums)
-        return [(block, None, None, _planes(u), s.tobytes(), base.tobytes(), _planes(known.astype(np.int64)))]
 
-    def batch(rows):
-        names = [x.split()[0] for x in _ANSWERS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], k) for j, k in enumerate(_ANSWER_TYPES)], names)
+def answers(rows: DataFrame, shared) -> DataFrame:
+    """Of rows in order of (part, kind, block): a part's table is held, its asks pass by."""
 
-    for b in batches:
-        out = []
-        for p, kind, at, *data in zip(*(b.column(i) for i in range(7))):
-            p, kind, at = p.as_py(), kind.as_py(), at.as_py()
-            if (p, at) != (part, block) or kind != 1:
-                out += close()
-                found = []
-            if p != part:
-                part, table, key = p, [], None
-            block = at
-            x = [y.as_py() for y in data]
-            if kind == 0:
-                table.append((_unplanes(x[0], np.uint64), np.frombuffer(x[1]), _unplanes(x[2], np.int64)))
-            elif kind == 2:
-                out.append((at, x[0], x[1], None, None, None, None))
-            elif table or key is not None:
-                if key is None:
-                    key, v, c = (np.concatenate(y) for y in zip(*table))
-                    order, table = np.argsort(key), []
-                    key, v, c = key[order], v[order], c[order]
-                k, times, d, m = _unplanes(x[0], np.uint64), *(_unplanes(y, np.uint32) for y in x[1:])
-                i = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                i = np.repeat(np.where(key[i] == k, i, -1), times)
-                hit = i >= 0
-                i, m = i[hit], m[hit].astype(float)
-                found.append((d[hit], m * v[i], m * np.log10(c[i] + 1.0), m * (c[i] > 0)))
-        if out:
-            yield batch(out)
-    if last := close():
-        yield batch(last)
-
-
-def _gather(answers: pa.Table) -> pa.Table:
+    def answer(batches):
+        model: Model = shared.value
+        part, near, far, table = None, [], [], None
+        for b in batches:
+            out = []
+            for p, kind, block, *data in zip(*(b.column(i).to_pylist() for i in range(9))):
+                if p != part:
+                    part, near, far, table = p, [], [], None
+                if kind == 0 and data[0] is not None:
+                    near.append((_unpack(data[0], np.uint64), _unpack(data[1], np.uint64)))
+                elif kind == 0:
+                    far.append((_unpack(data[2], np.uint64), _unpack(data[3], float), _unpack(data[4], float), _unpack(data[5], np.int64)))
+                elif kind == 2:
+                    out.append((block, *data))
+                else:
+                    if table is None:
+                        table = [_sorted(near, 2), _sorted(far, 4)]
+                        near, far = [], []
+                    k, times, d, m = _unpack(data[0], np.uint64), *(_unpack(x, np.uint32) for x in data[1:4])
+                    out += _found(model, table, block, k, times.astype(np.int64), d.astype(np.int64), m.astype(np.int64))
+            if out:
+                yield _batch(out, 1)
+
+    return rows.mapInArrow(answer, _ANSWERS)
+
+
+def _sorted(rows: list[tuple], width: int) -> list[np.ndarray]:
+    if not rows:
+        return [np.zeros(0, np.uint64)] * width
+    cols = [np.concatenate(x) for x in zip(*rows)]
+    order = np.argsort(cols[0], kind="stable")
+    return [x[order] for x in cols]
+
+
+def _find(table: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in k that the table has, where)."""
+    if not len(table):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i = np.minimum(np.searchsorted(table, k), len(table) - 1)
+    hit = np.flatnonzero(table[i] == k)
+    return hit, i[hit]
+
+
+def _found(model: Model, table, block: int, k, times, d, m) -> list[tuple]:
+    """One answer, for one block: texts that were hit, and their sums."""
+    (keys, n), (far_keys, vt, vh, c) = table
+    start = np.cumsum(times) - times
+    own = int(np.searchsorted(k, _TAIL))
+    hit, at = _find(keys, k[:own])
+    far, to = _find(far_keys, k[own:])
+    far += own
+    u = np.concatenate([hit, far])
+    each = times[u]
+    i = np.repeat(start[u] - np.cumsum(each) + each, each) + np.arange(each.sum())  # entries of the keys found
+    if not len(i):
+        return []
+    text, train, m, cut = d[i] >> 1, (d[i] & 1).astype(bool), m[i], int(times[hit].sum())
+    s = np.empty(len(i))
+    count = np.repeat(n[at].astype(np.int64), times[hit])
+    s[:cut] = model.gains(np.repeat(k[hit], times[hit]), count, train[:cut])
+    to = np.repeat(to, times[far])
+    s[cut:] = np.where(train[cut:], vt[to], vh[to])
+    word = m[cut:] * (c[to] >= 0)
+    names, back = np.unique(text, return_inverse=True)
+    base = np.bincount(back[cut:], word * np.log10(np.maximum(c[to], 0) + 1.0), len(names))
+    known = np.bincount(back[cut:], word, len(names)).astype(np.int64)
+    return [(block, _pack(names.astype(np.uint32)), _pack(np.bincount(back, m * s, len(names))), _pack(base), _pack(known), None, None)]
+
+
+def _gather(table: pa.Table) -> pa.Table:
     """The sums of one block's texts."""
-    rids = words = None
-    sums = []
-    for r, w, *x in zip(*(answers.column(i) for i in range(1, 7))):
-        if r.as_py() is not None:
-            rids, words = np.frombuffer(r.as_py(), np.int64), np.frombuffer(w.as_py(), np.int64)
+    texts, found = None, []
+    for row in zip(*(table.column(i).to_pylist() for i in range(1, 7))):
+        if row[4] is not None:
+            texts = [_unpack(x, k) for x, k in zip(row, (np.int64, np.int64, np.int64, float, float, np.int64))]
         else:
-            d, s, base, known = (y.as_py() for y in x)
-            sums.append((_unplanes(d, np.uint32), np.frombuffer(s), np.frombuffer(base), _unplanes(known, np.int64)))
-    out = [np.zeros(len(rids)) for _ in range(3)]
-    for d, *values in sums:
-        for total, v in zip(out, values):
-            total[d] += v  # a text is named once in an answer
-    return pa.table([pa.array(rids), pa.array(words), pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int64))], ["rid", "n_words", "s", "base", "known"])
-
-
-def _discounted(n: str, d: np.ndarray) -> Column:
-    few = F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(F.col(n), F.lit(KATZ)).cast("int") + 1)
-    return F.when(F.col(n) <= KATZ, few).otherwise(1.0) * F.col(n)
+            found.append([_unpack(x, k) for x, k in zip(row, (np.uint32, float, float, np.int64))])
+    r1, r2, words, s, base, known = (np.array(x) for x in texts)
+    for at, *values in found:
+        for total, v in zip((s, base, known), values):
+            total[at] += v  # a text is named once in an answer
+    return pa.table([r1, r2, words, s, base, known], ["r1", "r2", "n_words", "s", "base", "known"])
 
 
 def _types(counts: DataFrame, n: str) -> np.ndarray:
@@ -280,14 +525,25 @@ def _types(counts: DataFrame, n: str) -> np.ndarray:
     return np.array([0] + [few.get(r, 0) for r in range(1, KATZ + 2)], float)
 
 
-def score(df: DataFrame, train: Column, *, text: str = "text") -> DataFrame:
+def _least_of_head(unigrams: DataFrame, head: int) -> int:
+    """The least count of words in the head; levels of counts are in it as a whole. There are few levels: their counts add up to the tokens."""
+    level = unigrams.groupBy("c").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).limit(head).toPandas()
+    fits = level["c"][level["k"].cumsum() <= head]
+    return int(fits.min()) if len(fits) else int(level["c"].max()) + 1 if len(level) else 1
+
+
+def score(df: DataFrame, train: Column, *, text: str = "text", head: int = HEAD, part_tokens: int = PART_TOKENS) -> DataFrame:
     """``df`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score. ``train``: which rows to learn from."""
+    if not 0 <= head <= HEAD:
+        raise ValueError(f"a head of up to {HEAD} words")
     spark = df.sparkSession
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c != text and c not in _MADE]
     t = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.xxhash64(*keep, t).alias("rid"), t.alias("text"), train.alias("train"), F.struct(*keep).alias("row"))
+    # two hashes of the whole row name it
+    row = F.struct(*keep) if keep else F.struct(F.lit(1).alias("_none"))
+    docs = df.select(row.alias("row"), t.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    docs = docs.select("row", "text", "train", F.xxhash64("row", "text").alias("r1"), F.xxhash64("text", F.lit("second"), "row").alias("r2"))
     own = docs.where("train").select("text")
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unigrams = materialize(count_words(own), "unigrams")
     total, types = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     seen = _types(unigrams, "c")
@@ -295,38 +551,58 @@ def score(df: DataFrame, train: Column, *, text: str = "text") -> DataFrame:
     spare = 0 if any(seen[1 : KATZ + 1]) else 1
     freed = float(sum(seen[r] * r * (1 - d1[r]) for r in range(1, KATZ + 1))) + spare
     unseen = float(np.log10(max(freed / max(total + spare, 1), 1e-300))) if total else 0.0
-    p1 = lambda c: _discounted(c, d1) / max(total + spare, 1)
-
-    pairs = count_pairs(own, max(least, -(-total // PART_KEYS)))
-    pairs = pairs.join(unigrams.select(F.col("h").alias("w2"), F.col("c").alias("c2")), "w2")
-    pairs = materialize(pairs.select("w1", _pair_key("w1", "w2").alias("key"), "n", "c2"), "pairs")
-    d2 = discounts(_types(pairs, "n"))
-    sums = pairs.groupBy(F.col("w1").alias("h")).agg(F.sum(_discounted("n", d2)).alias("used"), F.sum(p1("c2")).alias("p"), F.count(F.lit(1)).alias("k"))
-    words = unigrams.join(sums, "h")
+    p1 = lambda c: _kept_column(c, d1) / max(total + spare, 1)
+
+    least = _least_of_head(unigrams, head)
+    top = unigrams.where(F.col("c") >= least).toPandas().sort_values(["c", "h"], ascending=False)
+    hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_tokens))
+    shared = spark.sparkContext.broadcast(Head(hashes, counts, total, parts))
+    pairs = materialize(count_pairs(own, shared), "pairs")
+    seen2, hot, hot_n = pair_types(pairs, max(total // HOT_PAIRS, 2))
+    d2 = discounts(seen2)
+
+    far = pairs.where("key is not null").select("part", "key", "w1", "w2", "n")
+    near = context_sums(pairs, shared, d2, _kept(counts, d1) / max(total + spare, 1))
+    c2 = unigrams.select(F.col("h").alias("w2"), F.col("c").alias("c2"))
+    far_sums = far.join(c2, "w2").select(F.col("w1").alias("h"), _kept_column("n", d2).alias("used"), p1("c2").alias("p"))
+    sums = near.unionByName(far_sums).groupBy("h").agg(F.sum("used").alias("used"), F.sum("p").alias("p"))
     # a context whose pairs leave nothing free has one more count for what it did not see; one that saw every word has nothing to free
     under = F.when(F.col("p") > 1 - 1e-9, F.col("used")).otherwise(F.col("c") + (F.col("used") >= F.col("c") * (1 - 1e-12)).cast("int"))
-    words = words.withColumn("under", under)
     free = F.greatest(1 - F.col("used") / F.col("under"), F.lit(1e-300)) / F.greatest(1 - F.col("p"), F.lit(1e-12))
-    words = materialize(words.select("h", "c", "k", "under", F.log10(free).alias("a")), "words")
-
-    gain = F.log10(_discounted("n", d2) / F.col("under")) - F.col("a") - F.log10(p1("c2"))
-    by_pair = pairs.join(words.select(F.col("h").alias("w1"), "under", "a"), "w1").select("key", gain.alias("v"), F.lit(0).cast("long").alias("c"))
-    by_word = words.select(F.col("h").alias("key"), (F.log10(p1("c")) + F.col("a") - unseen).alias("v"), "c")
-    kinds = words.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0] + types
-    parts = max(least, -(-kinds // PART_KEYS))
-    rows = packed_values(by_pair, parts).unionByName(packed_values(by_word, parts)).unionByName(asks(docs, parts))
-    answers = rows.repartition(parts, "part").sortWithinPartitions("part", "kind", "block").mapInArrow(_answer, _ANSWERS)
-    sums = answers.groupBy("block").applyInArrow(_gather, "rid long, n_words long, s double, base double, known long")
+    words = unigrams.join(sums, "h").withColumn("under", under).select("h", "c", F.log10("under").alias("u"), F.log10(free).alias("a"))
+    words = materialize(words, "words")
+
+    value = words.where(F.col("c") >= least).select("h", "c", "u", "a").toPandas().sort_values(["c", "h"], ascending=False)
+    log_p1 = np.log10(np.maximum(_kept(counts, d1), 1e-300) / max(total + spare, 1))
+    model = spark.sparkContext.broadcast(Model(Head(hashes, counts, total, parts), value["u"].to_numpy(), value["a"].to_numpy(), log_p1, unseen, hot, hot_n, d2))
+    gain = F.log10(_kept_column("n", d2))
+    left, right = words.select(F.col("h").alias("w1"), "u", "a"), words.select(F.col("h").alias("w2"), F.log10(p1("c")).alias("l"))
+    far_pairs = far.join(left, "w1").join(right, "w2").select("part", "key", gain.alias("vt"), (gain - F.col("u") - F.col("a") - F.col("l")).alias("vh"), F.lit(-1).cast("long").alias("c"))
+
+    @F.arrow_udf("int")
+    def part_of(keys: pa.Array) -> pa.Array:
+        return pa.array((_mix(keys.to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(parts)).astype(np.int32))
+
+    key = F.col("h").bitwiseOR(F.lit(-(2**63)))
+    far_words = words.where(F.col("c") < least).select(
+        part_of(key).alias("part"), key.alias("key"), (-F.col("u")).alias("vt"), (F.col("a") + F.log10(p1("c")) - unseen).alias("vh"), "c"
+    )
+    none = [F.lit(None).cast("binary").alias(x) for x in "cdef"]
+    near_pairs = pairs.where("keys is not null").select("part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), F.col("keys").alias("a"), F.col("counts").alias("b"), *none)
+    rows = near_pairs.unionByName(packed_tail(far_pairs.unionByName(far_words))).unionByName(asks(docs, model))
+    got = answers(rows.repartition(parts, "part").sortWithinPartitions("part", "kind", "block"), model)
+    sums = got.groupBy("block").applyInArrow(_gather, "r1 long, r2 long, n_words long, s double, base double, known long")
     # rows that are equal in all share their sums, and divide them
-    same = sums.groupBy("rid").agg(F.count(F.lit(1)).alias("times"), *[F.sum(k).alias(k) for k in ("n_words", "s", "base", "known")])
+    same = sums.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("times"), *[F.sum(k).alias(k) for k in ("n_words", "s", "base", "known")])
     each = lambda k: F.col(k) / F.col("times")
     bottom = float(np.log10(max(total + types + 1, 1)))
-    out = docs.select("rid", "row").join(same, "rid").withColumn("n", (each("n_words") + 1).cast("long"))
+    out = docs.select("r1", "r2", "row").join(same, ["r1", "r2"]).withColumn("n", (each("n_words") + 1).cast("long"))
     return out.select(
-        "row.*",
+        *[F.col("row")[c].alias(c) for c in keep],
         F.col("n").alias("n_tokens"),
         F.round(each("known")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (each("base") - F.col("n") * bottom).alias("base_score"),
-        (each("s") + F.col("n") * unseen).alias("score"),
+        each("s").alias("score"),
     )

@@ -4,14 +4,20 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomgraph.llm import katz, lm, queries
+from loomgraph.llm import katz, queries
 from loomgraph.llm.common import crc_mod
 
-from .test_lm import words
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
 
 
 class Exact:
@@ -22,18 +28,18 @@ class Exact:
             self.uni.update(w)
             for a, b in zip([None, *w], w):
                 self.next[a][b] += 1
-        d = lambda ns: lm.discounts(np.array([0] + [Counter(ns)[r] for r in range(1, lm.KATZ + 2)], float))
+        d = lambda ns: katz.discounts(np.array([0] + [Counter(ns)[r] for r in range(1, katz.KATZ + 2)], float))
         self.total, self.d1 = sum(self.uni.values()), d(self.uni.values())
         self.d2 = d([n for s in self.next.values() for n in s.values()])
         self.unseen = 1 - sum(self.p1(w) for w in self.uni)
 
     def p1(self, w):
         c = self.uni[w]
-        return (self.d1[c] if c <= lm.KATZ else 1) * c / self.total if c else self.unseen
+        return (self.d1[c] if c <= katz.KATZ else 1) * c / self.total if c else self.unseen
 
     def p(self, a, b):
         s = self.next.get(a, {})
-        used = {w: (self.d2[n] if n <= lm.KATZ else 1) * n for w, n in s.items()}
+        used = {w: (self.d2[n] if n <= katz.KATZ else 1) * n for w, n in s.items()}
         under = self.uni[a] + (sum(used.values()) >= self.uni[a] * (1 - 1e-12))
         if b in used:
             return used[b] / under
@@ -78,26 +84,51 @@ def test_no_training_rows(spark):
 
 
 def test_no_vocabulary(spark, tmp_path):
-    """More words than lm.VOCABULARY, all equally rare: what follows what still counts."""
+    """More words than the head takes, all equally rare: what follows what still counts."""
     per, texts = 22_000, 50
     train = [" ".join(f"w{i}" for i in range(k * per, (k + 1) * per)) for k in range(texts)]
-    assert per * texts > lm.VOCABULARY
+    assert per * texts > katz.HEAD
     held = ids(True, 2)
     rows = [*zip(ids(False, 2 * texts), train + train), (held[0], "w5 w6 w7 w8"), (held[1], "w8 w7 w6 w5")]
     got = {r.doc_id: r.score for r in op9(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path) if r.held_out}
     assert got[held[0]] > got[held[1]] + 3
 
 
+def test_how_words_travel_changes_nothing(spark, sf_dir):
+    """No head, a small one and a whole one, one part and many: the same scores, and bytes that do not follow the parts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id < 80")
+    train = crc_mod(F.col("doc_id"), 7) != 2
+    of = lambda **kw: {r.doc_id: (r.n_known, r.base_score, r.score) for r in katz.score(docs, train, **kw).collect()}
+    want = of()
+    for kw in ({"head": 0}, {"head": 40}, {"head": 40, "part_tokens": 500}, {"part_tokens": 500}):
+        got = of(**kw)
+        assert got.keys() == want.keys()
+        for i, x in want.items():
+            assert got[i][0] == x[0] and math.isclose(got[i][1], x[1], rel_tol=1e-9) and math.isclose(got[i][2], x[2], rel_tol=1e-9), (kw, i)
+
+
 def test_asks_are_summed(spark):
-    """Equal (key, text) entries are one, ids travel once a block, and answers name only texts that were hit."""
-    docs = spark.createDataFrame([(1, "a b " * 20_000), *((i, "a b") for i in range(2, 500)), (500, "c")], "rid long, text string").coalesce(1)
-    rows = katz.asks(docs, 8).collect()
-    entries = sum(len(r.d) // 4 for r in rows if r.kind == 1)
-    assert entries == 7 + 498 * 6 + 4  # words, ends and pairs of each text, once
-    assert sum(len(r.a) // 8 for r in rows if r.kind == 2) == 500 and len({r.block for r in rows}) == sum(r.kind == 2 for r in rows)
-    key = int(katz.pair_keys(*(katz._mix(h) for h in next(lm.token_steps(pa.array(["a b"])))[0].reshape(2, 1)))[0].astype(np.int64))
-    table = katz.packed_values(spark.createDataFrame([(key, 0.5, 0)], "key long, v double, c long"), 8)
-    got = table.unionByName(katz.asks(docs, 8)).repartition(8, "part").sortWithinPartitions("part", "kind", "block").mapInArrow(katz._answer, katz._ANSWERS)
-    assert sum(len(r.s) // 8 for r in got.where("s is not null").collect()) == 499
-    sums = {r.rid: r.s for r in got.groupBy("block").applyInArrow(katz._gather, "rid long, n_words long, s double, base double, known long").collect()}
-    assert len(sums) == 500 and sums[1] == 10_000 and sums[2] == 0.5 and sums[500] == 0
+    """Equal (key, text) entries are one, texts travel once a block, and answers name only texts that were hit."""
+    docs = spark.createDataFrame([(1, 1, True, "a b " * 20_000), *((i, 0, False, "a b") for i in range(2, 500)), (500, 0, False, "c")], "r1 long, r2 long, train boolean, text string").coalesce(1)
+    head = katz.Head(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 8)
+    none = np.zeros(0)
+    model = spark.sparkContext.broadcast(katz.Model(head, none, none, none, 0.0, none.astype(np.uint64), none.astype(np.int64), np.ones(katz.KATZ + 1)))
+    rows = katz.asks(docs, model)
+    got = rows.collect()
+    assert sum(len(katz._unpack(r.c, np.uint32)) for r in got if r.kind == 1) == 7 + 498 * 6 + 4  # words, ends and pairs of each text, once
+    assert [len(katz._unpack(r.a, np.int64)) for r in got if r.kind == 2] == [500] and len({r.block for r in got}) == 1
+    a, b = (katz._mix(h) for h in next(katz.token_steps(pa.array(["a b"])))[0].reshape(2, 1))
+    key = katz.tail_keys(a, b)
+    table = katz.packed_tail(spark.createDataFrame([(int(head.part(key)[0]), int(key.astype(np.int64)[0]), 0.5, 0.25, -1)], "part int, key long, vt double, vh double, c long"))
+    found = katz.answers(table.unionByName(rows).repartition(8, "part").sortWithinPartitions("part", "kind", "block"), model)
+    assert sum(len(katz._unpack(r.a, np.uint32)) for r in found.collect() if r.e is None) == 499
+    sums = {r.r1: r.s for r in found.groupBy("block").applyInArrow(katz._gather, "r1 long, r2 long, n_words long, s double, base double, known long").collect()}
+    assert len(sums) == 500 and sums[1] == 10_000 and sums[2] == 0.25 and sums[500] == 0
+
+
+def test_frequent_pairs_and_words_are_dealt_out():
+    """A frequent first word's pairs go to many parts, a rare one's to one."""
+    head = katz.Head(katz._mix(np.arange(1, 101, dtype=np.uint64)), np.array([10_000] + [10] * 99), 20_000, 64)
+    pairs = lambda w: np.uint64(w) << np.uint64(20) | np.arange(100, dtype=np.uint64)
+    assert len(np.unique(head.part(pairs(0)))) > 30 and len(np.unique(head.part(pairs(5)))) == 1
+    assert (head.codes(katz._mix(np.arange(0, 120, dtype=np.uint64))) == [-1, *range(100), *[-1] * 19]).all()
