@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from .common import byte_steps, materialize
 from .decontam import _LOWER, word_hashes
 
-#: Words sent to all tasks (at most 2^20, 32 bytes each with their values), tokens of one part of the table of pairs,
+#: Words sent to all tasks (48 bytes each with their values; their codes have 20 bits), tokens of one part of the table of pairs,
 #: and pairs sent to all tasks; tokens that one emission of counts and one block of asks hold, about.
-HEAD = 1 << 20
+HEAD = 1 << 18
 PART_TOKENS = 8_000_000
 HOT_PAIRS = 1 << 16
 COUNT_TOKENS = 3_000_000
@@ -532,10 +532,18 @@ def _least_of_head(unigrams: DataFrame, head: int) -> int:
     return int(fits.min()) if len(fits) else int(level["c"].max()) + 1 if len(level) else 1
 
 
+def _by_rank(words: DataFrame) -> list[np.ndarray]:
+    """Columns (h, c, ...) of the head's words, the most frequent first."""
+    got = words.toArrow()
+    h, c, *more = (got.column(k).to_numpy() for k in got.column_names)
+    order = np.lexsort((h, -c))
+    return [h[order].view(np.uint64), c[order], *(x[order] for x in more)]
+
+
 def score(df: DataFrame, train: Column, *, text: str = "text", head: int = HEAD, part_tokens: int = PART_TOKENS) -> DataFrame:
     """``df`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score. ``train``: which rows to learn from."""
-    if not 0 <= head <= HEAD:
-        raise ValueError(f"a head of up to {HEAD} words")
+    if not 0 <= head <= int(_CODES):
+        raise ValueError(f"a head of up to {int(_CODES)} words")
     spark = df.sparkSession
     keep = [c for c in df.columns if c != text and c not in _MADE]
     t = F.coalesce(F.col(text), F.lit(""))
@@ -554,8 +562,7 @@ def score(df: DataFrame, train: Column, *, text: str = "text", head: int = HEAD,
     p1 = lambda c: _kept_column(c, d1) / max(total + spare, 1)
 
     least = _least_of_head(unigrams, head)
-    top = unigrams.where(F.col("c") >= least).toPandas().sort_values(["c", "h"], ascending=False)
-    hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    hashes, counts = _by_rank(unigrams.where(F.col("c") >= least).select("h", "c"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_tokens))
     shared = spark.sparkContext.broadcast(Head(hashes, counts, total, parts))
     pairs = materialize(count_pairs(own, shared), "pairs")
@@ -573,9 +580,9 @@ def score(df: DataFrame, train: Column, *, text: str = "text", head: int = HEAD,
     words = unigrams.join(sums, "h").withColumn("under", under).select("h", "c", F.log10("under").alias("u"), F.log10(free).alias("a"))
     words = materialize(words, "words")
 
-    value = words.where(F.col("c") >= least).select("h", "c", "u", "a").toPandas().sort_values(["c", "h"], ascending=False)
+    _, _, u, a = _by_rank(words.where(F.col("c") >= least).select("h", "c", "u", "a"))
     log_p1 = np.log10(np.maximum(_kept(counts, d1), 1e-300) / max(total + spare, 1))
-    model = spark.sparkContext.broadcast(Model(Head(hashes, counts, total, parts), value["u"].to_numpy(), value["a"].to_numpy(), log_p1, unseen, hot, hot_n, d2))
+    model = spark.sparkContext.broadcast(Model(Head(hashes, counts, total, parts), u, a, log_p1, unseen, hot, hot_n, d2))
     gain = F.log10(_kept_column("n", d2))
     left, right = words.select(F.col("h").alias("w1"), "u", "a"), words.select(F.col("h").alias("w2"), F.log10(p1("c")).alias("l"))
     far_pairs = far.join(left, "w1").join(right, "w2").select("part", "key", gain.alias("vt"), (gain - F.col("u") - F.col("a") - F.col("l")).alias("vh"), F.lit(-1).cast("long").alias("c"))
