@@ -30,6 +30,7 @@ at the end of the head are all left out of it. Other columns pass through; those
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,9 @@ from pyspark.sql import functions as F
 from .common import byte_steps, materialize
 from .decontam import _LOWER, word_hashes
 
-#: Words sent to all tasks (48 bytes each with their values; their codes have 20 bits), tokens of one part of the table of pairs,
+#: Words sent to all tasks (24 bytes each with their values; their codes have 20 bits), tokens of one part of the table of pairs,
 #: and pairs sent to all tasks; tokens that one emission of counts and one block of asks hold, about.
-HEAD = 1 << 18
+HEAD = 1 << 20
 PART_TOKENS = 8_000_000
 HOT_PAIRS = 1 << 16
 COUNT_TOKENS = 3_000_000
@@ -142,16 +143,22 @@ def _kept_column(n: str, d: np.ndarray) -> Column:
 
 
 class Head:
-    """The most frequent words: hashes and counts by code, which is the rank."""
+    """The most frequent words by code, which is the rank: hashes, and counts as (count, how many words), falling."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, parts: int):
-        self.hashes, self.counts, self.parts = hashes, counts, parts
-        # over how many parts a word's pairs are dealt
-        self.spread = np.minimum(parts, 1 + counts * parts * 2 // max(total, 1)).astype(np.uint64)
-        self.slots = None
+    def __init__(self, hashes: np.ndarray, levels: list[tuple[int, int]], total: int, parts: int):
+        self.hashes, self.levels, self.total, self.parts, self.slots = hashes, levels, total, parts, None
 
     def __getstate__(self):
-        return self.__dict__ | {"slots": None}
+        return {k: self.__dict__[k] for k in ("hashes", "levels", "total", "parts")} | {"slots": None}
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        return np.repeat(*np.array(self.levels, np.int64).reshape(-1, 2).T)
+
+    @cached_property
+    def spread(self) -> np.ndarray:
+        """Over how many parts a word's pairs are dealt."""
+        return np.minimum(self.parts, 1 + self.counts * self.parts * 2 // max(self.total, 1)).astype(np.uint64)
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """Code of each word, -1 for words outside; by open addressing, all words in step."""
@@ -237,7 +244,7 @@ def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def count_pairs(texts: DataFrame, shared) -> DataFrame:
-    """A row (part, keys, counts, ...) for a part's pairs in the head, and rows (part, ..., key, w1, w2, n) for its others."""
+    """A row (part, keys, counts) for a part's pairs in the head, and rows (w1, w2, n, c2) for its others; c2 is null outside the head."""
 
     def emit(batches):
         held, size = [], 0
@@ -287,14 +294,17 @@ def count_pairs(texts: DataFrame, shared) -> DataFrame:
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = _firsts(keys)
-        far = [keys[first], a[order[first]], b[order[first]]]
+        a, b = a[order[first]], b[order[first]]
         sums = np.add.reduceat(m[order], first) if len(first) else np.zeros(0, np.int64)
-        k = len(first)
-        cols = [pa.array([part] * (k + 1), pa.int32()), *(pa.array([_pack(x), *[None] * k], pa.binary()) for x in near)]
-        cols += [pa.array([None, *x.tolist()], pa.int64()) for x in (*(y.view(np.int64) for y in far), sums)]
-        return pa.table(cols, ["part", "keys", "counts", "key", "w1", "w2", "n"])
-
-    kind = "part int, keys binary, counts binary, key long, w1 long, w2 long, n long"
+        k, head = len(first), shared.value
+        code = head.codes(b)
+        c2 = pa.array(np.append(head.counts, 0)[code], mask=code < 0)
+        cols = [pa.array([part] + [None] * k, pa.int32()), *(pa.array([_pack(x), *[None] * k], pa.binary()) for x in near)]
+        none = pa.nulls(1, pa.int64())
+        cols += [pa.concat_arrays([none, x]) for x in (pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sums), c2)]
+        return pa.table(cols, ["part", "keys", "counts", "w1", "w2", "n", "c2"])
+
+    kind = "part int, keys binary, counts binary, w1 long, w2 long, n long, c2 long"
     return texts.mapInArrow(emit, "part int, keys binary, n binary, a binary, b binary, m binary").groupBy("part").applyInArrow(total, kind)
 
 
@@ -317,7 +327,7 @@ def pair_types(pairs: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray, np.n
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["key", "n", "k"])
 
     near = pairs.where("keys is not null").select("keys", "counts").mapInArrow(count, "key long, n long, k long")
-    far = pairs.where("key is not null")
+    far = pairs.where("keys is null")
     far_few = far.where(F.col("n") <= KATZ + 1).select(F.lit(None).cast("long").alias("key"), "n", F.lit(1).cast("long").alias("k"))
     rows = near.unionByName(far_few).groupBy("key", "n").agg(F.sum("k").alias("k")).collect()
     types = np.array([sum(r["k"] for r in rows if r["key"] is None and r["n"] == x) for x in range(KATZ + 2)], float)
@@ -325,11 +335,12 @@ def pair_types(pairs: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray, np.n
     return types, np.array([k for k, _ in often], np.uint64), np.array([n for _, n in often], np.int64)
 
 
-def context_sums(pairs: DataFrame, shared, d2: np.ndarray, p1: np.ndarray) -> DataFrame:
+def context_sums(pairs: DataFrame, shared, d1: np.ndarray, d2: np.ndarray, total: int) -> DataFrame:
     """(h, used, p): what a context's pairs in the head keep of its count, and P1 of their second words; partial sums."""
 
     def sums(batches):
         head: Head = shared.value
+        p1 = _kept(head.counts, d1) / max(total, 1)
         for k, n in _head_pairs(batches):
             first = _firsts(k >> _CODE)
             if len(first):
@@ -339,49 +350,80 @@ def context_sums(pairs: DataFrame, shared, d2: np.ndarray, p1: np.ndarray) -> Da
     return pairs.where("keys is not null").select("keys", "counts").mapInArrow(sums, "h long, used double, p double")
 
 
-def _batch(rows: list[tuple], head: int) -> pa.RecordBatch:
-    names = (_ROWS if head == 3 else _ANSWERS).split(", ")
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = schema.split(", ")
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     cols = [pa.array([r[j] for r in rows], kinds[x.split()[1]]) for j, x in enumerate(names)]
     return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in names])
 
 
-def packed_tail(values: DataFrame) -> DataFrame:
-    """Table rows (kind 0) of (part, key, vt, vh, c): values in training texts and in others, and a word's count or -1."""
+def far_rows(df: DataFrame, columns: list[str], shared, values) -> DataFrame:
+    """Table rows (kind 0) of (key, value in training texts, value in others, a word's count or -1); ``values`` makes them of columns."""
 
     def pack(batches):
+        held, size = [], 0
+
+        def flush():
+            key, vt, vh, c = values(*(np.concatenate(x) for x in zip(*held)))
+            order = np.argsort(key)
+            key, vt, vh, c = key[order], vt[order], vh[order], c[order]
+            return _batch([(p, 0, 0, None, None, _pack(key[i]), _pack(vt[i]), _pack(vh[i]), _pack(c[i])) for p, i in _by_part(shared.value.part(key))], _ROWS)
+
         for b in batches:
-            part, key, vt, vh, c = (b.column(i).to_numpy() for i in range(5))
-            rows = [(p, 0, 0, None, None, _pack(key[i].view(np.uint64)), _pack(vt[i]), _pack(vh[i]), _pack(c[i].astype(np.int64))) for p, i in _by_part(part)]
-            yield _batch(rows, 3)
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
+            size += b.num_rows
+            if size > COUNT_TOKENS:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
 
-    return values.select("part", "key", "vt", "vh", "c").repartition("part").mapInArrow(pack, _ROWS)
+    return df.select(*columns).mapInArrow(pack, _ROWS)
 
 
 class Model:
-    """What all tasks get: the head with its words' values, hot pairs, and the discounts of pairs."""
+    """Log u and log a of the head's words, discounts, tokens (one more if no word's discount frees anything) and hot pairs."""
 
-    def __init__(self, head: Head, log_u, log_a, log_p1, unseen: float, hot, hot_n, d2):
-        self.head, self.unseen, self.d2 = head, unseen, d2
-        self.train, self.other, self.off, self.log_p1 = -log_u, log_a + log_p1, log_u + log_a, log_p1
-        self.hot, self.hot_n = hot, hot_n
+    def __init__(self, log_u, log_a, d1, d2, total: int, unseen: float, hot, hot_n):
+        self.log_u, self.log_a, self.d1, self.d2, self.total, self.unseen, self.hot, self.hot_n = log_u, log_a, d1, d2, total, unseen, hot, hot_n
 
-    def gains(self, keys: np.ndarray, n: np.ndarray, train: np.ndarray) -> np.ndarray:
+    def log_p1(self, c: np.ndarray) -> np.ndarray:
+        return np.log10(np.maximum(_kept(c, self.d1), 1e-300) / max(self.total, 1))
+
+    def values(self, head: Head) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word of the head, as context and as token at once: in a training text, in another."""
+        return -self.log_u, self.log_a + self.log_p1(head.counts)
+
+    def gains(self, head: Head, keys: np.ndarray, n: np.ndarray, train: np.ndarray) -> np.ndarray:
         """Value of pairs in the head with counts n: in a training text, and over backing off in another."""
         v = np.log10(_kept(n, self.d2))
-        back = self.off[keys >> _CODE] + self.log_p1[keys & _CODES]
-        return np.where(train, v, v - back)
+        rest = np.flatnonzero(~train)
+        a, b = (keys[rest] >> _CODE).astype(np.int64), (keys[rest] & _CODES).astype(np.int64)
+        v[rest] -= self.log_u[a] + self.log_a[a] + self.log_p1(head.counts[b])
+        return v
+
+    def far_pairs(self, head: Head, w1, w2, n, c2, off) -> tuple:
+        """Values of other pairs; ``off`` is log u + log a of the first word, nan for words of the head."""
+        w1, w2 = w1.view(np.uint64), w2.view(np.uint64)
+        code = head.codes(w1)
+        if len(self.log_u):
+            off = np.where(code >= 0, (self.log_u + self.log_a)[code], off)
+        v = np.log10(_kept(n, self.d2))
+        return tail_keys(w1, w2), v, v - off - self.log_p1(c2), np.full(len(n), -1)
+
+    def far_words(self, h, c, u, a) -> tuple:
+        return h.view(np.uint64) | _TAIL, -u, a + self.log_p1(c) - self.unseen, c
 
 
-def asks(docs: DataFrame, shared) -> DataFrame:
+def asks(docs: DataFrame, shared, model) -> DataFrame:
     """Rows of kind 1, (key, text) with counts, and one row of kind 2 a block: its texts and what is known of them at once."""
 
     def ask(batches):
         task, blocks, held, size, rows = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def flush():
-            model: Model = shared.value
-            head, block = model.head, task << 32 | blocks
+            head, know, block = shared.value, model.value, task << 32 | blocks
+            in_train, in_other = know.values(head)
             t, of, words, train, *rids = (np.concatenate(x) for x in zip(*held))
             n = len(words)
             c, at, keys, other = head.pairs(t)
@@ -390,17 +432,15 @@ def asks(docs: DataFrame, shared) -> DataFrame:
             add = lambda i, v: np.bincount(i, v, n)
             known, base = add(text, None), add(text, np.log10(head.counts[own] + 1.0))
             rest = add(of, None) - known
-            s = add(text, np.where(train[text], model.train[own], model.other[own])) + np.where(train, 0, rest * model.unseen)
+            s = add(text, np.where(train[text], in_train[own], in_other[own])) + np.where(train, 0, rest * know.unseen)
             # a text's number and whether it is one to learn from
             tag = of.astype(np.uint64) << np.uint64(1) | train[of]
             x = np.sort(keys << _TEXT | tag[at])
             first = _firsts(x)
             k, d, m = x[first] >> _TEXT, x[first] & np.uint64((1 << 24) - 1), _lengths(first, len(x))
-            if len(model.hot):
-                i = np.minimum(np.searchsorted(model.hot, k), len(model.hot) - 1)
-                hit = model.hot[i] == k
-                s += add((d[hit] >> np.uint64(1)).astype(np.int64), m[hit] * model.gains(k[hit], model.hot_n[i[hit]], (d[hit] & np.uint64(1)).astype(bool)))
-                k, d, m = k[~hit], d[~hit], m[~hit]
+            hit, at = _find(know.hot, k)
+            s += add((d[hit] >> np.uint64(1)).astype(np.int64), m[hit] * know.gains(head, k[hit], know.hot_n[at], (d[hit] & np.uint64(1)).astype(bool)))
+            k, d, m = (np.delete(x, hit) for x in (k, d, m))
             far = np.flatnonzero(c < 0)
             fk, fd = np.concatenate([t[far] | _TAIL, tail_keys(_before(t, other), t[other])]), np.concatenate([tag[far], tag[other]])
             order = np.lexsort((fd, fk))
@@ -414,7 +454,7 @@ def asks(docs: DataFrame, shared) -> DataFrame:
                 each = times[u]
                 i = np.repeat(first[u] - np.cumsum(each) + each, each) + np.arange(each.sum())
                 out.append((p, 1, block, _pack(k[first[u]]), _pack(each.astype(np.uint32)), _pack(d[i]), _pack(m[i]), None, None))
-            return _batch(out, 3)
+            return _batch(out, _ROWS)
 
         for b in batches:
             rids, row = [b.column(k).to_numpy(zero_copy_only=False) for k in ("r1", "r2")], 0
@@ -432,11 +472,10 @@ def asks(docs: DataFrame, shared) -> DataFrame:
     return docs.select("r1", "r2", "train", "text").mapInArrow(ask, _ROWS)
 
 
-def answers(rows: DataFrame, shared) -> DataFrame:
+def answers(rows: DataFrame, shared, model) -> DataFrame:
     """Of rows in order of (part, kind, block): a part's table is held, its asks pass by."""
 
     def answer(batches):
-        model: Model = shared.value
         part, near, far, table = None, [], [], None
         for b in batches:
             out = []
@@ -454,9 +493,9 @@ def answers(rows: DataFrame, shared) -> DataFrame:
                         table = [_sorted(near, 2), _sorted(far, 4)]
                         near, far = [], []
                     k, times, d, m = _unpack(data[0], np.uint64), *(_unpack(x, np.uint32) for x in data[1:4])
-                    out += _found(model, table, block, k, times.astype(np.int64), d.astype(np.int64), m.astype(np.int64))
+                    out += _found(shared.value, model.value, table, block, k, times.astype(np.int64), d.astype(np.int64), m.astype(np.int64))
             if out:
-                yield _batch(out, 1)
+                yield _batch(out, _ANSWERS)
 
     return rows.mapInArrow(answer, _ANSWERS)
 
@@ -478,7 +517,7 @@ def _find(table: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, i[hit]
 
 
-def _found(model: Model, table, block: int, k, times, d, m) -> list[tuple]:
+def _found(head: Head, model: Model, table, block: int, k, times, d, m) -> list[tuple]:
     """One answer, for one block: texts that were hit, and their sums."""
     (keys, n), (far_keys, vt, vh, c) = table
     start = np.cumsum(times) - times
@@ -494,7 +533,7 @@ def _found(model: Model, table, block: int, k, times, d, m) -> list[tuple]:
     text, train, m, cut = d[i] >> 1, (d[i] & 1).astype(bool), m[i], int(times[hit].sum())
     s = np.empty(len(i))
     count = np.repeat(n[at].astype(np.int64), times[hit])
-    s[:cut] = model.gains(np.repeat(k[hit], times[hit]), count, train[:cut])
+    s[:cut] = model.gains(head, np.repeat(k[hit], times[hit]), count, train[:cut])
     to = np.repeat(to, times[far])
     s[cut:] = np.where(train[cut:], vt[to], vh[to])
     word = m[cut:] * (c[to] >= 0)
@@ -525,25 +564,23 @@ def _types(counts: DataFrame, n: str) -> np.ndarray:
     return np.array([0] + [few.get(r, 0) for r in range(1, KATZ + 2)], float)
 
 
-def _least_of_head(unigrams: DataFrame, head: int) -> int:
-    """The least count of words in the head; levels of counts are in it as a whole. There are few levels: their counts add up to the tokens."""
+def _levels(unigrams: DataFrame, head: int) -> list[tuple[int, int]]:
+    """(count, words) of the head, falling; a level is in it as a whole. There are few levels: their counts add up to the tokens."""
     level = unigrams.groupBy("c").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).limit(head).toPandas()
-    fits = level["c"][level["k"].cumsum() <= head]
-    return int(fits.min()) if len(fits) else int(level["c"].max()) + 1 if len(level) else 1
+    fits = level["k"].cumsum() <= head
+    return list(zip(level["c"][fits].tolist(), level["k"][fits].tolist()))
 
 
-def _by_rank(words: DataFrame) -> list[np.ndarray]:
-    """Columns (h, c, ...) of the head's words, the most frequent first."""
-    got = words.toArrow()
-    h, c, *more = (got.column(k).to_numpy() for k in got.column_names)
-    order = np.lexsort((h, -c))
-    return [h[order].view(np.uint64), c[order], *(x[order] for x in more)]
+def _by_rank(words: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Columns of the head's words, the most frequent first."""
+    got = words.orderBy(F.desc("c"), "h").select(*columns).toArrow()
+    return [got.column(k).to_numpy() for k in columns]
 
 
 def score(df: DataFrame, train: Column, *, text: str = "text", head: int = HEAD, part_tokens: int = PART_TOKENS) -> DataFrame:
     """``df`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score. ``train``: which rows to learn from."""
-    if not 0 <= head <= int(_CODES):
-        raise ValueError(f"a head of up to {int(_CODES)} words")
+    if not 0 <= head <= HEAD:
+        raise ValueError(f"a head of up to {HEAD} words")
     spark = df.sparkSession
     keep = [c for c in df.columns if c != text and c not in _MADE]
     t = F.coalesce(F.col(text), F.lit(""))
@@ -561,44 +598,39 @@ def score(df: DataFrame, train: Column, *, text: str = "text", head: int = HEAD,
     unseen = float(np.log10(max(freed / max(total + spare, 1), 1e-300))) if total else 0.0
     p1 = lambda c: _kept_column(c, d1) / max(total + spare, 1)
 
-    least = _least_of_head(unigrams, head)
-    hashes, counts = _by_rank(unigrams.where(F.col("c") >= least).select("h", "c"))
+    levels = _levels(unigrams, head)
+    least = levels[-1][0] if levels else total + 1
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_tokens))
-    shared = spark.sparkContext.broadcast(Head(hashes, counts, total, parts))
+    shared = spark.sparkContext.broadcast(Head(_by_rank(unigrams.where(F.col("c") >= least), "h")[0].view(np.uint64), levels, total, parts))
     pairs = materialize(count_pairs(own, shared), "pairs")
     seen2, hot, hot_n = pair_types(pairs, max(total // HOT_PAIRS, 2))
     d2 = discounts(seen2)
 
-    far = pairs.where("key is not null").select("part", "key", "w1", "w2", "n")
-    near = context_sums(pairs, shared, d2, _kept(counts, d1) / max(total + spare, 1))
-    c2 = unigrams.select(F.col("h").alias("w2"), F.col("c").alias("c2"))
-    far_sums = far.join(c2, "w2").select(F.col("w1").alias("h"), _kept_column("n", d2).alias("used"), p1("c2").alias("p"))
-    sums = near.unionByName(far_sums).groupBy("h").agg(F.sum("used").alias("used"), F.sum("p").alias("p"))
+    far = pairs.where("keys is null").select("w1", "w2", "n", "c2")
+    rare = unigrams.where(F.col("c") < least).select(F.col("h").alias("w2"), F.col("c").alias("c2"))
+    far = far.where("c2 is not null").unionByName(far.where("c2 is null").drop("c2").join(rare, "w2"))
+    near_sums = context_sums(pairs, shared, d1, d2, total + spare)
+    far_sums = far.select(F.col("w1").alias("h"), _kept_column("n", d2).alias("used"), p1("c2").alias("p"))
+    sums = near_sums.unionByName(far_sums).groupBy("h").agg(F.sum("used").alias("used"), F.sum("p").alias("p"))
     # a context whose pairs leave nothing free has one more count for what it did not see; one that saw every word has nothing to free
     under = F.when(F.col("p") > 1 - 1e-9, F.col("used")).otherwise(F.col("c") + (F.col("used") >= F.col("c") * (1 - 1e-12)).cast("int"))
     free = F.greatest(1 - F.col("used") / F.col("under"), F.lit(1e-300)) / F.greatest(1 - F.col("p"), F.lit(1e-12))
     words = unigrams.join(sums, "h").withColumn("under", under).select("h", "c", F.log10("under").alias("u"), F.log10(free).alias("a"))
     words = materialize(words, "words")
-
-    _, _, u, a = _by_rank(words.where(F.col("c") >= least).select("h", "c", "u", "a"))
-    log_p1 = np.log10(np.maximum(_kept(counts, d1), 1e-300) / max(total + spare, 1))
-    model = spark.sparkContext.broadcast(Model(Head(hashes, counts, total, parts), u, a, log_p1, unseen, hot, hot_n, d2))
-    gain = F.log10(_kept_column("n", d2))
-    left, right = words.select(F.col("h").alias("w1"), "u", "a"), words.select(F.col("h").alias("w2"), F.log10(p1("c")).alias("l"))
-    far_pairs = far.join(left, "w1").join(right, "w2").select("part", "key", gain.alias("vt"), (gain - F.col("u") - F.col("a") - F.col("l")).alias("vh"), F.lit(-1).cast("long").alias("c"))
-
-    @F.arrow_udf("int")
-    def part_of(keys: pa.Array) -> pa.Array:
-        return pa.array((_mix(keys.to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(parts)).astype(np.int32))
-
-    key = F.col("h").bitwiseOR(F.lit(-(2**63)))
-    far_words = words.where(F.col("c") < least).select(
-        part_of(key).alias("part"), key.alias("key"), (-F.col("u")).alias("vt"), (F.col("a") + F.log10(p1("c")) - unseen).alias("vh"), "c"
-    )
+    log_u, log_a = _by_rank(words.where(F.col("c") >= least), "u", "a")
+    know = Model(log_u, log_a, d1, d2, total + spare, unseen, hot, hot_n)
+    model = spark.sparkContext.broadcast(know)
+
+    rare_words = words.where(F.col("c") < least)
+    # words of the head are looked up where pairs are packed
+    left = rare_words.select(F.col("h").alias("w1"), (F.col("u") + F.col("a")).alias("off"))
+    far_pairs = far.join(left, "w1", "left").withColumn("off", F.coalesce("off", F.lit(float("nan"))))
+    far_pair_rows = far_rows(far_pairs, ["w1", "w2", "n", "c2", "off"], shared, lambda *x: model.value.far_pairs(shared.value, *x))
+    far_word_rows = far_rows(rare_words, ["h", "c", "u", "a"], shared, lambda *x: model.value.far_words(*x))
     none = [F.lit(None).cast("binary").alias(x) for x in "cdef"]
     near_pairs = pairs.where("keys is not null").select("part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), F.col("keys").alias("a"), F.col("counts").alias("b"), *none)
-    rows = near_pairs.unionByName(packed_tail(far_pairs.unionByName(far_words))).unionByName(asks(docs, model))
-    got = answers(rows.repartition(parts, "part").sortWithinPartitions("part", "kind", "block"), model)
+    rows = near_pairs.unionByName(far_pair_rows).unionByName(far_word_rows).unionByName(asks(docs, shared, model))
+    got = answers(rows.repartition(parts, "part").sortWithinPartitions("part", "kind", "block"), shared, model)
     sums = got.groupBy("block").applyInArrow(_gather, "r1 long, r2 long, n_words long, s double, base double, known long")
     # rows that are equal in all share their sums, and divide them
     same = sums.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("times"), *[F.sum(k).alias(k) for k in ("n_words", "s", "base", "known")])

@@ -110,17 +110,18 @@ def test_how_words_travel_changes_nothing(spark, sf_dir):
 def test_asks_are_summed(spark):
     """Equal (key, text) entries are one, texts travel once a block, and answers name only texts that were hit."""
     docs = spark.createDataFrame([(1, 1, True, "a b " * 20_000), *((i, 0, False, "a b") for i in range(2, 500)), (500, 0, False, "c")], "r1 long, r2 long, train boolean, text string").coalesce(1)
-    head = katz.Head(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 8)
+    head = spark.sparkContext.broadcast(katz.Head(np.zeros(0, np.uint64), [], 1, 8))
     none = np.zeros(0)
-    model = spark.sparkContext.broadcast(katz.Model(head, none, none, none, 0.0, none.astype(np.uint64), none.astype(np.int64), np.ones(katz.KATZ + 1)))
-    rows = katz.asks(docs, model)
+    model = spark.sparkContext.broadcast(katz.Model(none, none, none, np.ones(katz.KATZ + 1), 1, 0.0, none.astype(np.uint64), none.astype(np.int64)))
+    rows = katz.asks(docs, head, model)
     got = rows.collect()
     assert sum(len(katz._unpack(r.c, np.uint32)) for r in got if r.kind == 1) == 7 + 498 * 6 + 4  # words, ends and pairs of each text, once
     assert [len(katz._unpack(r.a, np.int64)) for r in got if r.kind == 2] == [500] and len({r.block for r in got}) == 1
     a, b = (katz._mix(h) for h in next(katz.token_steps(pa.array(["a b"])))[0].reshape(2, 1))
     key = katz.tail_keys(a, b)
-    table = katz.packed_tail(spark.createDataFrame([(int(head.part(key)[0]), int(key.astype(np.int64)[0]), 0.5, 0.25, -1)], "part int, key long, vt double, vh double, c long"))
-    found = katz.answers(table.unionByName(rows).repartition(8, "part").sortWithinPartitions("part", "kind", "block"), model)
+    values = spark.createDataFrame([(int(key.astype(np.int64)[0]), 0.5, 0.25, -1)], "key long, vt double, vh double, c long")
+    table = katz.far_rows(values, values.columns, head, lambda k, *x: (k.view(np.uint64), *x))
+    found = katz.answers(table.unionByName(rows).repartition(8, "part").sortWithinPartitions("part", "kind", "block"), head, model)
     assert sum(len(katz._unpack(r.a, np.uint32)) for r in found.collect() if r.e is None) == 499
     sums = {r.r1: r.s for r in found.groupBy("block").applyInArrow(katz._gather, "r1 long, r2 long, n_words long, s double, base double, known long").collect()}
     assert len(sums) == 500 and sums[1] == 10_000 and sums[2] == 0.25 and sums[500] == 0
@@ -128,7 +129,7 @@ def test_asks_are_summed(spark):
 
 def test_frequent_pairs_and_words_are_dealt_out():
     """A frequent first word's pairs go to many parts, a rare one's to one."""
-    head = katz.Head(katz._mix(np.arange(1, 101, dtype=np.uint64)), np.array([10_000] + [10] * 99), 20_000, 64)
+    head = katz.Head(katz._mix(np.arange(1, 101, dtype=np.uint64)), [(10_000, 1), (10, 99)], 20_000, 64)
     pairs = lambda w: np.uint64(w) << np.uint64(20) | np.arange(100, dtype=np.uint64)
     assert len(np.unique(head.part(pairs(0)))) > 30 and len(np.unique(head.part(pairs(5)))) == 1
     assert (head.codes(katz._mix(np.arange(0, 120, dtype=np.uint64))) == [-1, *range(100), *[-1] * 19]).all()
