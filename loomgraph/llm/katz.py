@@ -43,12 +43,13 @@ from .common import byte_steps, materialize
 from .decontam import _LOWER, word_hashes
 
 #: Words sent to all tasks (24 bytes each with their values; their codes have 20 bits), tokens of one part of the table of pairs,
-#: and pairs sent to all tasks; tokens that one emission of counts and one block of asks hold, about.
+#: and pairs sent to all tasks; tokens that one emission of counts and one block of asks hold, about, and other keys packed at once.
 HEAD = 1 << 20
 PART_TOKENS = 8_000_000
 HOT_PAIRS = 1 << 16
-COUNT_TOKENS = 3_000_000
-BLOCK_TOKENS = 1_500_000
+COUNT_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
+PACK_ROWS = 400_000
 #: Katz's k: counts above it are not discounted.
 KATZ = 5
 
@@ -372,7 +373,7 @@ def far_rows(df: DataFrame, columns: list[str], shared, values) -> DataFrame:
         for b in batches:
             held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
             size += b.num_rows
-            if size > COUNT_TOKENS:
+            if size > PACK_ROWS:
                 yield flush()
                 held, size = [], 0
         if size:
