@@ -64,8 +64,8 @@ def least_picks(df: DataFrame, total: int, rows: int) -> DataFrame:
     return df.where(F.col("pick") <= top).dropDuplicates(["pick"]).orderBy("pick").limit(rows)
 
 
-def byte_steps(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (bytes, offsets) over consecutive rows of an Arrow string array, about STEP_BYTES each.
+def byte_steps(texts: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (bytes, offsets) over consecutive rows of an Arrow string array, about ``size`` each.
 
     Null rows are empty. ``offsets`` has one entry more than the step has rows and starts at 0.
     """
@@ -82,7 +82,7 @@ def byte_steps(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     values = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STEP_BYTES, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
         last = min(last, n)
         yield values[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last

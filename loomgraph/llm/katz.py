@@ -47,9 +47,11 @@ from .decontam import _LOWER, word_hashes
 HEAD = 1 << 20
 PART_TOKENS = 8_000_000
 HOT_PAIRS = 1 << 16
-COUNT_TOKENS = 2_000_000
-BLOCK_TOKENS = 1_000_000
-PACK_ROWS = 400_000
+COUNT_TOKENS = 1_000_000
+BLOCK_TOKENS = 600_000
+PACK_ROWS = 200_000
+#: Bytes of text hashed at once.
+STEP = 1 << 19
 #: Katz's k: counts above it are not discounted.
 KATZ = 5
 
@@ -100,7 +102,7 @@ def _lengths(first: np.ndarray, n: int) -> np.ndarray:
 
 def token_steps(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes, counts): word hashes of consecutive texts, and how many words each text has."""
-    for raw, offsets in byte_steps(texts):
+    for raw, offsets in byte_steps(texts, STEP):
         data = _LOWER[raw]
         edge = np.diff(np.concatenate([[0], _WORD[data].view(np.int8), [0]]))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
