@@ -45,7 +45,7 @@ from .decontam import _LOWER, word_hashes
 #: Words sent to all tasks (24 bytes each with their values; their codes have 20 bits), tokens of one part of the table of pairs,
 #: and pairs sent to all tasks; tokens that one emission of counts and one block of asks hold, about, and other keys packed at once.
 HEAD = 1 << 20
-PART_TOKENS = 8_000_000
+PART_TOKENS = 4_000_000
 HOT_PAIRS = 1 << 16
 COUNT_TOKENS = 1_000_000
 BLOCK_TOKENS = 600_000
