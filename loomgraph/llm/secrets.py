@@ -3,13 +3,20 @@
 Strong spans come from three patterns (an assignment, an access id, a hex run).
 Weak candidates -- random-looking tokens, account names, endpoints -- are common
 in clean text, so they count only when complementary parts lie within ``reach``
-code points of them in the same document. That interval join is a merge: the
-parts of a document are ordered by position, one scan carries the furthest end of
-each role seen so far, a second scan from the back the nearest start to come, so
-no pairs are made. Every document is one row throughout; nothing is shuffled.
+code points of them in the same document: a token needs an id, an account name a
+secret, an endpoint both. An endpoint alone completes nothing, and a part never
+completes one it overlaps: weak candidates that overlap a strong span, or an
+earlier weak one, are left out first, so that a token within an URL is part of the
+URL. The interval join is a merge: the parts of a document are ordered by position,
+one scan carries the furthest end of each role seen so far, a second scan from the
+back the nearest start to come, so no pairs are made. Every document is one row
+throughout; nothing is shuffled.
 
 Defined results: null text is empty text and has no spans; positions are code
-points, ends exclusive; equal texts have equal spans; extra columns pass through.
+points, ends exclusive; spans that start together are listed in the order of
+KINDS; equal texts have equal spans; texts of any length are scanned whole, in time
+that grows with text and matches; an empty table has no rows; extra columns pass
+through whatever their names, but those named ``base_spans`` and ``spans`` are replaced.
 """
 
 from __future__ import annotations
@@ -30,11 +37,38 @@ WEAK = {
 }
 KINDS = (*STRONG, *WEAK)
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "key": "secret", "user": "id", "endpoint": "endpoint"}
-#: weak kind -> roles that complete it, and whether all of them must be near
-NEEDS = {"key": (("id", "endpoint"), False), "user": (("secret",), False), "endpoint": (("id", "secret"), True)}
+#: weak kind -> roles that must all be near it
+NEEDS = {"key": ("id",), "user": ("secret",), "endpoint": ("id", "secret")}
 
 _SPAN = "struct<start: int, ord: int, end: int>"
+_NEAR = "struct<start: int, ord: int, end: int, id: boolean, secret: boolean, endpoint: boolean>"
 _FAR = 2**30
+_CHUNK = 64
+
+
+def _scanned(items: Column, state: dict[str, Column], step, kind: str) -> Column:
+    """What ``step(state, item)`` emits for the items in order: it returns the next state and an array of at most one.
+
+    Emitted items are gathered in chunks, so a step copies at most a chunk and not all before it.
+    """
+    none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def merge(acc: Column, x: Column) -> Column:
+        after, out = step(acc, x)
+        full = F.size(acc["_chunk"]) >= _CHUNK
+        rest = F.when(full, F.concat(acc["_done"], F.array(acc["_chunk"]))).otherwise(acc["_done"])
+        return F.struct(*[after[k].alias(k) for k in state], F.when(full, out).otherwise(F.concat(acc["_chunk"], out)).alias("_chunk"), rest.alias("_done"))
+
+    first = F.struct(*[v.alias(k) for k, v in state.items()], none.alias("_chunk"), nones.alias("_done"))
+    return F.aggregate(items, first, merge, lambda acc: F.concat(F.flatten(acc["_done"]), acc["_chunk"]))
+
+
+def _span(start: Column, order: Column, end: Column) -> Column:
+    return F.struct(start.alias("start"), order.alias("ord"), end.alias("end"))
+
+
+def _maybe(ok: Column, x: Column, kind: str) -> Column:
+    return F.when(ok, F.array(x).cast(f"array<{kind}>")).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -44,56 +78,59 @@ def _matches(text: Column, kind: str) -> Column:
     scan = rf"(?s)\G(.*?)({pattern})"
     find = lambda g: F.regexp_extract_all(text, F.lit(scan), F.lit(g))
     zipped = F.arrays_zip(find(1).alias("gap"), find(2).alias("hit"), *([find(3).alias("value")] if group == 3 else []))
-    empty = F.array().cast(f"array<{_SPAN}>")
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column):
         start = acc["pos"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         ok = F.length(x["value"] if group == 3 else x["hit"]) >= least
         if kind == "key":  # letters of both cases and a digit: not a word, path or number
             ok = ok & x["hit"].rlike("[a-z]") & x["hit"].rlike("[A-Z]") & x["hit"].rlike("[0-9]")
-        span = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end"))).cast(f"array<{_SPAN}>")
-        return F.struct(end.alias("pos"), F.when(ok, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return {"pos": end}, _maybe(ok, _span(start, F.lit(KINDS.index(kind)), end), _SPAN)
 
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(empty)
+    found = _scanned(zipped, {"pos": F.lit(0)}, step, _SPAN)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _role(x: Column, role: str) -> Column:
     return x["ord"].isin([i for i, k in enumerate(KINDS) if ROLE[k] == role])
 
 
-def _linked(parts: Column, reach: int) -> Column:
-    """Weak parts with what they need within ``reach``; ``parts`` are sorted by start."""
-    roles = ("id", "secret", "endpoint")
-    seen = F.array().cast("array<struct<start: int, ord: int, end: int, id: boolean, secret: boolean, endpoint: boolean>>")
+def _apart(parts: Column) -> Column:
+    """Sorted parts without the weak ones that overlap a strong one or a weak one before them."""
+    strong = lambda x: x["ord"] < len(STRONG)
+
+    def backward(acc: Column, x: Column):
+        return {"next": F.when(strong(x), x["start"]).otherwise(acc["next"])}, _maybe(strong(x) | (x["end"] <= acc["next"]), x, _SPAN)
 
-    def forward(acc: Column, x: Column) -> Column:
-        near = [(acc[r] + reach >= x["start"]).alias(r) for r in roles]
-        row = F.array(F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), *near))
-        return F.struct(*[F.when(_role(x, r), F.greatest(acc[r], x["end"])).otherwise(acc[r]).alias(r) for r in roles], F.concat(acc["out"], row).alias("out"))
+    def forward(acc: Column, x: Column):
+        ok = strong(x) | (x["start"] >= acc["end"])
+        return {"end": F.when(ok, F.greatest(acc["end"], x["end"])).otherwise(acc["end"])}, _maybe(ok, x, _SPAN)
 
-    def backward(acc: Column, x: Column) -> Column:
-        near = [(x[r] | (acc[r] - reach <= x["end"])).alias(r) for r in roles]
-        row = F.array(F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), *near))
-        return F.struct(*[F.when(_role(x, r), F.least(acc[r], x["start"])).otherwise(acc[r]).alias(r) for r in roles], F.concat(acc["out"], row).alias("out"))
+    clear = _scanned(F.reverse(parts), {"next": F.lit(_FAR)}, backward, _SPAN)
+    return _scanned(F.reverse(clear), {"end": F.lit(0)}, forward, _SPAN)
 
-    def scan(arr: Column, edge: int, step) -> Column:
-        first = F.struct(*[F.lit(edge).alias(r) for r in roles], seen.alias("out"))
-        return F.aggregate(arr, first, step, lambda acc: acc["out"])
 
-    both = scan(F.reverse(scan(parts, -_FAR, forward)), _FAR, backward)
+def _linked(parts: Column, reach: int) -> Column:
+    """Weak parts with what they need within ``reach``; ``parts`` are sorted by start and no weak one overlaps another."""
+    roles = ("id", "secret", "endpoint")
 
-    def wanted(x: Column) -> Column:
-        out = F.lit(False)
-        for kind, (needs, every) in NEEDS.items():
-            ok = x[needs[0]]
-            for n in needs[1:]:
-                ok = (ok & x[n]) if every else (ok | x[n])
-            out = out | ((x["ord"] == KINDS.index(kind)) & ok)
-        return out
+    def forward(acc: Column, x: Column):
+        near = F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), *[(acc[r] + reach >= x["start"]).alias(r) for r in roles])
+        return {r: F.when(_role(x, r), F.greatest(acc[r], x["end"])).otherwise(acc[r]) for r in roles}, F.array(near).cast(f"array<{_NEAR}>")
 
-    return F.transform(F.filter(both, wanted), lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end")))
+    def backward(acc: Column, x: Column):
+        near = {r: x[r] | (acc[r] - reach <= x["end"]) for r in roles}
+        ok = F.lit(False)
+        for kind, needs in NEEDS.items():
+            this = x["ord"] == KINDS.index(kind)
+            for r in needs:
+                this = this & near[r]
+            ok = ok | this
+        after = {r: F.when(_role(x, r), F.least(acc[r], x["start"])).otherwise(acc[r]) for r in roles}
+        return after, _maybe(ok, _span(x["start"], x["ord"], x["end"]), _SPAN)
+
+    seen = _scanned(parts, {r: F.lit(-_FAR) for r in roles}, forward, _NEAR)
+    return _scanned(F.reverse(seen), {r: F.lit(_FAR) for r in roles}, backward, _SPAN)
 
 
 def listing(spans: Column) -> Column:
@@ -104,32 +141,32 @@ def listing(spans: Column) -> Column:
 
 def scan(df: DataFrame, *, text: str = "text", reach: int = 300) -> DataFrame:
     """``df`` with ``base_spans`` and ``spans``: arrays of (start, ord in KINDS, end), sorted."""
-    t = "_scan_text"
-    out = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
-    out = out.select("*", *[_matches(F.col(t), k).alias(f"_s_{k}") for k in STRONG], *[_matches(F.col(t), k).alias(f"_s_{k}") for k in ("user", "endpoint")])
-    out = out.withColumn("base_spans", F.sort_array(F.concat(*[F.col(f"_s_{k}") for k in STRONG])))
+    keep = [c for c in df.columns if c not in ("base_spans", "spans")]
+    # the caller's columns wait in one struct, so none of their names meets one of ours
+    out = df.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    out = out.select("*", *[_matches(F.col("t"), k).alias(k) for k in (*STRONG, "user", "endpoint")])
+    out = out.withColumn("base_spans", F.sort_array(F.concat(*STRONG)))
     # tokens are searched only where there is something they could complete
-    others = F.size("_s_access") + F.size("_s_user") + F.size("_s_endpoint") > 0
-    out = out.withColumn("_s_key", F.when(others, _matches(F.col(t), "key")).otherwise(F.array().cast(f"array<{_SPAN}>")))
-    weak = F.concat(*[F.col(f"_s_{k}") for k in WEAK])
-    clear = F.filter(weak, lambda w: ~F.exists("base_spans", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    out = out.withColumn("_weak", F.when(others, clear).otherwise(F.array().cast(f"array<{_SPAN}>")))
-    out = out.withColumn("_parts", F.sort_array(F.concat("base_spans", "_weak")))
-    found = F.when(F.size("_weak") > 0, F.sort_array(F.concat("base_spans", _linked(F.col("_parts"), reach)))).otherwise(F.col("base_spans"))
-    return out.select(*df.columns, "base_spans", found.alias("spans"))
+    empty = F.array().cast(f"array<{_SPAN}>")
+    others = F.size("access") + F.size("user") > 0
+    out = out.withColumn("key", F.when(others, _matches(F.col("t"), "key")).otherwise(empty))
+    out = out.withColumn("weak", F.when(others, F.concat(*WEAK)).otherwise(empty))
+    out = out.withColumn("parts", F.when(F.size("weak") > 0, _apart(F.sort_array(F.concat("base_spans", "weak")))).otherwise(empty))
+    out = out.withColumn("spans", F.when(F.size("parts") > F.size("base_spans"), F.sort_array(F.concat("base_spans", _linked(F.col("parts"), reach)))).otherwise(F.col("base_spans")))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], "base_spans", "spans")
 
 
 def redact(df: DataFrame, *, text: str = "text", mark: str = "[secret]", reach: int = 300) -> DataFrame:
     """``df`` with every span of ``text`` replaced by ``mark``; overlapping spans become one mark. Null text stays null."""
-    found = scan(df, text=text, reach=reach)
-    t = F.col(text)
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(t, acc["pos"] + 1, s["start"] - acc["pos"])
-        fresh = F.concat(acc["out"], F.array(piece, F.lit(mark)))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], fresh).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["pos"] + 1, 2**31 - 1))
-    clean = F.when(t.isNotNull() & (F.size("spans") > 0), F.aggregate("spans", start, step, rest)).otherwise(t)
-    return found.withColumn("_clean", clean).select(*[F.col("_clean").alias(c) if c == text else F.col(c) for c in df.columns])
+    found = scan(df.select(F.struct(*df.columns).alias("all"), F.col(text).alias("body")), text="body", reach=reach)
+    t = F.col("body")
+
+    def step(acc: Column, s: Column):
+        piece = F.concat(F.substring(t, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))
+        return {"pos": F.greatest(acc["pos"], s["end"])}, _maybe(s["start"] >= acc["pos"], piece, "string")
+
+    done = F.aggregate("spans", F.lit(0), lambda acc, s: F.greatest(acc, s["end"]))
+    pieces = F.concat(F.array_join(_scanned(F.col("spans"), {"pos": F.lit(0)}, step, "string"), ""), F.substring(t, done + 1, 2**31 - 1))
+    clean = F.when(t.isNotNull() & (F.size("spans") > 0), pieces).otherwise(t)
+    found = found.select("all", clean.alias("clean"))
+    return found.select(*[F.col("clean").alias(c) if c == text else F.col("all")[c].alias(c) for c in df.columns])
