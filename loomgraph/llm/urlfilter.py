@@ -1,13 +1,20 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
-Trees learn from labelled URLs, by default those that a rule decides. Features:
-lengths, depth, digit ratio, entropy, parameter counts and the smoothed share of
-blocked labels of the host's suffix (counted over every labelled URL). The trees
-are small and become one Spark column expression, so judging needs no Python.
+Trees learn from labelled URLs, by default those that a rule decides. Labels from
+rules say nothing of the URLs that no rule covers, most of which a filter should
+leave alone, so these join the fit as weak examples, blocked with a probability of
+``background`` only: what the trees block is what looks like a blocked URL and not
+like the rest. Features: lengths, depth, digit ratio, entropy, parameter counts and
+the smoothed share of blocked labels of the host's suffix (counted over every
+labelled URL). A fifth of the sample is held out; the score above which an URL is
+blocked is the one with the least error there. The trees are small and become one
+Spark column expression, so judging needs no Python.
 
 Defined results: a null url or one without ``://`` has empty host and path and no
-rule; without labels of both kinds the trees are a constant. Equal URLs have
-equal verdicts. Extra columns pass through.
+rule; rules that tie in length go by name; without labels of both kinds the trees
+are a constant. Equal URLs have equal verdicts. URLs of any length are read whole.
+An empty table has no rows. Extra columns pass through whatever their names, but
+those with a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -89,6 +96,8 @@ def lexical(df: DataFrame, url: str = "url", host: str = "host", path: str = "pa
 class Trees:
     base: float
     trees: tuple  # nested (feature, cut, left, right) or a leaf value
+    threshold: float = 0.5
+    error: float = 0.0  # share of held-out labelled rows on the wrong side of the threshold
 
     def logit(self) -> Column:
         def grow(node) -> Column:
@@ -114,7 +123,7 @@ class Trees:
 def fit_trees(x: np.ndarray, y: np.ndarray, *, rounds: int = 24, depth: int = 3, rate: float = 0.3, bins: int = 32, leaf: int = 8) -> Trees:
     """Logistic boosting with Newton leaves and quantile cuts."""
     if not len(y) or y.min() == y.max():
-        return Trees(-4.0 if not len(y) or y[0] == 0 else 4.0, ())
+        return Trees(-4.0 if not len(y) or y[0] < 0.5 else 4.0, ())
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     base = float(np.log(y.mean() / (1 - y.mean())))
     f, trees = np.full(len(y), base), []
@@ -145,27 +154,50 @@ def fit_trees(x: np.ndarray, y: np.ndarray, *, rounds: int = 24, depth: int = 3,
     return Trees(base, tuple(trees))
 
 
+def fit(x: np.ndarray, y: np.ndarray, sure: np.ndarray) -> Trees:
+    """Trees of four fifths of the rows, with the threshold that is best on the fifth; ``sure`` rows are labelled, others weak examples."""
+    held = np.arange(len(y)) % 5 == 4
+    trees = fit_trees(x[~held], y[~held])
+    check = held & sure
+    if not check.any() or not trees.trees:
+        return trees
+    score, blocked = 1 / (1 + np.exp(-trees.predict(x[check]))), y[check] > 0.5
+    cuts = np.linspace(0.05, 0.95, 91)
+    wrong = np.array([((score > c) != blocked).mean() for c in cuts])
+    best = np.flatnonzero(wrong == wrong.min())
+    at = best[np.abs(cuts[best] - 0.5).argmin()]
+    return Trees(trees.base, trees.trees, float(cuts[at]), float(wrong[at]))
+
+
 def with_features(df: DataFrame, labelled: DataFrame, smooth: float = 10.0) -> tuple[DataFrame, DataFrame]:
-    """Both tables with FEATURES; ``labelled`` has ``blocked`` (0 or 1). Suffix counts cover all of ``labelled``.
+    """Both tables with FEATURES; ``labelled`` has ``blocked`` (0 to 1) and ``sure``. Suffix counts cover all sure rows of it.
 
     A labelled row's own label is left out of its suffix share.
     """
     lab = lexical(labelled)
-    stats = lab.groupBy("_suffix").agg(F.count(F.lit(1)).alias("_sn"), F.sum("blocked").alias("_sb"))
+    stats = lab.where("sure").groupBy("_suffix").agg(F.count(F.lit(1)).alias("_sn"), F.sum("blocked").alias("_sb"))
     prior = 0.5
     rate = lambda n, b: ((b + smooth * prior) / (n + smooth)).alias("suffix_rate")
-    n, b = F.coalesce("_sn", F.lit(0)), F.coalesce("_sb", F.lit(0))
+    n, b = F.coalesce("_sn", F.lit(0)), F.coalesce("_sb", F.lit(0.0))
+    own = F.col("sure").cast("int")
     drop = ("_suffix", "_sn", "_sb")
-    fit = lab.join(stats, "_suffix").select("*", rate(n - 1, b - F.col("blocked"))).drop(*drop)
+    fit = lab.join(stats, "_suffix", "left").select("*", rate(n - own, b - own * F.col("blocked"))).drop(*drop)
     use = lexical(df).join(stats, "_suffix", "left").select("*", rate(n, b)).drop(*drop)
     return fit, use
 
 
-def judge(df: DataFrame, rules: Sequence[Rule], *, url: str = "url", sample_rows: int = 20_000, labelled: DataFrame | None = None) -> DataFrame:
+def learn(labelled: DataFrame, sample_rows: int) -> Trees:
+    """Trees of at most ``sample_rows`` rows, those with the smallest hashes, of a table with FEATURES, ``url``, ``blocked`` and ``sure``."""
+    picked = labelled.select(F.xxhash64("url").alias("pick"), "blocked", "sure", *FEATURES)
+    got = least_picks(picked, labelled.count(), sample_rows).toPandas().sort_values("pick")
+    return fit(got[list(FEATURES)].to_numpy(np.float64), got["blocked"].to_numpy(np.float64), got["sure"].to_numpy(bool))
+
+
+def judge(df: DataFrame, rules: Sequence[Rule], *, url: str = "url", sample_rows: int = 20_000, labelled: DataFrame | None = None, background: float = 0.1) -> DataFrame:
     """``df`` with host, path, rule, verdict and ``block_score`` (of the trees).
 
-    ``labelled`` (columns ``url``, ``blocked``) trains the trees; by default the URLs of ``df`` that a rule decides do.
-    The fit takes at most ``sample_rows`` of them, those with the smallest hashes. Columns of ``df`` with these names are replaced.
+    ``labelled`` (columns ``url``, ``blocked``) trains the trees; by default the URLs of ``df`` that a rule decides do, and
+    the others as weak examples. The fit takes at most ``sample_rows`` of them. Columns of ``df`` with these names are replaced.
     """
     made = ("host", "path", "rule", "verdict", "block_score")
     own = [c for c in df.columns if c not in made]
@@ -179,11 +211,12 @@ def judge(df: DataFrame, rules: Sequence[Rule], *, url: str = "url", sample_rows
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])[F.col("rule")] if names else F.lit(None).cast("string")
     if labelled is None:
-        labelled = rows.where(F.col("rule").isNotNull()).select("url", "host", "path", (by_rule == "block").cast("int").alias("blocked"))
+        blocked = F.coalesce((by_rule == "block").cast("double"), F.lit(background))
+        labelled = rows.select("url", "host", "path", blocked.alias("blocked"), by_rule.isNotNull().alias("sure"))
     else:
-        labelled = split(labelled.select(F.col("url"), F.col("blocked").cast("int")).where("blocked is not null"), F.col("url"))
-    fit, use = with_features(rows, labelled)
-    got = least_picks(fit.select(F.xxhash64("url").alias("pick"), "blocked", *FEATURES), labelled.count(), sample_rows).toPandas().sort_values("pick")
-    trees = fit_trees(got[list(FEATURES)].to_numpy(np.float64), got["blocked"].to_numpy(np.float64))
+        labelled = split(labelled.select(F.col("url"), F.col("blocked").cast("double"), F.lit(True).alias("sure")).where("blocked is not null"), F.col("url"))
+    fitted, use = with_features(rows, labelled)
+    trees = learn(fitted, sample_rows)
     score = 1 / (1 + F.exp(-trees.logit()))
-    return use.select("_row.*", "host", "path", "rule", F.coalesce(by_rule, F.when(score > 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("block_score"))
+    verdict = F.coalesce(by_rule, F.when(score > trees.threshold, "block").otherwise("allow"))
+    return use.select(*[F.col("_row")[c].alias(c) for c in own], "host", "path", "rule", verdict.alias("verdict"), score.alias("block_score"))
