@@ -3,13 +3,18 @@
 A text is the average of the embeddings of its subwords (byte 3- and 4-grams of
 words with their boundary blanks, hashed to buckets); a linear softmax over that
 average gives the language. Embeddings and softmax are trained together by
-stochastic gradient descent in numpy on a bounded sample of labelled rows. A
-temperature fitted on rows the training did not see makes the scores
-probabilities, and the same rows give the threshold below which a text is rejected.
+stochastic gradient descent in numpy on a bounded sample of labelled rows. The
+softmax has one class more, for text in no language that was learned: its rows are
+sampled texts read backwards or with their letters exchanged. A temperature fitted on
+rows the training did not see makes the scores probabilities, and the scores of those
+rows give the threshold below which a text is rejected: the share ``false_reject`` of
+them lies below it.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and
 rejected. With no labelled row at all every text is ``und``. Equal texts have
-equal results; ties go to the label that sorts first. Extra columns pass through.
+equal results; ties go to the label that sorts first. Texts of any length are read
+whole. An empty table has no rows. Extra columns pass through whatever their names,
+but those with a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -64,7 +69,7 @@ def _sums(buckets: np.ndarray, inside: np.ndarray, offsets: np.ndarray, table: n
 @dataclass(frozen=True)
 class LanguageModel:
     labels: tuple[str, ...]
-    weights: np.ndarray  # bucket x label: embeddings times softmax weights
+    weights: np.ndarray  # bucket x (labels and none): embeddings times softmax weights
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -78,7 +83,7 @@ class LanguageModel:
             for buckets, inside in _grams(data):
                 total += _sums(buckets, inside, offsets, table)
             logits = total[:, :-1] / np.maximum(total[:, -1:], 1) + self.bias
-            p = _softmax(logits / self.temperature)
+            p = _softmax(logits / self.temperature)[:, : len(self.labels)]  # the last class is no language
             best.append(p.argmax(1))
             prob.append(p.max(1))
         return (np.concatenate(best), np.concatenate(prob)) if best else (np.zeros(0, int), np.zeros(0))
@@ -112,42 +117,48 @@ def bucket_counts(text: Column) -> Column:
     return count(_padded(text))
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", sample_rows: int = 2400, dim: int = 16, epochs: int = 12, false_reject: float = 0.001, max_labels: int = 256, seed: int = 7) -> LanguageModel:
-    """Fit on at most ``sample_rows`` rows, the ones with the smallest content hashes, one fifth of them for calibration.
+#: Letters exchanged in texts of the class for no language.
+_LETTERS, _EXCHANGED = "aeiounrstlmdcphgbvfyzqwjkxAEIOUNRSTLM", "qzxjkwvbhgpfyaceimnoudrltsQZXJKWVBHGP"
 
-    ``sample_rows`` and the number of buckets bound what the driver gets, whatever the size of the table;
-    ``max_labels`` labels at most are learned, the most frequent of the sample. ``false_reject`` is the share
-    of calibration rows that the threshold may lose.
+
+def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", sample_rows: int = 2400, calibration_rows: int = 2400, dim: int = 16, epochs: int = 12, false_reject: float = 0.001, seed: int = 7) -> LanguageModel:
+    """Fit on at most ``sample_rows`` rows and calibrate on at most ``calibration_rows`` others, the ones with the least content hashes.
+
+    These and the number of buckets bound what the driver gets, whatever the size of the table; every label of the
+    sample is learned. ``false_reject`` is the share of calibration rows that the threshold may lose.
     """
     known = labelled.where(F.col(label).isNotNull())
     wanted = known.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text, label).alias("pick")).where(F.col("text").rlike(r"\p{L}"))
-    rows = (
-        least_picks(wanted, known.count(), sample_rows)
-        .repartition(12)
-        .select("label", "pick", bucket_counts(F.col("text")).alias("f"))
-        .select("label", "pick", "f.*")
-        .toPandas()
-        .sort_values(["pick", "label"], kind="stable")
-    )
-    labels = tuple(sorted(rows["label"].value_counts().index[:max_labels])) if len(rows) else ()
+    picked = least_picks(wanted, known.count(), sample_rows + calibration_rows).repartition(12)
+    # half of the rows stand a second time for no language
+    odd = F.when(F.col("pick") % 4 == 0, F.reverse("text")).otherwise(F.translate("text", _LETTERS, _EXCHANGED))
+    none = picked.where("pick % 2 = 0").select(F.lit(None).cast("string").alias("label"), "pick", odd.alias("text"))
+    rows = picked.unionByName(none).select("label", "pick", bucket_counts(F.col("text")).alias("f")).select("label", "pick", "f.*").toPandas().sort_values(["pick", "label"], kind="stable")
+    labels = tuple(sorted(rows["label"].dropna().unique()))
     if not labels:
         return LanguageModel((), np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0), 1.0, 0.0)
-    rows = rows[rows["label"].isin(labels)]
-    x = np.zeros((len(rows), 1 << BUCKET_BITS), np.float32)
-    for i, (b, n) in enumerate(zip(rows["bucket"], rows["n"])):
-        x[i, np.asarray(b, np.int64)] = n
-    x /= np.maximum(x.sum(1, keepdims=True), 1)
-    y = np.searchsorted(labels, rows["label"].to_numpy(dtype=object).astype(str))
-    held = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
+    picks = np.sort(rows["pick"].unique())
+    held = rows["pick"].isin(picks[np.random.default_rng(seed).permutation(len(picks))[: len(picks) * calibration_rows // (sample_rows + calibration_rows)]]).to_numpy()
+    if len(picks) < 50:
+        held[:] = False
+    code = {v: k for k, v in enumerate(labels)}
+    y = np.array([code.get(v, len(labels)) for v in rows["label"]])
+
+    def features(at: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(at), 1 << BUCKET_BITS), np.float32)
+        for i, (b, n) in enumerate(zip(rows["bucket"].iloc[at], rows["n"].iloc[at])):
+            x[i, np.asarray(b, np.int64)] = n
+        return x / np.maximum(x.sum(1, keepdims=True), 1)
+
+    own = np.flatnonzero(~held)
+    x, target = features(own), np.eye(len(labels) + 1, dtype=np.float32)[y[own]]
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.5, (x.shape[1], dim)).astype(np.float32)
-    out = np.zeros((dim, len(labels)), np.float32)
-    bias = np.zeros(len(labels), np.float32)
-    own = np.flatnonzero(~held)
-    target = np.eye(len(labels), dtype=np.float32)[y]
+    out = np.zeros((dim, len(labels) + 1), np.float32)
+    bias = np.zeros(len(labels) + 1, np.float32)
     for epoch in range(epochs):
         rate = 8.0 * (1 - epoch / epochs)
-        order = rng.permutation(own)
+        order = rng.permutation(len(own))
         for k in range(0, len(order), 32):
             at = order[k : k + 32]
             hidden = x[at] @ emb
@@ -157,15 +168,14 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", sampl
             out -= rate * hidden.T @ grad
             bias -= rate * 0.1 * grad.sum(0)
     weights = (emb @ out).astype(np.float64)
-    check = held if held.any() else ~held
-    logits = x[check] @ weights + bias
-    temps = np.geomspace(0.05, 20, 60)
+    check = np.flatnonzero(held) if held.any() else own
+    logits = np.concatenate([features(check[k : k + 256]) @ weights + bias for k in range(0, len(check), 256)])
     truth = y[check]
+    temps = np.geomspace(0.05, 20, 60)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in temps]
     temperature = float(temps[int(np.argmin(loss))])
-    sure = np.sort(_softmax(logits / temperature).max(1))
-    # never above what an even guess between two labels gives: clean texts stay
-    threshold = min(float(sure[int(false_reject * len(sure))]), 0.5) if len(labels) > 1 else 0.0
+    sure = np.sort(_softmax(logits / temperature)[truth < len(labels), :-1].max(1))
+    threshold = float(sure[int(false_reject * len(sure))]) if len(sure) else 0.0
     return LanguageModel(labels, weights, bias.astype(np.float64), temperature, threshold)
 
 
@@ -178,16 +188,15 @@ def identify(df: DataFrame, model: LanguageModel, *, text: str = "text", prefix:
         best, p = model.scores(texts)
         return pa.StructArray.from_arrays([pa.array(best.astype(np.int32)), pa.array(p.astype(np.float64))], ["best", "p"])
 
-    if not labels:
-        return df.select("*", F.lit("und").alias(f"{prefix}pred"), F.lit(0.0).alias(f"{prefix}score"), F.lit(True).alias(f"{prefix}rejected"))
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    got = "_lang_model_out"
-    out = df.withColumn(got, predict(_padded(F.col(text))))
-    name = F.element_at(F.array(*map(F.lit, labels)), F.col(f"{got}.best") + 1)
-    score = F.when(letters, F.col(f"{got}.p")).otherwise(0.0)
-    return out.select(
-        *df.columns,
-        F.when(letters, name).otherwise("und").alias(f"{prefix}pred"),
-        score.alias(f"{prefix}score"),
-        (~letters | (F.col(f"{got}.p") < model.threshold)).alias(f"{prefix}rejected"),
-    )
+    made = [f"{prefix}{k}" for k in ("pred", "score", "rejected")]
+    keep = [c for c in df.columns if c not in made]
+    # the caller's columns wait in one struct, so none of their names meets one of ours
+    rows = df.select(F.struct(*keep).alias("row"), F.col(text).alias("t"))
+    if labels:
+        letters = F.coalesce(F.col("t").rlike(r"\p{L}"), F.lit(False))
+        rows = rows.withColumn("out", predict(_padded(F.col("t"))))
+        name = F.element_at(F.array(*map(F.lit, labels)), F.col("out.best") + 1)
+        results = F.when(letters, name).otherwise("und"), F.when(letters, F.col("out.p")).otherwise(0.0), ~letters | (F.col("out.p") < model.threshold)
+    else:
+        results = F.lit("und"), F.lit(0.0), F.lit(True)
+    return rows.select(*[F.col("row")[c].alias(c) for c in keep], *[r.alias(c) for r, c in zip(results, made)])
