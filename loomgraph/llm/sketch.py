@@ -6,7 +6,10 @@ Sketches of parts merge into the sketch of the whole; two of them estimate
 resemblance, containment and the number of distinct shingles.
 
 Defined results: null text is empty text; two empty sketches resemble each other
-fully; equal texts have equal sketches.
+fully; equal texts have equal sketches, whatever their length (texts are read whole); hashes
+that tie count once; an empty table has no rows. Ids may be of any type that can be ordered.
+``with_edits`` returns its own columns only, so other columns of the table, whatever their
+names, neither help nor disturb.
 """
 
 from __future__ import annotations
@@ -97,18 +100,19 @@ def with_edits(df: DataFrame, *, text: str = "text", key: str = "doc_id", k: int
     (beginning, sketch) of that key; a row without a key has an empty next text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    # never null, so that no filter on it sets the two readings of the exchange apart; nothing but texts is in it
-    none_key = -(2**63)
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(none_key)).alias("at"), t.alias("text")).repartition("at")
+    table = df.select(F.col(key).alias("at"), t.alias("text"))
+    docs = table.where("at is not null").repartition("at")  # nothing but keys and texts is in the exchange
     need = next_in_order(df, key).withColumnRenamed(key, "key")
     wants = need.join(df.select(F.col(key).alias("key"), F.length(t).alias("n")), "key").groupBy("key", "next_key").agg(F.max("n").alias("n"))
-    wants = wants.select(F.coalesce(F.col("key").cast("long"), F.lit(0)).alias("owner"), F.coalesce(F.col("next_key").cast("long"), F.lit(0)).alias("at"), F.expr("cast(n div 3 as int)").alias("need"))
+    wants = wants.select(F.col("key").alias("owner"), F.col("next_key").alias("at"), F.expr("cast(n div 3 as int)").alias("need"))
     given = docs.join(wants, "at").select("owner", F.substring("text", F.lit(1), F.col("need")).alias("head"), sketch(F.col("text"), k, words).alias("next_sk"))
     given = given.groupBy("owner").agg(F.min(F.struct("head", "next_sk")).alias("g"))
-    out = docs.join(given, docs["at"] == given["owner"], "left").withColumn("n_chars", F.length("text").cast("long")).withColumn("sk", sketch(F.col("text"), k, words))
-    out = out.withColumn("key", F.nullif("at", F.lit(none_key)).cast(df.schema[key].dataType))
+    kind = docs.join(given, docs["at"] == given["owner"], "left").select("at", "text", "g")
+    # rows without a key meet nobody and stay where they are
+    out = kind.unionByName(table.where("at is null").select("at", "text", F.lit(None).cast(kind.schema["g"].dataType).alias("g")))
+    out = out.withColumn("n_chars", F.length("text").cast("long")).withColumn("sk", sketch(F.col("text"), k, words))
     third = F.expr("cast(n_chars div 3 as int)")
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int"))
     head = F.substring(F.coalesce("g.head", F.lit("")), F.lit(1), third)
     none = F.array().cast("array<bigint>")
-    return out.select(F.col("key").alias(key), "text", "n_chars", "sk", F.concat(kept, head).alias("edited"), F.coalesce("g.next_sk", none).alias("next_sk"))
+    return out.select(F.col("at").alias(key), "text", "n_chars", "sk", F.concat(kept, head).alias("edited"), F.coalesce("g.next_sk", none).alias("next_sk"))
