@@ -14,7 +14,9 @@ size of benchmark is searched whole. Texts are never shuffled.
 Defined results: null or empty text, and text without a word, has no words and no
 hits; a null or wordless item has no window; an item without an id hits words but
 is no item of a document's list; an item id that repeats counts once;
-equal texts have equal results; extra columns pass through.
+equal texts have equal results, and texts of any length are searched whole; an empty
+table has no rows, an empty benchmark no windows; extra columns pass through whatever
+their names, but those with a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -258,15 +260,17 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", it
     """``df`` with ``n_words``, ``n_hit``, ``items`` (sorted ids of items with an occurring window) and ``contaminated``."""
     chunks = window_chunks(benchmark, item, item_text, pass_words)
     first, following = next(chunks, None) or Windows([]), next(chunks, None)
+    keep = [c for c in df.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
+    # the caller's columns wait in one struct, so none of their names meets one of ours
+    rows = df.select(F.struct(*keep).alias("row"), F.col(text).alias("t"))
     if following is None:
-        got = df.withColumn("_hit", _single(first, F.col(text)))
+        got = rows.withColumn("hit", _single(first, F.col("t")))
     else:  # one pass a chunk, its marks written, so that the driver holds two chunks at most
-        got = materialize(df.withColumn("_hit", _pass(first, F.col(text), None)), "marks")
+        got = materialize(rows.withColumn("hit", _pass(first, F.col("t"), None)), "marks")
         while following is not None:
-            got = materialize(got.withColumn("_hit", _pass(following, F.col(text), F.col("_hit"))), "marks")
+            got = materialize(got.withColumn("hit", _pass(following, F.col("t"), F.col("hit"))), "marks")
             following = next(chunks, None)
-        got = got.withColumn("_hit", _count(F.col("_hit")))
-    keep = [c for c in df.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
-    n, hit = F.col("_hit.n_words"), F.col("_hit.n_hit")
-    return got.select(*keep, n.alias("n_words"), hit.alias("n_hit"), F.col("_hit.items").alias("items"), ((hit > 0) & (20 * hit >= n)).alias("contaminated"))
-
+        got = got.withColumn("hit", _count(F.col("hit")))
+    n, hit = F.col("hit.n_words"), F.col("hit.n_hit")
+    made = (n.alias("n_words"), hit.alias("n_hit"), F.col("hit.items").alias("items"), ((hit > 0) & (20 * hit >= n)).alias("contaminated"))
+    return got.select(*[F.col("row")[c].alias(c) for c in keep], *made)

@@ -12,3 +12,21 @@ def test_item_without_id(spark, pass_words):
     docs = spark.createDataFrame([(1, " ".join(["x", *w[:20]])), (2, " ".join([*w[20:33], "y"])), (3, "w1 w2 z"), (4, "w2 w1"), (5, None)], "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontam.contamination(docs, bench, pass_words=pass_words).collect()}
     assert got == {1: (21, 20, ["c"], True), 2: (14, 13, ["b"], True), 3: (3, 2, ["c"], True), 4: (2, 0, [], False), 5: (0, 0, [], False)}
+
+
+def test_columns_of_the_caller(spark):
+    """Names that the operator uses come back as they were; one pass and several agree; long texts take several steps."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    long = "plain filler words " * 200_000 + words + " end"
+    rows = [(1, "x " + words, 5, "own", "own"), (2, None, 6, "own", "own"), (3, long, 7, "own", "own"), (4, "clean text", 8, "own", "own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hit int, row string, t string").coalesce(1)
+    bench = spark.createDataFrame([("i", words), ("j", "plain filler words plain"), ("k", None), ("l", "x alpha")], "item_id string, text string")
+    at_once = decontam.contamination(df, bench)
+    passes = decontam.contamination(df, bench, pass_words=40)
+    for got in (at_once, passes):
+        assert got.columns == df.columns + ["n_words", "n_hit", "items", "contaminated"]
+        found = {r.doc_id: r for r in got.collect()}
+        assert {i: (r._hit, r.row, r.t) for i, r in found.items()} == {i: (4 + i, "own", "own") for i in (1, 2, 3, 4)}
+        assert (found[1].n_words, found[1].n_hit, found[1].items) == (14, 14, ["i", "l"]) and found[2].n_words == 0
+        assert (found[3].n_words, found[3].n_hit, found[3].items) == (600_014, 599_998 + 13, ["i", "j"]) and not found[4].contaminated
+    assert decontam.contamination(df.limit(0), bench).count() == 0 and decontam.contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0
