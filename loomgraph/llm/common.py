@@ -16,13 +16,15 @@ STEP_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """Folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a new one in local mode and an error elsewhere."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="spark-shared-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -39,6 +41,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, values: DataFrame, key: str, times: str, *, share: int = 10_000) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, which has each key once and in ``times`` how many of the rows have it.
+
+    A key that more than one in ``share`` rows have (there are fewer than ``share`` of them) is sent to all tasks, so that
+    its rows stay where they are; the others meet by a shuffle. ``rows`` should be narrow: they are read twice.
+    """
+    total = values.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0]
+    often = F.col(times) > max(total // share, 1)
+    hot, rest = values.where(often).drop(times), values.where(~often).drop(times)
+    left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(left.join(rest, key))
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z only, as the contracts ask; other letters stay."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

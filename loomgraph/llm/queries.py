@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, katz, langid, rollup, secrets, sharding, simhash, sketch, urlfilter
-from .common import crc_mod, documents, scratch_path
+from .common import crc_mod, documents, materialize, scratch_path, spread_join
 
 #: The rules of the URL contract (host, path, verdict).
 URL_RULES = (
@@ -71,17 +71,18 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert all documents; count them with a second tokenizer version; revise the first version's counts (two
     tokens a document more, for its begin and end); delete later copies of equal texts; commit one batch again.
     """
-    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
-    words, quarter = rollup.word_count(F.col("text")), F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4)
+    t = F.coalesce("text", F.lit(""))
+    counted = documents(spark, sf_dir).select("doc_id", "source", "lang", rollup.word_count(F.col("text")).alias("w"), F.ceil(F.octet_length(t) / 4).alias("q"), F.sha2(t, 256).alias("d"))
+    docs = materialize(counted, "counted")  # texts are read once
+    words, quarter = F.col("w"), F.col("q")
     table = rollup.TokenRollup(spark, scratch_path(spark, "rollup"))
     table.commit("b1", rollup.inserts(docs, "words-1", words))
     second = rollup.inserts(docs, "bytes4-1", quarter)
     table.commit("b2", second)
     table.commit("b3", rollup.revisions(docs, "words-1", words, words + 2))
-    digest = docs.select("doc_id", "source", "lang", words.alias("w"), quarter.alias("q"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("d"))
-    first = digest.groupBy("d").agg(F.min("doc_id").alias("first"))
-    copies = digest.join(first, "d").where("doc_id > first")
-    gone = rollup.deletes(copies, "words-1", F.col("w") + 2).unionByName(rollup.deletes(copies, "bytes4-1", F.col("q")))
+    first = materialize(docs.groupBy("d").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times")), "first")
+    copies = spread_join(docs, first.where("times > 1"), "d", "times").where("doc_id > first")
+    gone = rollup.deletes(copies, "words-1", words + 2).unionByName(rollup.deletes(copies, "bytes4-1", quarter))
     table.commit("b4", gone)
     table.commit("b2", second)
     return table.totals()

@@ -11,8 +11,11 @@ joined to them once, at the end.
 
 Defined results: null or empty text, and text of blanks only, has fingerprint zero
 and is linked like any other; under three words the whole word sequence is the
-shingle. Repeated rows get equal results. A null id never becomes a component's
-name; a component without any id has none. Extra columns pass through.
+shingle; texts of any length are read whole. Repeated rows get equal results, rows that
+share an id and no text are told apart. A null id never becomes a component's name; a
+component without any id has none. Ties do not arise: components are named by their
+least id. An empty table has no rows. Of other columns, ``keep_one`` returns all, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_join
 
 SEED = 42
 HALF = 32
@@ -112,20 +115,28 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
 def classes(df: DataFrame, *, text: str = "text", key: str = "doc_id", distance: int = 3) -> DataFrame:
     """(key, fp, component_id): one row per row of ``df``; component_id is the least key reachable over links."""
     docs = materialize(df.select(F.col(key).alias("key"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
-    fps = docs.groupBy("fp").agg(F.min("key").alias("least"))
+    label = component_of(docs.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("times")), distance)
+    label = materialize(label.withColumnRenamed("name", "component_id"), "labels")
+    return spread_join(docs, label, "fp", "times").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def component_of(fps: DataFrame, distance: int = 3) -> DataFrame:
+    """(fp, name, times) of distinct fingerprints with columns (fp, least, times): the least ``least`` reachable over links."""
     edges = materialize(links(fps.select("fp"), distance), "links")
     roots = components(edges)
     both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     named = both.join(fps, both["node"] == fps["fp"]).select("node", "root", "least")
     names = named.groupBy("root").agg(F.min("least").alias("name"))
     linked = named.join(names, "root").select(F.col("node").alias("fp"), "name")
-    label = fps.join(linked, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
-    return docs.join(label, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return fps.join(linked, "fp", "left").select("fp", F.coalesce("name", "least").alias("name"), "times")
 
 
 def keep_one(df: DataFrame, *, text: str = "text", key: str = "doc_id", distance: int = 3) -> DataFrame:
-    """One row of each component: the one whose key names it. Rows that share a key count as one; rows without a key stay."""
-    got = classes(df.where(F.col(key).isNotNull()), text=text, key=key, distance=distance)
-    keys = got.where(F.col("component_id") == F.col(key)).select(F.col(key).alias("_keep")).distinct()
-    kept = df.join(keys, df[key] == keys["_keep"], "left_semi").dropDuplicates([key])
-    return kept.unionByName(df.where(F.col(key).isNull()))
+    """One row of each component: the one with the least key, of those the one whose row has the least hash. Rows without a key come last."""
+    hashes = [F.xxhash64(*df.columns).alias("h1"), F.xxhash64(F.lit("second"), *df.columns).alias("h2")]
+    ids = df.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), *hashes).alias("id"), fingerprint(F.col(text)).alias("fp"))
+    least = materialize(ids, "fingerprints").groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times"))
+    first = component_of(least, distance).select("name.h1", "name.h2").distinct()
+    # rows that are equal in all have one name, and one of them stays
+    named = df.select(F.struct(*df.columns).alias("row"), *hashes)
+    return named.join(first, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")
