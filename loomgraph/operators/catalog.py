@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -108,8 +108,15 @@ def locations(graph: Graph, names: DataFrame) -> DataFrame:
 
 def neighbors(graph: Graph, names: DataFrame, limit: int = 5) -> DataFrame:
     """(fqn, callers, callees): up to ``limit`` of each, in order of name."""
-    n, c = names.select("fqn").distinct(), graph["calls"].select("src", "dst").distinct()
-    few = lambda a, b: c.join(n.withColumnRenamed("fqn", a), a, "left_semi").groupBy(F.col(a).alias("fqn")).agg(F.slice(F.array_sort(F.collect_set(b)), 1, limit).alias(b))
+    n, c = names.select("fqn").distinct(), graph["calls"]
+
+    def few(a: str, b: str) -> DataFrame:
+        # the rank filter keeps each task's first names of a key, so a method that all call is not collected
+        w = Window.partitionBy("fqn").orderBy(b)
+        near = c.join(n.withColumnRenamed("fqn", a), a, "left_semi").select(F.col(a).alias("fqn"), b).distinct()
+        kept = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
+        return kept.groupBy("fqn").agg(F.array_sort(F.collect_list(b)).alias(b))
+
     none = F.array().cast("array<string>")
     return n.join(few("dst", "src"), "fqn", "left").join(few("src", "dst"), "fqn", "left").select("fqn", F.coalesce("src", none).alias("callers"), F.coalesce("dst", none).alias("callees"))
 

@@ -14,7 +14,7 @@ from ..functions import ids
 from ..plans.ingest import union_all
 from ..sources.store import Graph
 from .rank import checkpointed
-from .traverse import closure, compatible_types, classes_with_field, links, seeds, walk
+from .traverse import classes_with_field, closure, compatible_types, links, seeds, sent, walk
 
 
 def _hits(graph: Graph, found: DataFrame) -> DataFrame:
@@ -35,22 +35,21 @@ def impact(graph: Graph, fqn: str, depth: int = 5, *, polymorphic: bool = True,
     if precision not in ("hop", "path"):
         raise ValueError("precision is hop or path")
     over, back = links(graph["overrides"]), links(graph["calls"], False)
-    frontier = seeds(graph, fqn).withColumn("poly", F.lit(False))
+    frontier = checkpointed(seeds(graph, fqn).withColumn("poly", F.lit(False)))
     visited, found = frontier.select("node"), []
     for hop in range(1, min(max(depth, 1), 8) + 1):
-        reached = frontier
-        if polymorphic:
-            up = closure(frontier, over, 5).join(frontier.select("node"), "node", "left_anti").select("node", F.lit(True).alias("poly"))
-            reached = frontier.unionByName(up)
-        calls = reached.join(back, "node").select(F.col("to").alias("node"), "poly")
+        reached, over_any = frontier, False
+        if polymorphic:  # what the frontier overrides, found once a hop
+            up = checkpointed(closure(frontier, over, 5).join(frontier.select("node"), "node", "left_anti").select("node", F.lit(True).alias("poly")))
+            over_any = not up.isEmpty()
+            reached = frontier.unionByName(up) if over_any else frontier
+        calls = back.join(sent(checkpointed(reached)), "node").select(F.col("to").alias("node"), "poly")
         # a caller is tainted on a path only if every way to it is
-        # one written frontier a hop: every later step reads it several times
         new = checkpointed(calls.groupBy("node").agg(F.min("poly").alias("poly")).join(visited, "node", "left_anti"))
         if new.isEmpty():
             break
-        label = new
-        if precision == "hop" and polymorphic:  # one row: did any node of this hop override something?
-            label = new.select("node", up.agg(F.count(F.lit(1)) > 0).scalar().alias("poly"))
+        # by hop: did any node of this hop override something?
+        label = new.select("node", F.lit(over_any).alias("poly")) if precision == "hop" else new
         found.append(label.withColumn("hops", F.lit(hop)))
         frontier = new.select("node", F.lit(False).alias("poly")) if precision == "hop" else new
         visited = visited.unionByName(new.select("node"))
@@ -66,3 +65,9 @@ def impact(graph: Graph, fqn: str, depth: int = 5, *, polymorphic: bool = True,
         hits = hits.join(owners, "classFqn", "left").where("not poly or _ok")
     label = F.when(F.col("poly"), "polymorphic").otherwise("precise")
     return hits.select("endpoint", F.col("node").alias("handler"), "file", "line", "hops", label.alias("precision"))
+
+
+def impact_totals(hits: DataFrame) -> DataFrame:
+    """(precision, endpoints) of the hits of ``impact``, and a row ``total``."""
+    each = hits.groupBy("precision").agg(F.count(F.lit(1)).alias("endpoints"))
+    return each.unionByName(hits.agg(F.lit("total").alias("precision"), F.count(F.lit(1)).alias("endpoints")).select("precision", "endpoints"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ingest import union_all
@@ -15,11 +17,26 @@ SEED_ANNOTATIONS = ("Scheduled", "PostConstruct", "EventListener", "KafkaListene
 ENTRY_ANNOTATIONS = ("org.springframework.scheduling.annotation.Scheduled", "javax.annotation.PostConstruct", "jakarta.annotation.PostConstruct")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the folder that all executors share; a temporary one is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share: spark.checkpoint.dir; only in local mode a temporary one is set where none is."""
+    sc = spark.sparkContext
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if own:
+        return own
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def fresh_name() -> str:
+    return uuid.uuid4().hex
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -69,6 +86,8 @@ def pagerank(edges: DataFrame, entries: DataFrame, *, alpha: float = 0.85, boost
             total, change = y.agg(F.sum("r"), F.sum(F.abs(F.col("r") - F.col("old")))).first()
             if change < tolerance * total:
                 break
+    else:
+        warnings.warn(f"PageRank: change is {change / total:.1e} of the total after {iterations} rounds, above {tolerance}", stacklevel=2)
     return y.select("node", (F.col("r") / F.lit(total)).alias("pagerank"))
 
 
@@ -110,8 +129,9 @@ def _flag(c: Column, worth: float) -> Column:
 def importance(graph: Graph) -> DataFrame:
     """(type, fqn, importance): methods, classes and endpoints of the project, 0 to 1, three decimals."""
     fans = fan_in_out(graph)
-    names = graph["annotated_with"].select("src", F.substring_index("dst", ".", -1).alias("a"))
-    has = names.groupBy(F.col("src").alias("fqn")).agg(*[F.max(F.col("a") == a).alias(a) for a in ("Transactional", "Scheduled", "Async")], F.max(F.col("a").isin("Service", "Component", "Repository", "Controller", "RestController", "Configuration")).alias("stereo"))
+    part = lambda a: F.col("dst").contains(a)
+    stereo = F.max(part("Service") | part("Controller") | part("Repository")).alias("stereo")
+    has = graph["annotated_with"].groupBy(F.col("src").alias("fqn")).agg(*[F.max(part(a)).alias(a) for a in ("Transactional", "Scheduled", "Async")], stereo)
     handler = graph["handles"].select(F.col("src").alias("fqn"), F.lit(True).alias("handler")).distinct()
     own = graph["method"].where(~F.coalesce("external", F.lit(False))).select("fqn", "classFqn")
     m = own.join(fans, "fqn").join(has, "fqn", "left").join(handler, "fqn", "left")
@@ -126,3 +146,9 @@ def importance(graph: Graph) -> DataFrame:
     e = graph["endpoint"].join(fans.select(F.col("fqn").alias("handlerMethodFqn"), "fan_out"), "handlerMethodFqn", "left")
     ends = e.select(F.lit("endpoint").alias("type"), F.col("id").alias("fqn"), (0.5 + _share(z("fan_out"), 15, 0.3)).alias("s"))
     return union_all([methods, classes, ends]).select("type", "fqn", F.round(F.least("s", F.lit(1.0)), 3).alias("importance"))
+
+
+def top_ranked(methods: DataFrame, classes: DataFrame) -> DataFrame:
+    """(kind, name, pagerank): the method and the class with the highest rank, of equal ones the first by name."""
+    best = lambda kind, df, name: df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), "pagerank").orderBy(F.desc("pagerank"), "name").limit(1)
+    return best("method", methods, "node").unionByName(best("class", classes, "fqn"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sanitize, terms
+from ..functions.text import sanitize, strip, terms
 from ..functions.vector import Embedder, Reranker, cosine_distance, hashing_embedder, overlap_reranker
 from ..plans.ingest import union_all
 from ..sources.store import Graph
@@ -129,21 +129,24 @@ def rrf_fuse(sources: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
 
 
 def route_queries(queries: DataFrame) -> DataFrame:
-    """queries with hint: struct(kind, boost, substring, verb, path).
+    """queries with hint: struct(type, boost, substring, verb, path, kind).
 
-    Routes (a verb and a path, or a path), method and class names in full, PascalCase and camelCase or snake_case names.
+    In this order: a path, or anything that begins with a verb, asks for endpoints; anything with ``#`` for a method;
+    more than three characters with a dot and no blank are part of a full name; PascalCase is a class, and camelCase or
+    snake_case that begins with a small letter a method. The rest has no hint.
     """
-    q = F.trim("query")
-    verb = F.upper(F.regexp_extract(q, r"^(\S+)\s+\S", 1))
+    q = strip(F.col("query"))
+    verb = F.upper(F.regexp_extract(q, r"^(\S+)", 1))
     has_verb = verb.isin("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
-    path = F.when(has_verb, F.regexp_extract(q, r"^\S+\s+(.*)$", 1)).otherwise(q)
-    one = ~q.rlike(r"\s")
+    path = F.when(has_verb, F.regexp_extract(q, r"(?s)^\S+\s+(.*)$", 1)).otherwise(q)
+    one = ~q.contains(" ")
+    word = one & q.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$")
     kind = (
         F.when(has_verb | q.startswith("/"), "endpoint")
-        .when(one & q.contains("#"), "method")
-        .when(one & q.rlike(r"^[\w$]+(\.[\w$]+)+$"), "fqn")
-        .when(q.rlike(r"^[A-Z][A-Za-z0-9_]*$") & q.rlike("[a-z]") & q.rlike(r"^.[a-z0-9]*[A-Z]|^[A-Z][a-z]"), "class")
-        .when(q.rlike(r"^[a-z_][A-Za-z0-9_]*$") & (q.rlike("[a-z0-9][A-Z]") | q.contains("_")), "name")
+        .when(q.contains("#"), "method")
+        .when(one & q.contains(".") & (F.length(q) > 3), "fqn")
+        .when(word & q.rlike(r"^\p{Lu}.*\p{Ll}"), "class")
+        .when(word & q.rlike(r"^\p{Ll}") & q.rlike(r"[\p{Lu}_]"), "name")
     )
     boost = F.when(kind == "endpoint", 2.5).when(kind.isin("method", "fqn"), 2.0).when(kind.isin("class", "name"), 1.5).otherwise(1.0)
     hint = F.struct(
@@ -158,7 +161,7 @@ def graph_direct(graph: Graph, routed: DataFrame, limit: int = 50) -> DataFrame:
 
     What only ``contains`` can find is tested for each node against one block of such queries at a time.
     """
-    h = routed.select("query_id", F.trim("query").alias("q"), "hint.*")
+    h = routed.select("query_id", strip(F.col("query")).alias("q"), "hint.*")
     nodes = union_all([
         graph["class"].select("fqn", "name", F.lit("class").alias("type"), F.lit(True).alias("own")),
         graph["method"].select("fqn", "name", F.lit("method").alias("type"), F.col("external").isNull().alias("own")),

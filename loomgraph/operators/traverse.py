@@ -1,9 +1,10 @@
 """Walks over the call graph, closures over the type graph, and what is read off them.
 
 A walk of depth k is k joins of the frontier with the edges, each followed by a
-distinct, so its size is bounded by the nodes and not by the number of paths. The
-plan has a fixed number of joins and is lazy. Closures that end by themselves
-loop until nothing is new.
+distinct, so its size is bounded by the nodes and not by the number of paths. Each
+frontier is written before the next step: one of up to SENT rows is sent to all tasks,
+so that the edges are scanned and not shuffled; a larger one meets them by a shuffle.
+Closures end when nothing is new.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..plans.ingest import union_all
 from ..sources.store import Graph
+from .rank import checkpointed
+
+#: Rows of a frontier that are sent to all tasks.
+SENT = 100_000
 
 
 def seeds(graph: Graph, fqn: str) -> DataFrame:
@@ -21,16 +26,23 @@ def seeds(graph: Graph, fqn: str) -> DataFrame:
 
 
 def links(edges: DataFrame, forward: bool = True) -> DataFrame:
-    """Distinct (from, to) in the direction of the walk."""
+    """(node, to) in the direction of the walk; edges that repeat stay, since every step is made distinct."""
     a, b = ("src", "dst") if forward else ("dst", "src")
-    return edges.select(F.col(a).alias("node"), F.col(b).alias("to")).distinct()
+    return edges.select(F.col(a).alias("node"), F.col(b).alias("to"))
+
+
+def sent(frontier: DataFrame) -> DataFrame:
+    """A written frontier, marked for broadcast if its number of rows allows it."""
+    return F.broadcast(frontier) if frontier.count() <= SENT else frontier
 
 
 def walk(start: DataFrame, step: DataFrame, depth: int) -> DataFrame:
     """(node, depth) for every node reached by a walk of 1 to ``depth`` steps from ``start`` (column node); once per depth."""
-    frontier, found = start.select("node").distinct(), []
+    frontier, found = checkpointed(start.select("node").distinct()), []
     for k in range(1, depth + 1):
-        frontier = frontier.join(step, "node").select(F.col("to").alias("node")).distinct()
+        if found and frontier.isEmpty():
+            break
+        frontier = checkpointed(step.join(sent(frontier), "node").select(F.col("to").alias("node")).distinct())
         found.append(frontier.select("node", F.lit(k).alias("depth")))
     return union_all(found)
 
@@ -38,12 +50,15 @@ def walk(start: DataFrame, step: DataFrame, depth: int) -> DataFrame:
 def closure(start: DataFrame, step: DataFrame, depth: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``start`` (columns node and ``carry``) and all reached from them in up to ``depth`` steps, distinct."""
     cols = ["node", *carry]
-    frontier = start.select(*cols).distinct()
+    frontier = checkpointed(start.select(*cols).distinct())
     out = frontier
     for _ in range(depth):
-        frontier = frontier.join(step, "node").select(F.col("to").alias("node"), *carry).distinct()
+        fresh = step.join(sent(frontier), "node").select(F.col("to").alias("node"), *carry).distinct()
+        frontier = checkpointed(fresh.join(out, cols, "left_anti"))
+        if frontier.isEmpty():
+            break
         out = out.unionByName(frontier)
-    return out.distinct()
+    return out
 
 
 def _described(found: DataFrame, graph: Graph, name: str, more=()) -> DataFrame:
@@ -128,7 +143,7 @@ def type_ancestors(graph: Graph, start: DataFrame, depth: int = 5) -> DataFrame:
 def compatible_types(graph: Graph, start: DataFrame, most: int = 10) -> DataFrame:
     """Ancestors with at most ``most`` distinct direct subtypes (generic bases go), and ``start`` itself."""
     up = type_ancestors(graph, start)
-    subs = supertypes(graph).groupBy(F.col("to").alias("t")).agg(F.count(F.lit(1)).alias("subs"))
+    subs = supertypes(graph).distinct().groupBy(F.col("to").alias("t")).agg(F.count(F.lit(1)).alias("subs"))
     few = up.join(subs, up["node"] == subs["t"], "left").where(F.coalesce("subs", F.lit(0)) <= most).select("node")
     return few.unionByName(start.select("node")).distinct()
 

@@ -7,6 +7,8 @@ document whose ``spring`` is null leaves beans and endpoints as they are.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,28 +26,56 @@ def fact_tables(doc: DataFrame) -> Graph:
     return Graph({name: facts(doc, name) for name in FACTS} | {name: doc.select(name) for name in ("spring", "modules")})
 
 
+@dataclass
+class Change:
+    """What a delta says: owners that go (column owner), members that go (column member, or None), fact rows that come in by table, and new sections."""
+
+    gone: DataFrame
+    members: DataFrame | None
+    up: dict[str, DataFrame]
+    sections: dict[str, DataFrame] = field(default_factory=dict)
+
+    @property
+    def touched(self) -> DataFrame:
+        """(owner): every deleted or upserted class."""
+        return self.gone.unionByName(self.up["classes"].select(F.col("fqn").alias("owner"))).distinct()
+
+
+def read_change(delta: DataFrame) -> Change:
+    """Of a delta document."""
+    members = delta.select(F.explode(F.concat(F.coalesce("deleted.methods", F.array()), F.coalesce("deleted.fields", F.array()))).alias("member")).distinct()
+    sections = {}
+    for name in ("spring", "modules"):
+        new = delta.select(name).where(F.col(name).isNotNull())
+        if not new.isEmpty():
+            sections[name] = new
+    return Change(delta.select(F.explode("deleted.classes").alias("owner")), members, {name: facts(delta, f"upserted.{name}") for name in FACTS}, sections)
+
+
 def apply_delta(old: Graph, delta: DataFrame) -> Graph:
+    return apply_change(old, read_change(delta))
+
+
+def apply_change(old: Graph, change: Change) -> Graph:
     """New fact tables: for every deleted or upserted class all it owns goes, then the upserted rows come in."""
-    up = {name: facts(delta, f"upserted.{name}") for name in FACTS}
-    gone = delta.select(F.explode("deleted.classes").alias("owner"))
-    touched = gone.unionByName(up["classes"].select(F.col("fqn").alias("owner"))).distinct()
-    members = delta.select(F.explode(F.concat(F.coalesce("deleted.methods", F.array()), F.coalesce("deleted.fields", F.array()))).alias("member")).distinct()
     out = Graph()
     for name, key in FACTS.items():
-        rows = old[name].withColumn("owner", ids.class_of(F.col(key))).join(touched, "owner", "left_anti").drop("owner")
-        rows = rows.join(members.withColumnRenamed("member", key), key, "left_anti").select(*old[name].columns)
-        fresh = up[name]
-        if name == "classes":  # a delta knows no line numbers: keep the old ones
-            before = old[name].select("fqn", F.col("lineStart").alias("_s"), F.col("lineEnd").alias("_e")).dropDuplicates(["fqn"])
-            line = lambda c, o: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, F.coalesce(o, F.col(c))).otherwise(F.col(c)).alias(c)
-            joined = fresh.join(before, "fqn", "left")
-            fresh = joined.select(*[line(c, "_s" if c == "lineStart" else "_e") if c in ("lineStart", "lineEnd") else F.col(c) for c in fresh.columns])
-        if name in ("callGraph", "methodOverrides", "inheritance", "annotations"):
-            fresh = fresh.dropDuplicates([c for c in fresh.columns if c != "params"])
-        out[name] = rows.unionByName(fresh.select(*old[name].columns))
+        rows = old[name].withColumn("owner", ids.class_of(F.col(key))).join(change.touched, "owner", "left_anti").drop("owner")
+        if change.members is not None:
+            rows = rows.join(change.members.withColumnRenamed("member", key), key, "left_anti")
+        rows, fresh = rows.select(*old[name].columns), change.up.get(name)
+        if fresh is not None:
+            if name == "classes":  # a delta knows no line numbers: keep the old ones
+                before = old[name].select("fqn", F.col("lineStart").alias("_s"), F.col("lineEnd").alias("_e")).dropDuplicates(["fqn"])
+                line = lambda c, o: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, F.coalesce(o, F.col(c))).otherwise(F.col(c)).alias(c)
+                joined = fresh.join(before, "fqn", "left")
+                fresh = joined.select(*[line(c, "_s" if c == "lineStart" else "_e") if c in ("lineStart", "lineEnd") else F.col(c) for c in fresh.columns])
+            if name in ("callGraph", "methodOverrides", "inheritance", "annotations"):
+                fresh = fresh.dropDuplicates([c for c in fresh.columns if c != "params"])
+            rows = rows.unionByName(fresh, allowMissingColumns=True).select(*old[name].columns)
+        out[name] = rows
     for name in ("spring", "modules"):
-        new = delta.select(name).where(F.col(name).isNotNull())
-        out[name] = old[name] if new.isEmpty() else new
+        out[name] = change.sections.get(name, old[name])
     return out
 
 

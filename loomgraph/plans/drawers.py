@@ -9,7 +9,7 @@ from ..functions import ids
 from ..functions.text import clean_javadoc
 from ..operators.rank import importance
 from ..sources.store import Graph
-from .ingest import union_all
+from .ingest import ingest_full, union_all
 
 
 def _names(edges: DataFrame, key: str, other: str, first: int, most: int) -> DataFrame:
@@ -19,17 +19,21 @@ def _names(edges: DataFrame, key: str, other: str, first: int, most: int) -> Dat
     sites = edges.select(F.col(key).alias("fqn"), F.coalesce("line", F.lit(0)).alias("l"), F.col(other).alias("o"))
     kept = sites.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
     got = kept.groupBy("fqn").agg(F.array_sort(F.collect_list(F.struct("l", "o"))).alias("x"))
-    short = lambda x: F.concat(ids.simple_class(ids.class_of(x["o"])), F.lit("#"), ids.method_name(x["o"]))
+    short = lambda x: F.concat(_short_class(x["o"]), F.lit("."), ids.method_name(x["o"]))
     return got.select("fqn", F.slice(F.array_sort(F.array_distinct(F.transform("x", short))), 1, most).alias(f"_{other}"))
 
 
+def _short_class(fqn: Column) -> Column:
+    return F.substring_index(ids.class_of(fqn), ".", -1)
+
+
 def _part(label: str, items: Column) -> Column:
     return F.when(F.size(items) > 0, F.concat(F.lit(label), F.array_join(items, ", ")))
 
 
-def _annotations(graph: Graph, most: int | None = None) -> DataFrame:
+def _annotations(graph: Graph, most: int = 5) -> DataFrame:
     a = graph["annotated_with"].groupBy(F.col("src").alias("fqn")).agg(F.array_sort(F.collect_set(F.concat(F.lit("@"), F.substring_index("dst", ".", -1)))).alias("anns"))
-    return a.select("fqn", F.slice("anns", 1, most).alias("anns")) if most else a
+    return a.select("fqn", F.slice("anns", 1, most).alias("anns"))
 
 
 def indexable(df: DataFrame) -> DataFrame:
@@ -41,30 +45,32 @@ def method_docs(graph: Graph, include_trivial: bool = False) -> DataFrame:
     if not include_trivial:
         m = m.where(~ids.is_trivial(F.col("name"), F.col("lineStart"), F.col("lineEnd")))
     e = graph["handles"].join(graph["endpoint"].select(F.col("id").alias("dst"), F.concat_ws(" ", "httpMethod", "path").alias("ep")), "dst").groupBy(F.col("src").alias("fqn")).agg(F.min("ep").alias("ep"))
-    d = m.join(_annotations(graph, 5), "fqn", "left").join(_names(graph["calls"], "src", "dst", 10, 8), "fqn", "left").join(_names(graph["calls"], "dst", "src", 8, 5), "fqn", "left").join(e, "fqn", "left")
-    head = F.concat(ids.simple_class(F.col("classFqn")), F.lit("#"), F.col("name"), F.lit("("), ids.short_params(F.col("fqn"), ", "), F.lit(")"))
+    d = m.join(_annotations(graph), "fqn", "left").join(_names(graph["calls"], "src", "dst", 10, 8), "fqn", "left").join(_names(graph["calls"], "dst", "src", 8, 5), "fqn", "left").join(e, "fqn", "left")
+    params = F.when(F.col("fqn").contains("("), F.concat(F.lit("("), ids.short_params(F.col("fqn"), ", "), F.lit(")"))).otherwise("")
+    head = F.concat(_short_class(F.col("classFqn")), F.lit("#"), F.col("name"), params)
     line = F.concat_ws(" | ", head, F.when(F.size("anns") > 0, F.array_join("anns", " ")), _part("calls: ", F.col("_dst")), _part("calledBy: ", F.col("_src")), F.concat(F.lit("endpoint: "), F.col("ep")))
-    tail = F.concat_ws("\n", F.nullif(clean_javadoc(F.col("javadoc")), F.lit("")), F.substring("body", 1, 2000))
-    return d.select("fqn", "classFqn", F.when(tail == "", line).otherwise(F.concat(line, F.lit("\n---\n"), tail)).alias("document"))
+    text = F.concat_ws("\n---\n", line, F.nullif(clean_javadoc(F.col("javadoc")), F.lit("")), F.nullif(F.substring("body", 1, 2000), F.lit("")))
+    return d.select("fqn", "classFqn", text.alias("document"))
 
 
 def class_docs(graph: Graph) -> DataFrame:
     c = graph["class"].where(F.coalesce("filePath", F.lit("")) != "")
     n = graph["has_method"].groupBy(F.col("src").alias("fqn")).agg(F.count(F.lit(1)).alias("n"))
-    up = lambda t, most: graph[t].groupBy(F.col("src").alias("fqn")).agg(F.slice(F.array_sort(F.collect_set(ids.simple_class(F.col("dst")))), 1, most).alias(t))
+    up = lambda t, most: graph[t].groupBy(F.col("src").alias("fqn")).agg(F.slice(F.array_sort(F.collect_set(_short_class(F.col("dst")))), 1, most).alias(t))
     inj = graph["injects"].join(graph["bean"].select(F.col("name").alias("src"), F.col("classFqn").alias("fqn")), "src").join(graph["bean"].select(F.col("name").alias("dst"), F.col("classFqn").alias("needs")), "dst")
-    inj = inj.groupBy("fqn").agg(F.slice(F.array_sort(F.collect_set(ids.simple_class(F.col("needs")))), 1, 8).alias("inj"))
-    d = c.join(n, "fqn", "left").join(up("extends", 5), "fqn", "left").join(up("implements", 5), "fqn", "left").join(inj, "fqn", "left").join(_annotations(graph), "fqn", "left")
+    inj = inj.groupBy("fqn").agg(F.slice(F.array_sort(F.collect_set(_short_class(F.col("needs")))), 1, 8).alias("inj"))
+    d = c.join(n, "fqn", "left").join(up("extends", 1), "fqn", "left").join(up("implements", 5), "fqn", "left").join(inj, "fqn", "left").join(_annotations(graph), "fqn", "left")
+    kind = F.when(F.coalesce("kind", F.lit("CLASS")) == "CLASS", "").otherwise(F.concat(F.lit(" ("), F.lower("kind"), F.lit(")")))
     text = F.concat_ws(
-        " | ", F.concat(F.col("name"), F.when(F.col("kind") == "CLASS", "").otherwise(F.concat(F.lit(" ("), F.coalesce("kind", F.lit("")), F.lit(")")))), F.when(F.size("anns") > 0, F.array_join("anns", " ")),
-        F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" methods")), _part("extends: ", F.col("extends")), _part("implements: ", F.col("implements")), _part("injects: ", F.col("inj")),
+        " | ", F.concat(F.col("name"), kind), F.when(F.size("anns") > 0, F.array_join("anns", " ")), F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" methods")),
+        _part("extends ", F.col("extends")), _part("implements ", F.col("implements")), _part("injected: ", F.col("inj")),
     )
     return d.select("fqn", "packageName", text.alias("document"))
 
 
 def endpoint_docs(graph: Graph) -> DataFrame:
-    e = graph["endpoint"].join(_names(graph["calls"], "src", "dst", 10, 8).withColumnRenamed("fqn", "handlerMethodFqn"), "handlerMethodFqn", "left")
-    h = F.concat(ids.simple_class(F.col("controllerFqn")), F.lit("#"), ids.method_name(F.col("handlerMethodFqn")))
+    e = graph["endpoint"].join(_names(graph["calls"], "src", "dst", 8, 8).withColumnRenamed("fqn", "handlerMethodFqn"), "handlerMethodFqn", "left")
+    h = F.concat(_short_class(F.col("handlerMethodFqn")), F.lit("#"), ids.method_name(F.col("handlerMethodFqn")))
     return e.select("id", "path", "httpMethod", "controllerFqn", "handlerMethodFqn", F.concat_ws(" | ", F.concat_ws(" ", "httpMethod", "path"), h, _part("calls: ", F.col("_dst"))).alias("document"))
 
 
@@ -78,6 +84,17 @@ def drawers(graph: Graph, wing: str) -> DataFrame:
     return all_.select("id", "document", F.lit(wing).alias("wing"), "room", F.lit("code").alias("hall"), "fqn", "type", F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
 
+def from_export(doc: DataFrame, wing: str) -> DataFrame:
+    """Drawers of an export document alone, without a stored graph."""
+    return drawers(ingest_full(doc), wing)
+
+
+def upsert(old: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataFrame:
+    """Drawers after a change: those of ``fresh`` in place of the old ones of the same id, and none whose id is in ``gone`` (column id)."""
+    out = gone.select("id").unionByName(fresh.select("id")).distinct()
+    return old.join(out, "id", "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))
+
+
 def refresh(old: DataFrame, new: DataFrame) -> DataFrame:
     """Drawers to index again: new ids and changed documents."""
     return new.join(old.select("id", "document"), ["id", "document"], "left_anti").select(*new.columns)

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.text import sanitize
 from ..operators import catalog, context, impact, rank, search, traverse
 from ..streaming import changes
-from . import delta, drawers, ingest
+from . import drawers, ingest
 from .tables import BASE, CLOCK_NOW, LIST_ADD, SCHEDULED, cust, demo_graph, m, nation, order, part, region, supp, with_views
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,22 +85,9 @@ on_graph(
     "reverse_trace",
     _walk("back", _at(S1), 5) + "select w.node as caller, classFqn as className, filePath as file, 'GET ' || substring(dst, 5) as endpoint, depth from w join {method} on fqn = node left join {handles} on src = node",
 )(lambda g: traverse.reverse_trace(g, _say(S1), 5).withColumnRenamed("fqn", "caller"))
-on_graph("trace_compact")(lambda g: traverse.compact(traverse.trace_method(g, _say(C1), 5)))
 _HITS = "join {handles} h on h.src = w.node join {method} mm on mm.fqn = w.node"
 on_graph("impact_direct", _walk("back", _at(N0), 5) + f"select distinct 'GET ' || substring(h.dst, 5) as endpoint, mm.classFqn as controller, w.node as handler, mm.filePath as file, mm.lineStart as line, depth as hops from w {_HITS}")(lambda g: impact.impact_direct(g, _say(N0), 5))
 
-_PART = f"(select min({m(part)}) as node from {{part}})"
-
-
-def _first_part(g):
-    return g["method"].where(F.col("name") == "supply").agg(F.min("fqn")).first()[0]
-
-
-on_graph("impact")(lambda g: impact.impact(g, _first_part(g)))
-on_graph("impact_path")(lambda g: impact.impact(g, _first_part(g), precision="path"))
-on_graph("impact_precise")(lambda g: impact.impact(g, _first_part(g)).where("precision = 'precise'"))
-
-
 def _start(g, n=20):
     return g["method"].where(F.col("name") == "supply").select(F.col("fqn").alias("node"))
 
@@ -176,7 +162,7 @@ on_graph("fan_in_out", "select fqn, coalesce(i, 0) as fan_in, coalesce(o, 0) as
 on_graph(
     "importance",
     """, fan as (select fqn, classFqn, external, coalesce(i, 0) as fi, coalesce(o, 0) as fo from {method} left join (select dst, count(*) as i from {calls} group by 1) a on a.dst = fqn left join (select src, count(*) as o from {calls} group by 1) b on b.src = fqn),
-    ann as (select src, max(dst like '%.Transactional') as t, max(dst like '%.Scheduled') as s from {annotated_with} group by 1),
+    ann as (select src, max(contains(dst, 'Transactional')) as t, max(contains(dst, 'Scheduled')) as s from {annotated_with} group by 1),
     inj as (select classFqn, count(*) as n from {injects} join {bean} on name = src group by 1)
     select 'method' as type, fqn, round(least(least(fi / 20.0, 0.4) + (case when fqn in (select src from {handles}) then 0.3 else 0 end) + (case when t then 0.15 else 0 end) + (case when s then 0.1 else 0 end), 1.0)::double, 3) as importance from fan left join ann on src = fqn where external is null
     union all select 'class', c.fqn, round((least(coalesce(f, 0) / 50.0, 0.4) + least(coalesce(k, 0) / 30.0, 0.2) + least(coalesce(inj.n, 0) / 10.0, 0.2))::double, 3) from {class} c left join (select classFqn, sum(fi) as f, count(*) as k from fan where external is null group by 1) x on x.classFqn = c.fqn left join inj on inj.classFqn = c.fqn
@@ -199,19 +185,11 @@ for _k in range(1, 13):
     _PR += f""", lost{_k} as (select coalesce(sum(r), 0) as x from pr{_k - 1} where deg = 0), got{_k} as (select dst, sum(r / deg) as g from e join pr{_k - 1} on node = src group by 1),
  pr{_k} as (select node, p, deg, 0.85::double * (coalesce(g, 0) + (select x from lost{_k}) * p) + 0.15::double * p as r from pr{_k - 1} left join got{_k} on dst = node)"""
 on_graph("pagerank", _PR + " select node, round(r, 9) as pagerank from pr12")(lambda g: rank.pagerank(*_brands(g), iterations=12, fixed=True).select("node", F.round("pagerank", 9).alias("pagerank")))
-on_graph("pagerank_calls")(lambda g: rank.method_pagerank(g).select("node", F.round("pagerank", 9).alias("pagerank")))
 on_graph(
     "class_pagerank",
     _PR + " select c.fqn, round(coalesce(r, 0), 9) as pagerank from {class} c left join pr12 on node = c.fqn",
 )(lambda g: rank.class_pagerank(dict(g) | {"has_method": g["class"].selectExpr("fqn as src", "fqn as dst")}, rank.pagerank(*_brands(g), iterations=12, fixed=True)).select("fqn", F.round("pagerank", 9).alias("pagerank")))
-on_graph("method_docs")(drawers.method_docs)
-on_graph("class_docs")(drawers.class_docs)
-on_graph("endpoint_docs")(drawers.endpoint_docs)
-on_graph("drawers")(lambda g: drawers.drawers(g, "shop"))
 on_graph("context_stats", "select 'method' as type, count(*) as n from {method} where external is null and not (lineEnd - lineStart <= 3 and name = 'getName') union all select 'class', count(*) from {class} union all select 'endpoint', count(*) from {endpoint}")(lambda g: context.context_stats(drawers.drawers(g, "shop")))
-on_graph("context_recall")(lambda g: context.recall(drawers.drawers(g, "shop"), type_="class", limit=20))
-on_graph("key_elements")(lambda g: context.key_elements(drawers.drawers(g, "shop"), "shop"))
-on_graph("resume_index", "select count(*) as n from {class} where false")(lambda g: drawers.refresh(drawers.class_docs(g).selectExpr("fqn as id", "document"), drawers.class_docs(g).selectExpr("fqn as id", "document")).agg(F.count(F.lit(1)).alias("n")))
 
 
 # --- search --------------------------------------------------------------------
@@ -280,25 +258,10 @@ def _prb(spark, sf_dir):
     return search.pagerank_boost(search.rrf_fuse({"fts": a, "semantic": b}), ranks).select("query_id", "key", F.round("score", 9).alias("score"))
 
 
-@register("sanitize_query")
-def _sanitize(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", sanitize(F.col("text")).alias("s")).select("conv_id", "turn", "s.*")
-
-
-@register("route_queries")
-def _route(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    q = c.selectExpr("c_custkey as query_id", "case c_custkey % 6 when 0 then concat('GET /nation/', c_nationkey) when 1 then concat('com.shop.crm.Customer', c_custkey, '#order') when 2 then concat('com.shop.geo.Nation', c_nationkey) when 3 then concat('Nation', c_nationkey) when 4 then 'getName' else 'who calls the order' end as query")
-    return search.route_queries(q).select("query_id", "query", "hint.*")
-
-
 def _asked(spark):
     return spark.createDataFrame([(1, "GET /nation/0/"), (2, "Nation7"), (3, "com.shop.supply.Supplier1#ship"), (4, "which region does a nation call"), (5, "getName"), (6, "Brand*")], "query_id long, query string")
 
 
-register("graph_direct")(lambda spark, d: search.graph_direct(demo_graph(spark, d), search.route_queries(_asked(spark))))
-
-
 @register("retrieve")
 def _retrieve(spark, sf_dir):
     g = demo_graph(spark, sf_dir)
@@ -308,14 +271,6 @@ def _retrieve(spark, sf_dir):
 
 
 # --- changes -------------------------------------------------------------------
-@register("delta_upsert", "select o_orderkey, o_custkey, case when o_orderkey % 10 = 0 then 'X' else o_orderstatus end as o_orderstatus from orders where o_orderkey % 10 <> 5 union all select -o_orderkey, o_custkey, 'N' from orders where o_orderkey % 10 = 5", views=False)
-def _upsert(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
-    kept = o.join(o.where("o_orderkey % 10 = 5").select("o_orderkey"), "o_orderkey", "left_anti")
-    fresh = o.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("X")).unionByName(o.where("o_orderkey % 10 = 5").selectExpr("-o_orderkey as o_orderkey", "o_custkey", "'N' as o_orderstatus"))
-    return delta.upsert(kept, fresh, "o_orderkey")
-
-
 _SESSIONS = """with e as (select user_id, ts, event_id, case when event_type = 'purchase' then 'delete' else 'modify' end as kind, 'src/U' || (event_id % 7) || '.java' as path from events),
  s as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 1 hour then 0 else 1 end as fresh from e),
  g as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as sid from s)
@@ -328,3 +283,6 @@ def _sessions(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(user_id as string) as project", "to_timestamp(cast(ts as string)) as ts", "event_id as seq", "case when event_type = 'purchase' then 'delete' else 'modify' end as event", "concat('src/U', event_id % 7, '.java') as path", "cast(null as string) as old_path")
     s = changes.debounce(changes.classify(e), "1 hour")
     return s.select("project", F.size("changes").cast("long").alias("paths"), F.unix_timestamp("start").alias("started"), F.size(F.filter("changes", lambda x: x["kind"] == "delete")).cast("long").alias("deleted"))
+
+
+from . import registry_context  # noqa: E402, F401  registers the rest

@@ -6,24 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..schemas import DELTA, EXPORT
+from ..schemas import ANNOTATION, CALL, CLASS, DELTA, EXPORT, FIELD, INHERITANCE, METHOD, MODULE, OVERRIDE, SPRING
+from .store import Graph
 
 
 def _schema(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
+def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A document, or one in shards: a folder of JSON lines, each with some rows of some sections."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = not (fs.exists(p) and fs.getFileStatus(p).isDirectory())
+    return spark.read.schema(_schema(ddl)).json(path, multiLine=whole, mode="PERMISSIVE")
+
+
 def export_type(spark: SparkSession, path: str) -> str:
-    row = spark.read.schema("exportType string").json(path, multiLine=True).first()
+    row = _read(spark, path, "struct<exportType:string>").where("exportType is not null").first()
     return (row and row.exportType) or "full"
 
 
 def read_full(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_schema(EXPORT)).json(path, multiLine=True, mode="PERMISSIVE")
+    return _read(spark, path, EXPORT)
 
 
 def read_delta(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_schema(DELTA)).json(path, multiLine=True, mode="PERMISSIVE")
+    return _read(spark, path, DELTA)
 
 
 def facts(doc: DataFrame, column: str) -> DataFrame:
@@ -31,5 +40,40 @@ def facts(doc: DataFrame, column: str) -> DataFrame:
     return doc.select(F.explode(F.col(column)).alias("x")).select("x.*")
 
 
+def _full(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` with all fields of a section in its order; missing ones are null."""
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _schema(f"struct<{kind}>")])
+
+
+def document(graph: Graph, shards: int = 1) -> DataFrame:
+    """The export that gives ``graph`` when imported, in shards (columns of EXPORT): stubs stay out, since import makes them again."""
+    own = lambda t: graph[t].where("external is null")
+    inherits = [graph[t].select(F.col("src").alias("childFqn"), F.col("dst").alias("parentFqn"), F.lit(t.upper()).alias("relationType")) for t in ("extends", "implements")]
+    bean = graph["bean"].select("name", "classFqn")
+    inj = graph["injects"].join(bean.toDF("src", "targetClassFqn"), "src").join(bean.toDF("dst", "injectedClassFqn"), "dst")
+    sections = {
+        "classes": (CLASS, own("class")),
+        "methods": (METHOD, own("method")),
+        "fields": (FIELD, graph["field"]),
+        "callGraph": (CALL, graph["calls"].select(F.col("src").alias("callerFqn"), F.col("dst").alias("calleeFqn"), "line")),
+        "inheritance": (INHERITANCE, inherits[0].unionByName(inherits[1])),
+        "methodOverrides": (OVERRIDE, graph["overrides"].select(F.col("src").alias("methodFqn"), F.col("dst").alias("overridesFqn"))),
+        "annotations": (ANNOTATION, graph["annotated_with"].select(F.col("src").alias("targetFqn"), F.col("kind").alias("targetKind"), F.col("dst").alias("annotationFqn"))),
+        "beans": (None, graph["bean"]),
+        # one row a handler, as the export has it
+        "endpoints": (None, graph["handles"].join(graph["endpoint"].withColumnRenamed("id", "dst"), "dst").select("path", "httpMethod", "controllerFqn", F.col("src").alias("handlerMethodFqn"))),
+        "injections": (None, inj.select("targetClassFqn", F.col("field").alias("targetFieldOrParam"), "injectedClassFqn", F.col("type").alias("injectionType"))),
+        "modules": (MODULE, graph["module"]),
+    }
+    spring = {f.name: f.dataType.elementType.simpleString()[7:-1] for f in _schema(f"struct<{SPRING}>")}
+    rows = graph["class"].sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+    for name, (kind, df) in sections.items():
+        full = _full(df, kind or spring[name])
+        dealt = full.select(F.pmod(F.xxhash64(*[c for c, t in full.dtypes if t == "string"]), F.lit(shards)).cast("int").alias("shard"), F.struct(*full.columns).alias("x"))
+        rows = rows.join(dealt.groupBy("shard").agg(F.collect_list("x").alias(name)), "shard", "left")
+    rows = rows.withColumn("spring", F.struct("beans", "endpoints", "injections")).withColumn("exportType", F.lit("full")).withColumn("version", F.lit("1"))
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _schema(EXPORT)])
+
+
 def write_json(doc: DataFrame, path: str) -> None:
     doc.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -142,6 +142,6 @@ def test_sync_mode():
 
 def test_drawers(graph):
     d = {r.id: r for r in drawers(graph, "ex").collect()}
-    assert d[f"method:{PKG}UserCtl#post({S})"].document.startswith("UserCtl#post(String) | calls: UserSvc#create | endpoint: POST /users\n---\nDoes it.\n")
-    assert d[f"class:{PKG}UserSvcImpl"].document == "UserSvcImpl | 2 methods | extends: BaseSvc | implements: UserSvc"
+    assert d[f"method:{PKG}UserCtl#post({S})"].document.startswith("UserCtl#post(String) | calls: UserSvc.create | endpoint: POST /users\n---\nDoes it.\n---\n")
+    assert d[f"class:{PKG}UserSvcImpl"].document == "UserSvcImpl | 2 methods | extends BaseSvc | implements UserSvc"
     assert "endpoint:POST:/users" in d and all(r.wing == "ex" for r in d.values())
