@@ -121,7 +121,7 @@ def bucket_counts(text: Column) -> Column:
 _LETTERS, _EXCHANGED = "aeiounrstlmdcphgbvfyzqwjkxAEIOUNRSTLM", "qzxjkwvbhgpfyaceimnoudrltsQZXJKWVBHGP"
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", sample_rows: int = 2400, calibration_rows: int = 2400, dim: int = 16, epochs: int = 12, false_reject: float = 0.001, seed: int = 7) -> LanguageModel:
+def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", sample_rows: int = 1200, calibration_rows: int = 1200, dim: int = 16, epochs: int = 12, false_reject: float = 0.001, seed: int = 7) -> LanguageModel:
     """Fit on at most ``sample_rows`` rows and calibrate on at most ``calibration_rows`` others, the ones with the least content hashes.
 
     These and the number of buckets bound what the driver gets, whatever the size of the table; every label of the
@@ -132,23 +132,26 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", sampl
     picked = least_picks(wanted, known.count(), sample_rows + calibration_rows).repartition(12)
     # half of the rows stand a second time for no language
     odd = F.when(F.col("pick") % 4 == 0, F.reverse("text")).otherwise(F.translate("text", _LETTERS, _EXCHANGED))
-    none = picked.where("pick % 2 = 0").select(F.lit(None).cast("string").alias("label"), "pick", odd.alias("text"))
-    rows = picked.unionByName(none).select("label", "pick", bucket_counts(F.col("text")).alias("f")).select("label", "pick", "f.*").toPandas().sort_values(["pick", "label"], kind="stable")
-    labels = tuple(sorted(rows["label"].dropna().unique()))
+    both = F.array(F.struct("label", "text"), F.struct(F.lit(None).cast("string").alias("label"), F.when(F.col("pick") % 2 == 0, odd).alias("text")))
+    rows = picked.select("pick", F.explode(F.filter(both, lambda x: x["text"].isNotNull())).alias("x")).select("x.label", "pick", bucket_counts(F.col("x.text")).alias("f"))
+    got = rows.select("label", "pick", "f.*").toArrow().combine_chunks().sort_by([("pick", "ascending"), ("label", "ascending")])
+    label_of, pick_of = got.column("label").to_pylist(), got.column("pick").to_numpy()
+    labels = tuple(sorted({v for v in label_of if v is not None}))
     if not labels:
         return LanguageModel((), np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0), 1.0, 0.0)
-    picks = np.sort(rows["pick"].unique())
-    held = rows["pick"].isin(picks[np.random.default_rng(seed).permutation(len(picks))[: len(picks) * calibration_rows // (sample_rows + calibration_rows)]]).to_numpy()
-    if len(picks) < 50:
-        held[:] = False
+    picks = np.unique(pick_of)
+    some = np.random.default_rng(seed).permutation(len(picks))[: len(picks) * calibration_rows // (sample_rows + calibration_rows)]
+    held = np.isin(pick_of, picks[some]) if len(picks) >= 50 else np.zeros(len(pick_of), bool)
     code = {v: k for k, v in enumerate(labels)}
-    y = np.array([code.get(v, len(labels)) for v in rows["label"]])
+    y = np.array([code.get(v, len(labels)) for v in label_of])
+    buckets, counts = (got.column(k).combine_chunks() for k in ("bucket", "n"))
 
     def features(at: np.ndarray) -> np.ndarray:
         x = np.zeros((len(at), 1 << BUCKET_BITS), np.float32)
-        for i, (b, n) in enumerate(zip(rows["bucket"].iloc[at], rows["n"].iloc[at])):
-            x[i, np.asarray(b, np.int64)] = n
-        return x / np.maximum(x.sum(1, keepdims=True), 1)
+        for i, k in enumerate(at.tolist()):
+            x[i, buckets[k].values.to_numpy()] = counts[k].values.to_numpy()
+        x /= np.maximum(x.sum(1, keepdims=True), 1)
+        return x
 
     own = np.flatnonzero(~held)
     x, target = features(own), np.eye(len(labels) + 1, dtype=np.float32)[y[own]]
