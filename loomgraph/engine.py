@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import catalog, context, impact, rank, search, traverse
 from .plans import delta as deltas
-from .plans.drawers import drawers as build_drawers
+from .plans import drawers
 from .plans.ingest import conform
 from .schemas import EDGES, NODES
 from .sources import export
 from .sources.store import Graph, GraphStore
+from .streaming import changes
 
 
 class Engine:
@@ -27,23 +31,57 @@ class Engine:
         return self._write(graph)
 
     def apply_delta(self, path: str, graph: str) -> int:
-        old = self.store.read(f"{graph}.facts")
-        new = deltas.apply_delta(old, export.read_delta(self.spark, path))
-        self._write_facts(new, graph)
-        return self._write(graph)
+        """Facts of changed classes are replaced; drawers are made anew for these and the classes around them only, unless beans or endpoints changed."""
+        change = deltas.read_change(export.read_delta(self.spark, path))
+        old = self.store.read(graph)
+        self._write_facts(deltas.apply_change(self.store.read(f"{graph}.facts"), change), graph)
+        touched = change.touched.select(F.col("owner").alias("fqn"))
+        members = change.members.select(F.split_part("member", F.lit("#"), F.lit(1)).alias("fqn"))
+        return self._write(graph, old, None if "spring" in change.sections else touched.unionByName(members).distinct())
 
     def _write_facts(self, facts: Graph, graph: str) -> None:
         self.store.write(f"{graph}.facts", facts)
 
-    def _write(self, graph: str) -> int:
+    def _write(self, graph: str, old: Graph | None = None, touched: DataFrame | None = None) -> int:
         g = deltas.graph_of(self.store.read(f"{graph}.facts"))
         self.store.write(f"{graph}.base", g)
         g = self.store.read(f"{graph}.base")
         ranks = rank.method_pagerank(g)
-        tables = Graph(g | {"pagerank": ranks, "drawers": build_drawers(g, graph), "postings": search.graph_postings(g)})
+        if touched is None or old is None or "drawers" not in old:
+            made = drawers.drawers(g, graph)
+        else:  # what a change reaches, before and after it
+            near = drawers.around(old["calls"], touched).unionByName(drawers.around(g["calls"], touched)).distinct()
+            made = drawers.renew(old["drawers"], g, graph, near)
+        tables = Graph(g | {"pagerank": ranks, "drawers": made, "postings": search.graph_postings(g)})
         tables["class_pagerank"] = rank.class_pagerank(g, ranks)
         return self.store.write(graph, tables)
 
+    def context_import(self, path: str, graph: str) -> int:
+        """Drawers of an export alone, under ``<graph>.context``."""
+        return self.store.write(f"{graph}.context", Graph(drawers=drawers.from_export(export.read_full(self.spark, path), graph)))
+
+    def export_json(self, graph: str, path: str, shards: int = 16) -> None:
+        """The graph as an export document in shards, a folder of JSON lines."""
+        export.write_json(export.document(self.graph(graph), shards), path)
+
+    def watch(self, events: DataFrame, graph: str, exporter: Callable[[DataFrame], str | None], checkpoint: str, **how):
+        """Follow a stream of file changes: ``exporter`` writes a delta export for a micro-batch's sessions and returns its path.
+
+        A micro-batch that comes a second time, after a failure, is known by its id and left out.
+        """
+
+        def apply(sessions: DataFrame, batch: int) -> None:
+            done = self.store.read(f"{graph}.applied")
+            seen = done["batch"] if "batch" in done else self.spark.createDataFrame([], "batch long")
+            if sessions.isEmpty() or not seen.where(F.col("batch") == batch).isEmpty():
+                return
+            path = exporter(sessions)
+            if path:
+                self.import_graph(path, graph)
+            self.store.write(f"{graph}.applied", Graph(batch=seen.unionByName(self.spark.createDataFrame([(batch,)], "batch long")).coalesce(1)))
+
+        return changes.watch(events, apply, checkpoint, **how)
+
     def clear(self, graph: str) -> None:
         self.store.clear(graph)
 
@@ -116,6 +154,8 @@ class Engine:
 
     def context_wakeup(self, graph: str) -> str:
         g = self.graph(graph)
+        if "drawers" not in g:  # an index without a graph
+            g = Graph(g | self.store.read(f"{graph}.context"))
         return context.wakeup_text(g, g["drawers"], graph)
 
     def context_recall(self, graph: str, **how) -> DataFrame:

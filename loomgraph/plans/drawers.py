@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.text import clean_javadoc
-from ..operators.rank import importance
+from ..operators.rank import checkpointed, importance
+from ..operators.traverse import SENT
 from ..sources.store import Graph
 from .ingest import ingest_full, union_all
 
@@ -84,17 +85,46 @@ def drawers(graph: Graph, wing: str) -> DataFrame:
     return all_.select("id", "document", F.lit(wing).alias("wing"), "room", F.lit("code").alias("hall"), "fqn", "type", F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
 
+def around(calls: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fqn): the classes (column fqn) and those that call them or that they call: whose drawers a change of them reaches."""
+    pairs = calls.select(ids.class_of(F.col("src")).alias("a"), ids.class_of(F.col("dst")).alias("b")).distinct()
+    own = F.broadcast(classes.select(F.col("fqn").alias("k")).distinct()) if classes.count() <= SENT else classes.select(F.col("fqn").alias("k")).distinct()
+    near = pairs.join(own, F.col("a") == F.col("k")).select(F.col("b").alias("fqn")).unionByName(pairs.join(own, F.col("b") == F.col("k")).select(F.col("a").alias("fqn")))
+    return classes.select("fqn").unionByName(near).distinct()
+
+
+def drawers_of(graph: Graph, wing: str, classes: DataFrame) -> DataFrame:
+    """The drawers of some classes (column fqn), their methods and endpoints: only rows that these need are read on."""
+    k = checkpointed(classes.select("fqn").distinct())
+    k = F.broadcast(k) if k.count() <= SENT else k
+    of = lambda t, owner: graph[t].withColumn("_o", owner).join(k.withColumnRenamed("fqn", "_o"), "_o", "left_semi").drop("_o")
+    cls = lambda c: ids.class_of(F.col(c))
+    marked = k.withColumn("_in", F.lit(True))
+    calls = graph["calls"].withColumn("_s", cls("src")).withColumn("_d", cls("dst"))
+    calls = calls.join(marked.toDF("_s", "_si"), "_s", "left").join(marked.toDF("_d", "_di"), "_d", "left").where("_si or _di")
+    part = {
+        "class": of("class", F.col("fqn")), "method": of("method", F.col("classFqn")), "endpoint": of("endpoint", cls("handlerMethodFqn")), "calls": calls.select(*graph["calls"].columns),
+        "annotated_with": of("annotated_with", cls("src")), "handles": of("handles", cls("src")), "has_method": of("has_method", F.col("src")), "extends": of("extends", F.col("src")), "implements": of("implements", F.col("src")),
+    }
+    # handlers name all their endpoints, also those of other controllers
+    handled = graph["handles"].join(part["method"].select(F.col("fqn").alias("src")), "src", "left_semi")
+    ends = graph["endpoint"].join(handled.select(F.col("dst").alias("id")), "id", "left_semi")
+    made = drawers(Graph(graph | part | {"endpoint": part["endpoint"].unionByName(ends).distinct()}), wing)
+    keep = made.withColumn("_o", cls("fqn")).join(k.withColumnRenamed("fqn", "_o"), "_o", "left_semi")
+    return keep.select(*made.columns)
+
+
+def renew(old: DataFrame, graph: Graph, wing: str, classes: DataFrame) -> DataFrame:
+    """Drawers after a change: those of the classes (column fqn) are made anew over ``graph``, all others stay as they are."""
+    kept = old.withColumn("_o", ids.class_of(F.col("fqn"))).join(classes.select(F.col("fqn").alias("_o")).distinct(), "_o", "left_anti").select(*old.columns)
+    return kept.unionByName(drawers_of(graph, wing, classes).select(*old.columns))
+
+
 def from_export(doc: DataFrame, wing: str) -> DataFrame:
     """Drawers of an export document alone, without a stored graph."""
     return drawers(ingest_full(doc), wing)
 
 
-def upsert(old: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataFrame:
-    """Drawers after a change: those of ``fresh`` in place of the old ones of the same id, and none whose id is in ``gone`` (column id)."""
-    out = gone.select("id").unionByName(fresh.select("id")).distinct()
-    return old.join(out, "id", "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))
-
-
 def refresh(old: DataFrame, new: DataFrame) -> DataFrame:
     """Drawers to index again: new ids and changed documents."""
     return new.join(old.select("id", "document"), ["id", "document"], "left_anti").select(*new.columns)

@@ -15,6 +15,8 @@ from .tables import BASE, CLOCK_NOW, LIST_ADD, SCHEDULED, cust, demo_graph, m, n
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+#: What a query does with a graph, however that is stored.
+ON_GRAPH: dict[str, Callable] = {}
 
 
 def _say(expr: str) -> str:
@@ -36,6 +38,7 @@ def on_graph(name: str, sql: str | None = None):
     """Register a function of the graph."""
 
     def add(f):
+        ON_GRAPH[name] = f
         register(name, sql)(lambda spark, sf_dir: f(demo_graph(spark, sf_dir)))
         return f
 

@@ -127,6 +127,20 @@ def _resumed(g):
     return drawers.refresh(old, new).select("id")
 
 
+_CHANGED = "m.classFqn like 'com.shop.supply.Supplier%7'"
+
+
+@register("drawer_renew", _DRAWERS.replace("nullif(left(body, 2000), '')) as document", f"case when {_CHANGED} then 'changed' else nullif(left(body, 2000), '') end) as document") + " select * from dr")
+def _renewed(spark, sf_dir):
+    """Drawers after the bodies of some methods changed: only those of their classes and the classes around are made anew."""
+    g = demo_graph(spark, sf_dir)
+    old = rank.checkpointed(drawers.drawers(g, "shop"))
+    some = F.col("classFqn").like("com.shop.supply.Supplier%7")
+    g["method"] = g["method"].withColumn("body", F.when(some, "changed").otherwise(F.col("body")))
+    touched = g["method"].where(some).select(F.col("classFqn").alias("fqn")).distinct()
+    return drawers.renew(old, g, "shop", drawers.around(g["calls"], touched))
+
+
 # --- context -------------------------------------------------------------------
 on_graph("context_recall", _DRAWERS + " select id, room, type, importance, left(trim(regexp_replace(document, '\\s+', ' ', 'g')), 300) as snippet from dr where type = 'class' order by importance desc, id limit 20")(lambda g: context.recall(drawers.drawers(g, "shop"), type_="class", limit=20))
 _IDENTITY = (
