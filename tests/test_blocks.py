@@ -43,7 +43,7 @@ def test_first_call_sites(spark):
     calls = spark.createDataFrame([(f"p.A{i % 997:03d}#m()", "java.time.Clock#now()", None if i == 3 else i // 2) for i in range(5000)], "src string, dst string, line int")
     got = drawers._names(calls, "dst", "src", 8, 5)
     assert "WindowGroupLimit" in plan(got)
-    first = sorted((0 if i == 3 else i // 2, f"A{i % 997:03d}#m") for i in range(5000))[:8]
+    first = sorted((0 if i == 3 else i // 2, f"A{i % 997:03d}.m") for i in range(5000))[:8]
     assert [tuple(r) for r in got.collect()] == [("java.time.Clock#now()", sorted({n for _, n in first})[:5])]
 
 
