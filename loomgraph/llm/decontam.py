@@ -7,9 +7,11 @@ search may skip; where it says zero, the buckets of the block's hash give the
 windows that may end there, and a direct comparison of all their words confirms
 an occurrence. Many stretches of text are searched in step with numpy.
 
-The windows are read from the benchmark in chunks of bounded size, each sent to
-the executors in turn; marks of hit words pass from one chunk to the next, so any
-size of benchmark is searched whole. Texts are never shuffled.
+Tasks cut the items into overlapping pieces, deal these to chunks of bounded size
+and build the tables; the driver passes on one chunk at a time, so any size of
+benchmark is searched whole. With one chunk nothing of the documents is shuffled;
+with several, each further one reads the texts again and writes only marks of the
+rows it hits, which are put together by row at the end.
 
 Defined results: null or empty text, and text without a word, has no words and no
 hits; a null or wordless item has no window; an item without an id hits words but
@@ -21,6 +23,7 @@ their names, but those with a result's name are replaced.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,9 +174,8 @@ class Windows:
                 pos, end = pos[on], end[on]
 
 
-def _mark(windows: Windows, texts: pa.Array, before: list | None):
-    """Per text: number of words, packed marks of hit words and the item ids with an occurrence."""
-    row = 0
+def _mark(windows: Windows, texts: pa.Array):
+    """Per text: number of words, marks of hit words and the item ids with an occurrence."""
     for raw, offsets in byte_steps(texts):
         data = _LOWER[raw]
         # a word never spans two texts: split what the joined bytes run together
@@ -202,58 +204,68 @@ def _mark(windows: Windows, texts: pa.Array, before: list | None):
                 found.setdefault(r, set()).update(windows.items[w])
         for k in range(len(offsets) - 1):
             marks = hit[first_word[k] : first_word[k + 1]]
-            items = found.get(k, set())
-            if before is not None and before[row] is not None:
-                old = before[row]
-                marks = marks | np.unpackbits(np.frombuffer(old["marks"], np.uint8), count=len(marks)).astype(bool)
-                items = items | set(old["items"])
-            yield len(marks), marks, sorted(items)
-            row += 1
+            yield len(marks), marks, sorted(found.get(k, set()))
 
 
-_OUT = pa.struct([("n_words", pa.int64()), ("marks", pa.binary()), ("items", pa.list_(pa.string()))])
+_OUT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("marks", pa.binary()), ("items", pa.list_(pa.string()))])
+_KIND = "struct<n_words: bigint, n_hit: bigint, marks: binary, items: array<string>>"
 
 
-def _pass(windows: Windows, text: Column, before: Column | None) -> Column:
-    def run(texts: pa.Array, old: list | None) -> pa.Array:
-        return pa.array([{"n_words": n, "marks": np.packbits(m).tobytes(), "items": i} for n, m, i in _mark(windows, texts, old)], _OUT)
+def _search(windows: Windows, text: Column, marks: bool) -> Column:
+    """Struct of the words of a text, those hit, their packed marks (if asked for) and the items found."""
 
-    kind = "struct<n_words: bigint, marks: binary, items: array<string>>"
-    if before is None:
-        return F.arrow_udf(lambda texts: run(texts, None), kind)(text)
-    return F.arrow_udf(lambda texts, old: run(texts, old.to_pylist()), kind)(text, before)
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [{"n_words": n, "n_hit": int(m.sum()), "marks": np.packbits(m).tobytes() if marks else None, "items": i} for n, m, i in _mark(windows, texts)]
+        return pa.array(rows, _OUT)
 
+    return F.arrow_udf(run, _KIND)(text)
 
-_LAST = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
 
+def _count(marks: Column) -> Column:
+    """Words that any of a text's packed marks hit."""
 
-def _count(before: Column) -> Column:
-    def run(old: pa.Array) -> pa.Array:
-        return pa.array([{"n_words": x["n_words"], "n_hit": int(np.unpackbits(np.frombuffer(x["marks"], np.uint8)).sum()), "items": x["items"]} for x in old.to_pylist()], _LAST)
+    def run(found: pa.Array) -> pa.Array:
+        every = ([np.frombuffer(x, np.uint8) for x in row] for row in found.to_pylist())
+        return pa.array([int(np.unpackbits(np.bitwise_or.reduce(row)).sum()) for row in every], pa.int64())
 
-    return F.arrow_udf(run, "struct<n_words: bigint, n_hit: bigint, items: array<string>>")(before)
+    return F.arrow_udf(run, "bigint")(marks)
 
 
-def _single(windows: Windows, text: Column) -> Column:
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([{"n_words": n, "n_hit": int(m.sum()), "items": i} for n, m, i in _mark(windows, texts, None)], _LAST)
+def item_pieces(benchmark: DataFrame, item: str, text: str, windows: int) -> DataFrame:
+    """(i, t, size): items cut into pieces of up to ``windows`` windows, which overlap so that none is lost; words they take in a table."""
 
-    return F.arrow_udf(run, "struct<n_words: bigint, n_hit: bigint, items: array<string>>")(text)
+    def cut(batches):
+        for b in batches:
+            out = []
+            for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist()):
+                data = _LOWER[np.frombuffer(t.encode(), np.uint8)]
+                s, e = words_of(data)
+                for a in range(0, max(1, len(s) - WINDOW + 1), windows) if len(s) else ():
+                    own = min(windows, max(1, len(s) - WINDOW + 1 - a))
+                    piece = data[s[a] : e[min(a + windows + WINDOW - 1, len(s)) - 1]].tobytes()
+                    out.append((i, piece.decode(), own * WINDOW + len(piece) // 8))
+            kinds = {"i": pa.string(), "t": pa.string(), "size": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null")
+    return rows.mapInArrow(cut, "i string, t string, size long").dropDuplicates(["i", "t"])
 
 
 def window_chunks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[Windows]:
-    """Windows of the items, ``limit`` words a chunk (or one larger item)."""
-    some, size = [], 0
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null")
-    for r in rows.toLocalIterator():
-        words = (len(r["t"]) // 2 + 1) * WINDOW
-        if some and size + words > limit:
-            yield Windows(some)
-            some, size = [], 0
-        some.append((r["i"], r["t"]))
-        size += words
-    if some:
-        yield Windows(some)
+    """The windows of all items in chunks of about ``limit`` words at most, which tasks build; the driver holds one at a time."""
+    pieces = materialize(item_pieces(benchmark, item, text, max(1, min(1 << 14, limit // (4 * WINDOW)))), "pieces")
+    total = pieces.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # dealt by hash: half full on average, so that none is much over the limit
+    dealt = -(-2 * total // limit) if total > limit else 1
+
+    def build(table: pa.Table) -> pa.Table:
+        made = Windows(list(zip(table.column("i").to_pylist(), table.column("t").to_pylist())))
+        return pa.table([table.column("chunk")[:1], pa.array([pickle.dumps(made)], pa.binary())], ["chunk", "made"])
+
+    chunk = F.pmod(F.xxhash64("i", "t"), F.lit(dealt)).alias("chunk")
+    built = materialize(pieces.select(chunk, "i", "t").groupBy("chunk").applyInArrow(build, "chunk long, made binary"), "windows")
+    for (k,) in sorted(built.select("chunk").collect()):
+        yield pickle.loads(built.where(F.col("chunk") == k).first()["made"])
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", pass_words: int = MAX_PASS_WORDS) -> DataFrame:
@@ -264,13 +276,21 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", it
     # the caller's columns wait in one struct, so none of their names meets one of ours
     rows = df.select(F.struct(*keep).alias("row"), F.col(text).alias("t"))
     if following is None:
-        got = rows.withColumn("hit", _single(first, F.col("t")))
-    else:  # one pass a chunk, its marks written, so that the driver holds two chunks at most
-        got = materialize(rows.withColumn("hit", _pass(first, F.col("t"), None)), "marks")
+        got = rows.withColumn("hit", _search(first, F.col("t"), False))
+    else:
+        # texts are written once, with a number; the other chunks write only marks of the rows they hit
+        docs = materialize(rows.withColumn("no", F.monotonically_increasing_id()).withColumn("hit", _search(first, F.col("t"), True)), "searched")
+        marks = docs.where("hit.n_hit > 0").select("no", "hit.marks", "hit.items")
         while following is not None:
-            got = materialize(got.withColumn("hit", _pass(following, F.col("t"), F.col("hit"))), "marks")
+            found = docs.select("no", _search(following, F.col("t"), True).alias("hit")).where("hit.n_hit > 0")
+            marks = marks.unionByName(materialize(found.select("no", "hit.marks", "hit.items"), "marks"))
             following = next(chunks, None)
-        got = got.withColumn("hit", _count(F.col("hit")))
+        # a text has at most one row for each chunk
+        every = marks.groupBy("no").agg(F.collect_list("marks").alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        every = every.select("no", _count(F.col("marks")).alias("n_hit"), "items")
+        n_hit, items = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
+        got = docs.select("no", "row", F.col("hit.n_words").alias("n")).join(every, "no", "left")
+        got = got.withColumn("hit", F.struct(F.col("n").alias("n_words"), n_hit.alias("n_hit"), items.alias("items")))
     n, hit = F.col("hit.n_words"), F.col("hit.n_hit")
     made = (n.alias("n_words"), hit.alias("n_hit"), F.col("hit.items").alias("items"), ((hit > 0) & (20 * hit >= n)).alias("contaminated"))
     return got.select(*[F.col("row")[c].alias(c) for c in keep], *made)

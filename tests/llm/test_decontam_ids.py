@@ -1,5 +1,8 @@
 """Benchmark items without an id still contaminate."""
 
+import random
+import re
+
 import pytest
 
 from loomgraph.llm import decontam
@@ -30,3 +33,44 @@ def test_columns_of_the_caller(spark):
         assert (found[1].n_words, found[1].n_hit, found[1].items) == (14, 14, ["i", "l"]) and found[2].n_words == 0
         assert (found[3].n_words, found[3].n_hit, found[3].items) == (600_014, 599_998 + 13, ["i", "j"]) and not found[4].contaminated
     assert decontam.contamination(df.limit(0), bench).count() == 0 and decontam.contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_long_items_are_cut(spark):
+    """Pieces of an item keep every window; chunks built by tasks and put together by row agree with brute force."""
+    rng = random.Random(5)
+    words = [f"v{k}" for k in range(30)] + ["été", "Ünit"]
+    items = [(f"i{k}", " ".join(rng.choices(words, k=n))) for k, n in enumerate((1, 5, 12, 13, 14, 60, 400))] + [(None, " ".join(rng.choices(words, k=50)))]
+    items += [items[5], ("i9", items[4][1]), ("i10", "...")]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(60))) for _ in range(30)]
+    for _ in range(60):
+        own = rng.choice(items)[1].split()
+        a = rng.randrange(len(own))
+        texts.append(" ".join(rng.choices(words, k=9) + own[a : a + rng.randrange(10, 40)] + rng.choices(words, k=rng.randrange(30))))
+    texts += [texts[40], "", None]
+
+    def split(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    def brute(t):
+        w, hit, ids = split(t), set(), set()
+        for i, u in items:
+            u = split(u)
+            for k in range(max(1, len(u) - 12)) if u else ():
+                p = u[k : k + 13]
+                for a in range(len(w) - len(p) + 1):
+                    if w[a : a + len(p)] == p:
+                        hit |= set(range(a, a + len(p)))
+                        ids |= {i} - {None}
+        return len(w), len(hit), sorted(ids), bool(hit) and 20 * len(hit) >= len(w)
+
+    want = {k: brute(t) for k, t in enumerate(texts)}
+    assert any(x[3] for x in want.values()) and any(len(x[2]) > 1 for x in want.values())
+    docs = spark.createDataFrame(list(enumerate(texts)), "no long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for pass_words in (decontam.MAX_PASS_WORDS, 3000):
+        got = decontam.contamination(docs, bench, pass_words=pass_words)
+        assert got.columns == ["no", "text", "n_words", "n_hit", "items", "contaminated"]
+        assert {r.no: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got.collect()} == want
+    assert len(list(decontam.window_chunks(bench, "item_id", "text", 3000))) > 1
+    pieces = decontam.item_pieces(bench, "item_id", "text", 50).where("i = 'i6'").collect()
+    assert len(pieces) == 8 and {tuple(split(r.t)[k : k + 13]) for r in pieces for k in range(len(split(r.t)) - 12)} == {tuple(split(items[6][1])[k : k + 13]) for k in range(388)}
