@@ -202,8 +202,8 @@ def _context_import(spark, sf_dir):
     " union all select 'calls', fqn || '#ship(int)', fqn || '#again()', 8 from touched"
     " union all select 'method', m.fqn, case when m.fqn like '%Supplier%7#%' then 'changed' else m.body end, m.lineStart from {method} m where external is null and classFqn not in (select fqn from gone)"
     " union all select 'method', fqn || '#again()', 'new', 9 from touched"
-    " union all select distinct 'stub', dst, 'true', cast(null as int) from {calls} where split_part(dst, '#', 1) in (select fqn from gone)"
-    " union all select 'stub', fqn, 'true', null from {method} where external",
+    " union all select distinct 'stub', dst, 'true', 0 from {calls} where split_part(dst, '#', 1) in (select fqn from gone)"
+    " union all select 'stub', fqn, 'true', 0 from {method} where external",
 )
 def _delta(spark, sf_dir):
     facts = deltas.fact_tables(export.read_full(spark, _exported(spark, sf_dir)))
@@ -220,7 +220,7 @@ def _delta(spark, sf_dir):
     g = deltas.graph_of(deltas.apply_change(facts, change))
     rows = [g["calls"].select(F.lit("calls").alias("kind"), "src", "dst", "line")]
     rows.append(g["method"].where("external is null").select(F.lit("method"), "fqn", "body", "lineStart"))
-    rows.append(g["method"].where("external is not null").select(F.lit("stub"), "fqn", F.col("external").cast("string"), "lineStart"))
+    rows.append(g["method"].where("external is not null").select(F.lit("stub"), "fqn", F.col("external").cast("string"), F.coalesce("lineStart", F.lit(0))))
     return ingest.union_all([r.toDF("kind", "src", "dst", "line") for r in rows])
 
 

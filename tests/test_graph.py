@@ -1,5 +1,7 @@
 """Goldens of the small graph, and a delta that must agree with a full import."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from loomgraph.plans import delta as deltas
 from loomgraph.plans.drawers import drawers
 from loomgraph.sources.export import read_delta, read_full
 from loomgraph.sources.store import GraphStore
+from loomgraph.streaming import changes
 
 from .graph_fixture import PKG, delta, document, save
 
@@ -136,6 +139,47 @@ def test_engine(spark, tmp_path):
     assert hits[0].key == PKG + "UserSvcImpl" and hits[0].label == "class"
 
 
+def test_watch(spark, tmp_path):
+    """Two micro-batches of saved files become two deltas; a batch that comes again is left out."""
+    e = Engine(spark, str(tmp_path / "store"))
+    e.import_graph = lambda path, graph: imported.append(path)  # imports have tests of their own
+    landing, asked, imported = tmp_path / "events", [], []
+    landing.mkdir()
+
+    def event(n, ts, path, kind="modify"):
+        row = {"project": "ex", "ts": ts, "seq": n, "event": kind, "path": path}
+        (landing / f"{n}.tmp").write_text(json.dumps(row))
+        (landing / f"{n}.tmp").rename(landing / f"{n}.json")
+
+    def exporter(sessions):
+        names = sorted(c.path for r in sessions.collect() for c in r.changes)
+        asked.append(names)
+        gone = delta()
+        gone["deleted"]["classes"] = [PKG + n.removeprefix("src/").removesuffix(".java") for n in names]
+        return save(gone, tmp_path / f"d{len(asked)}.json")
+
+    def run():
+        events = spark.readStream.schema(changes.EVENTS).json(str(landing))
+        q = e.watch(events, "ex", exporter, str(tmp_path / "checkpoint"), availableNow=True)
+        assert q.awaitTermination(240)
+
+    event(1, "2024-01-01T00:00:00Z", "src/OrderSvc.java", "delete")
+    event(2, "2024-01-01T01:00:00Z", "src/AdminCtl.java", "delete")  # an hour later: closes the first session
+    event(3, "2024-01-01T01:00:01Z", "target/AdminCtl.java", "delete")
+    run()
+    assert asked == [["src/OrderSvc.java"]]
+    applied = [r.batch for r in e.store.read("ex.applied")["batch"].collect()]
+    # the same batch again, as after a failure between the import and the stream's own commit
+    commits = tmp_path / "checkpoint" / "commits"
+    for f in [commits / str(max(applied)), commits / f".{max(applied)}.crc"]:
+        f.rename(tmp_path / f.name) if f.exists() else None
+    run()
+    assert len(asked) == 1
+    event(4, "2024-01-01T03:00:00Z", "src/Ent.java")
+    run()
+    assert asked[1:] == [["src/AdminCtl.java"]] and imported == [str(tmp_path / f"d{k}.json") for k in (1, 2)]
+
+
 def test_sync_mode():
     assert [deltas.choose_sync_mode(*x) for x in [(0, 9, True), (2, 9, True), (3, 9, True), (1, 9, False)]] == ["none", "delta", "full", "full"]
 
