@@ -43,18 +43,15 @@ class Engine:
         self.store.write(f"{graph}.facts", facts)
 
     def _write(self, graph: str, old: Graph | None = None, touched: DataFrame | None = None) -> int:
-        g = deltas.graph_of(self.store.read(f"{graph}.facts"))
-        self.store.write(f"{graph}.base", g)
-        g = self.store.read(f"{graph}.base")
+        g = self.store.stage(graph, deltas.graph_of(self.store.read(f"{graph}.facts")))
         ranks = rank.method_pagerank(g)
         if touched is None or old is None or "drawers" not in old:
             made = drawers.drawers(g, graph)
         else:  # what a change reaches, before and after it
             near = drawers.around(old["calls"], touched).unionByName(drawers.around(g["calls"], touched)).distinct()
             made = drawers.renew(old["drawers"], g, graph, near)
-        tables = Graph(g | {"pagerank": ranks, "drawers": made, "postings": search.graph_postings(g)})
-        tables["class_pagerank"] = rank.class_pagerank(g, ranks)
-        return self.store.write(graph, tables)
+        derived = Graph(pagerank=ranks, class_pagerank=rank.class_pagerank(g, ranks), drawers=made, postings=search.graph_postings(g))
+        return self.store.write(graph, derived, staged=g)
 
     def context_import(self, path: str, graph: str) -> int:
         """Drawers of an export alone, under ``<graph>.context``."""

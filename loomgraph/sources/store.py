@@ -6,11 +6,18 @@ readers never see half of one, and no path is overwritten while it is read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import EDGES, NODES
 
+#: Tables that are written at a time.
+WRITERS = 8
+
 
 class Graph(dict):
     """Lazy tables by name: nodes, edges, and what is derived from them."""
@@ -38,23 +45,39 @@ class GraphStore:
             return 0
         return self.spark.read.schema("version int").json(log).agg(F.max("version")).first()[0] or 0
 
-    def write(self, graph: str, tables: Graph) -> int:
+    def stage(self, graph: str, tables: Graph) -> Graph:
+        """Write tables into the folder of the next version, which is not committed by that, and read them back."""
         n = self.version(graph) + 1
-        for name, df in tables.items():
+
+        def put(name: str) -> None:
+            df = tables[name]
             # sorted by key: row-group statistics serve as the index of a lookup
             key = "src" if "src" in df.columns else df.columns[0]
             df.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{self.root}/{graph}/v{n}/{name}")
-        names = self.spark.createDataFrame([(n, sorted(tables))], "version int, tables array<string>")
+
+        # many tables are small: their jobs run side by side
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(put), tables))
+        return self._tables(graph, n, tables)
+
+    def write(self, graph: str, tables: Graph, staged: Iterable[str] = ()) -> int:
+        """Commit a version of ``tables`` and of those staged for it."""
+        n = self.version(graph) + 1
+        self.stage(graph, tables)
+        names = self.spark.createDataFrame([(n, sorted({*tables, *staged}))], "version int, tables array<string>")
         names.coalesce(1).write.mode("append").json(f"{self.root}/{graph}/commits")
         return n
 
+    def _tables(self, graph: str, n: int, names: Iterable[str]) -> Graph:
+        return Graph({t: self.spark.read.parquet(f"{self.root}/{graph}/v{n}/{t}") for t in names})
+
     def read(self, graph: str) -> Graph:
         n = self.version(graph)
         if not n:
             return empty_graph(self.spark)
         log = self.spark.read.schema("version int, tables array<string>").json(f"{self.root}/{graph}/commits")
         names = log.where(F.col("version") == n).first().tables
-        return Graph({t: self.spark.read.parquet(f"{self.root}/{graph}/v{n}/{t}") for t in names})
+        return self._tables(graph, n, names)
 
     def clear(self, graph: str) -> None:
         """A new version with empty tables; older ones stay until they are removed by hand."""
