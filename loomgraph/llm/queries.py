@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, katz, langid, rollup, secrets, sharding, simhash, sketch, urlfilter
+from . import bpe, decontam, katz, langid, rollup, secrets, sharding, simhash, sketch, urlfilter, wordbpe
 from .common import crc_mod, documents, materialize, scratch_path, spread_join
 
 #: The rules of the URL contract (host, path, verdict).
@@ -112,8 +112,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_vocabulary() -> str:
+    """Tokenizer file of the BPE with word ends."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return docs.withColumn("_b", wordbpe.digests(spark, F.col("text"), word_vocabulary())).select("doc_id", "_b.*")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_secret_scan, op4_simhash_dedup, op5_document_fingerprints, op6_token_rollup, op7_feistel_shards, op8_byte_bpe, op9_katz_scores, op10_decontamination)}
+    ops = (
+        op1_language_id, op2_url_filter, op3_secret_scan, op4_simhash_dedup, op5_document_fingerprints, op6_token_rollup, op7_feistel_shards,
+        op8_byte_bpe, op9_katz_scores, op10_decontamination, op12_word_bpe,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
