@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, katz, langid, rollup, secrets, sharding, simhash, sketch, urlfilter, wordbpe
+from . import bpe, decontam, katz, langid, merkle, rollup, secrets, sharding, simhash, sketch, urlfilter, wordbpe
 from .common import crc_mod, documents, materialize, scratch_path, spread_join
 
 #: The rules of the URL contract (host, path, verdict).
@@ -112,6 +112,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the id's crc32, the leaf is folded with one more in n_chars, and the proof fails."""
+    fields = lambda n_chars: [F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")]
+    tampered = merkle.leaf(*fields((F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")))
+    rows = documents(spark, sf_dir).select(
+        "doc_id", "lang", merkle.leaf(*fields(F.col("n_chars"))).alias("leaf"), F.when(crc_mod(F.col("doc_id"), 7) == 0, tampered).alias("other")
+    )
+    got = merkle.manifest(rows, group="lang", order=["doc_id"])
+    folded = merkle.fold(F.coalesce("other", "leaf"), F.col("proof"))
+    return got.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def word_vocabulary() -> str:
     """Tokenizer file of the BPE with word ends."""
     import public_tokenizers
@@ -127,7 +141,7 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     ops = (
         op1_language_id, op2_url_filter, op3_secret_scan, op4_simhash_dedup, op5_document_fingerprints, op6_token_rollup, op7_feistel_shards,
-        op8_byte_bpe, op9_katz_scores, op10_decontamination, op12_word_bpe,
+        op8_byte_bpe, op9_katz_scores, op10_decontamination, op11_merkle_manifest, op12_word_bpe,
     )
     return {f.__name__: f for f in ops}
 
