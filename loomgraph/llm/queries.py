@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,7 +149,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_token_rollup": OP6_SQL}
+    return {"op6_token_rollup": OP6_SQL, "op11_merkle_manifest": OP11_SQL}
 
 
 OP6_SQL = r"""
@@ -167,3 +169,58 @@ from (select source, lang, 'words-1' as tokenizer, w + 2 as n from c where doc_i
       select source, lang, 'bytes4-1', q from c where doc_id = keep)
 group by all
 """
+
+#: FRAME is written out below; the crc goes over the bits of the decimal id.
+OP11_SQL = r"""
+with recursive f as (
+  select doc_id, lang,
+         FRAME(doc_id) || FRAME(source) || FRAME(lang) as a, FRAME(n_chars) as n, FRAME((n_chars::hugeint + 1)) as n1, FRAME(text) as z,
+         coalesce(doc_id::varchar, '') as s
+  from documents
+), bits as (
+  select *, list_prepend(4294967295::bigint, [((ascii(s[k // 8 + 1]) >> (k % 8)) & 1)::bigint for k in range(8 * length(s))]) as b from f
+), leaves as (
+  select doc_id, lang, sha256(a || n || z) as leaf, sha256(a || n1 || z) as other,
+         xor(list_reduce(b, lambda c, x: xor(c >> 1, case when xor(c, x) & 1 = 1 then 3988292384 else 0 end)), 4294967295) % 7 = 0 as tampered,
+         coalesce('l' || lang, '') as g
+  from bits
+), l as (
+  select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by g) as m from leaves
+), t as (
+  select g, 0 as level, i, m, leaf as h from l
+  union all
+  select g, level + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' order by i)) from t where m > 1 group by g, level, i // 2, m
+), r as (
+  select g, h, row_number() over (order by g) - 1 as i, count(*) over () as m from t where m = 1
+), u as (
+  select 0 as level, i, m, h from r
+  union all
+  select level + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' order by i)) from u where m > 1 group by level, i // 2, m
+), near as (
+  select l.g, l.i, t.level, t.h from l join t on t.g = l.g and t.i = xor(l.i >> t.level, 1)
+  union all
+  select l.g, l.i, 100 + u.level, u.h from l join r on r.g = l.g join u on u.i = xor(r.i >> u.level, 1)
+), proofs as (
+  select g, i, string_agg(h, '' order by level) as p from near group by g, i
+), fold as (
+  select g, i as leaf_no, 0 as level, i, m, case when tampered then coalesce(other, leaf) else leaf end as h from l
+  union all
+  select f.g, leaf_no, f.level + 1, f.i // 2, (f.m + 1) // 2,
+         sha256(case when f.i % 2 = 1 then t.h || f.h else f.h || coalesce(t.h, '') end)
+  from fold f left join t on t.g = f.g and t.level = f.level and t.i = xor(f.i, 1)
+  where f.m > 1
+), fold_top as (
+  select f.g, f.leaf_no, 0 as level, r.i, r.m, f.h from fold f join r on r.g = f.g where f.m = 1
+  union all
+  select f.g, leaf_no, f.level + 1, f.i // 2, (f.m + 1) // 2,
+         sha256(case when f.i % 2 = 1 then u.h || f.h else f.h || coalesce(u.h, '') end)
+  from fold_top f left join u on u.level = f.level and u.i = xor(f.i, 1)
+  where f.m > 1
+)
+select l.doc_id, l.leaf, r.h as subroot, root.h as root, sha256(coalesce(p, '')) as proof_sha256, e.h as folded_root, e.h = root.h as verified
+from l join r on r.g = l.g
+join (select h from u where m = 1) root on true
+join (select g, leaf_no, h from fold_top where m = 1) e on e.g = l.g and e.leaf_no = l.i
+left join proofs on proofs.g = l.g and proofs.i = l.i
+"""
+OP11_SQL = re.sub(r"FRAME(\((?:[^()]|\([^()]*\))*\))", r"case when \1 is null then '-' else strlen(\1::varchar) || ':' || \1 end", OP11_SQL)
