@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, katz, langid, merkle, rollup, secrets, sharding, simhash, sketch, urlfilter, wordbpe
+from . import bpe, decontam, divergence, katz, langid, merkle, rollup, secrets, sharding, simhash, sketch, urlfilter, wordbpe
 from .common import crc_mod, documents, materialize, scratch_path, spread_join
 
 #: The rules of the URL contract (host, path, verdict).
@@ -140,16 +140,20 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("_b", wordbpe.digests(spark, F.col("text"), word_vocabulary())).select("doc_id", "_b.*")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     ops = (
         op1_language_id, op2_url_filter, op3_secret_scan, op4_simhash_dedup, op5_document_fingerprints, op6_token_rollup, op7_feistel_shards,
-        op8_byte_bpe, op9_katz_scores, op10_decontamination, op11_merkle_manifest, op12_word_bpe,
+        op8_byte_bpe, op9_katz_scores, op10_decontamination, op11_merkle_manifest, op12_word_bpe, op13_source_divergence,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_token_rollup": OP6_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op6_token_rollup": OP6_SQL, "op11_merkle_manifest": OP11_SQL, "op13_source_divergence": OP13_SQL}
 
 
 OP6_SQL = r"""
@@ -224,3 +228,45 @@ join (select g, leaf_no, h from fold_top where m = 1) e on e.g = l.g and e.leaf_
 left join proofs on proofs.g = l.g and proofs.i = l.i
 """
 OP11_SQL = re.sub(r"FRAME(\((?:[^()]|\([^()]*\))*\))", r"case when \1 is null then '-' else strlen(\1::varchar) || ':' || \1 end", OP11_SQL)
+
+#: Every pair of sources over every kept term, absent ones too.
+OP13_SQL = r"""
+with d as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), t as (
+  select id, lang, source, unnest(w) as term from d
+), kept as (
+  select lang, term from t group by lang, term having count(distinct id) >= 3
+), v as (
+  select lang, count(*) as v from kept group by lang
+), n as (
+  select lang, source, term, count(*) as c from t join kept using (lang, term) group by lang, source, term
+), g as (
+  select distinct lang, source from d
+), gt as (
+  select g.lang, g.source, coalesce(sum(n.c), 0)::hugeint as total from g left join n using (lang, source) group by g.lang, g.source
+), p as (
+  select gt.lang, gt.source, kept.term, coalesce(n.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(n.c, 0) + 1)) // (total + v.v) as p
+  from gt join kept using (lang) join v using (lang) left join n using (lang, source, term)
+), lt as (
+  select lang, sum(total)::hugeint as total from gt group by lang
+), q as (
+  select n.lang, n.term, 1 + (1000000000::hugeint * (sum(n.c) + 1)::hugeint) // (any_value(lt.total) + any_value(v.v)) as q
+  from n join lt using (lang) join v using (lang) group by n.lang, n.term
+), sums as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sums.value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join sums on sums.lang = a.lang and sums.source = a.source and sums.item = b.source
+), terms as (
+  select p.lang, p.source, 'term' as part, p.term as item, ((p.p - q.q) * (p.p - q.q) // q.q)::bigint as value
+  from p join q using (lang, term) where p.c > 0 and p.p > q.q
+)
+select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+from (select * from pairs union all select * from terms)
+qualify part = 'pair' or rank <= 200
+"""
