@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, spread_join
 
 #: Levels that are built inside a partition, and levels that one task adds in each later round.
 UNIT, STEP = 13, 12
@@ -160,8 +160,8 @@ def _built(part: int, rows, plan: dict, wide: int) -> Iterator[tuple]:
         yield from flush(last_size if at == last_size else None)
 
 
-def _grown(leaves: DataFrame, unit: int, step: int) -> tuple[DataFrame, DataFrame]:
-    """Of (_h, _o, _leaf, _row): the numbered leaves, and the edge nodes with ``_path`` (siblings up to the root), ``_size`` and ``_top``."""
+def _grown(leaves: DataFrame, unit: int, step: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (_h, _o, _leaf, _row): the numbered leaves; the edge nodes with ``_path`` (siblings up to the root), ``_size`` and ``_top``; sizes of groups."""
     spark = leaves.sparkSession
     held = materialize(leaves.withColumn("_tie", F.monotonically_increasing_id()), "leaves")
     keys = ["_o", "_leaf", "_tie"]
@@ -170,9 +170,9 @@ def _grown(leaves: DataFrame, unit: int, step: int) -> tuple[DataFrame, DataFram
     plan = spark.sparkContext.broadcast(_offsets(rows.mapPartitionsWithIndex(_counted).collect()))
     schema = T.StructType([T.StructField(n, t) for n, t in (("_h", T.StringType()), ("_part", T.IntegerType()), ("_unit", T.LongType()), ("_level", T.IntegerType()), ("_index", T.LongType()), ("_hash", T.StringType()), ("_row", held.schema["_row"].dataType))])
     built = materialize(spark.createDataFrame(rows.mapPartitionsWithIndex(lambda k, it: _built(k, it, plan.value, unit)), schema, verifySchema=False), "built")
-    sizes = held.groupBy("_h").agg(F.count(F.lit(1)).alias("_size"))
-    nodes = built.where("_level is not null").drop("_row").join(sizes, "_h").withColumn("_path", F.array().cast("array<string>"))
-    most = depth(held.count())
+    sizes = materialize(held.groupBy("_h").agg(F.count(F.lit(1)).alias("_size")).withColumn("_times", F.col("_size")), "sizes")
+    nodes = spread_join(built.where("_level is not null").drop("_row"), sizes, "_h", "_times").withColumn("_path", F.array().cast("array<string>"))
+    most = depth(sizes.agg(F.coalesce(F.max("_size"), F.lit(0))).first()[0])
     top = unit
     stages = []
     while True:
@@ -188,7 +188,7 @@ def _grown(leaves: DataFrame, unit: int, step: int) -> tuple[DataFrame, DataFram
         above = done.select("_h", F.col("_index").alias("_block"), F.col("_path").alias("_rest"), F.col("_top").alias("_end"))
         below = stages.pop()
         done = below.join(above, ["_h", "_block"]).withColumn("_path", F.concat("_path", "_rest")).withColumn("_top", F.col("_end")).drop("_rest", "_end")
-    return built.where("_level is null"), done
+    return built.where("_level is null"), done, sizes
 
 
 def _round(nodes: DataFrame, top: int) -> DataFrame:
@@ -272,13 +272,13 @@ def manifest(df: DataFrame, *, group: str, order: list[str], leaf: str = "leaf",
     """
     name = F.sha2(framed(F.col(group)), 256)
     rows = df.select(name.alias("_h"), F.struct(F.col(group).alias("g"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)]).alias("_o"), F.col(leaf).alias("_leaf"), F.struct(*df.columns).alias("_row"))
-    leaves, nodes = _grown(rows, unit, step)
+    leaves, nodes, sizes = _grown(rows, unit, step)
     groups = leaves.select("_h", F.col("_row")[group].alias("_g")).dropDuplicates(["_h"])
     tops = nodes.select("_h", "_top").dropDuplicates(["_h"]).join(groups, "_h")
     all_groups = tops.select(F.lit("").alias("_h"), F.struct(F.col("_g").alias("g")).alias("_o"), F.col("_top").alias("_leaf"), F.struct(F.col("_h").alias("of")).alias("_row"))
-    roots, above = _grown(all_groups, unit, step)
+    roots, above, _ = _grown(all_groups, unit, step)
     lone = above.withColumn("_at", F.lit(0).cast("long")).withColumn("_over", F.array().cast("array<string>")).withColumn("_root", F.col("_top"))
     over = _proved(roots, lone, unit).select(F.col("_row.of").alias("_h"), F.col("_number").alias("_at"), F.transform("_proof", lambda s: F.concat(s["left"], s["right"])).alias("_over"), "_root")
-    got = _proved(leaves, nodes.join(over, "_h"), unit)
+    got = _proved(leaves, spread_join(nodes, over.join(sizes.drop("_size"), "_h"), "_h", "_times"), unit)
     kept = [F.col("_row")[c].alias(c) for c in df.columns if c not in ("subroot", "root", "proof")]
     return got.select(*kept, F.col("_up").alias("subroot"), F.col("_root").alias("root"), F.col("_proof").alias("proof"))
