@@ -10,48 +10,36 @@ from pyspark.sql import functions as F
 from .operators import catalog, context, impact, rank, search, traverse
 from .plans import delta as deltas
 from .plans import drawers
+from .plans.incremental import GraphFiles
 from .plans.ingest import conform
 from .schemas import EDGES, NODES
 from .sources import export
+from .sources.buckets import BucketStore
 from .sources.store import Graph, GraphStore
 from .streaming import changes
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, GraphStore(spark, root)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.store, self.buckets = spark, GraphStore(spark, root), BucketStore(spark, root, buckets)
 
     # --- import -------------------------------------------------------------
-    def import_graph(self, path: str, graph: str) -> int:
-        """Full or delta export, told apart by its exportType. Returns the committed version."""
+    def files(self, graph: str) -> GraphFiles:
+        return GraphFiles(self.buckets, graph)
+
+    def import_graph(self, path: str, graph: str, **notes) -> int:
+        """Full or delta export, told apart by its exportType. Returns the committed version; ``notes`` are kept with it."""
         if export.export_type(self.spark, path) == "delta":
-            return self.apply_delta(path, graph)
-        facts = deltas.fact_tables(export.read_full(self.spark, path))
-        self._write_facts(facts, graph)
-        return self._write(graph)
-
-    def apply_delta(self, path: str, graph: str) -> int:
-        """Facts of changed classes are replaced; drawers are made anew for these and the classes around them only, unless beans or endpoints changed."""
-        change = deltas.read_change(export.read_delta(self.spark, path))
-        old = self.store.read(graph)
-        self._write_facts(deltas.apply_change(self.store.read(f"{graph}.facts"), change), graph)
-        touched = change.touched.select(F.col("owner").alias("fqn"))
-        members = change.members.select(F.split_part("member", F.lit("#"), F.lit(1)).alias("fqn"))
-        return self._write(graph, old, None if "spring" in change.sections else touched.unionByName(members).distinct())
-
-    def _write_facts(self, facts: Graph, graph: str) -> None:
-        self.store.write(f"{graph}.facts", facts)
-
-    def _write(self, graph: str, old: Graph | None = None, touched: DataFrame | None = None) -> int:
-        g = self.store.stage(graph, deltas.graph_of(self.store.read(f"{graph}.facts")))
-        ranks = rank.method_pagerank(g)
-        if touched is None or old is None or "drawers" not in old:
-            made = drawers.drawers(g, graph)
-        else:  # what a change reaches, before and after it
-            near = drawers.around(old["calls"], touched).unionByName(drawers.around(g["calls"], touched)).distinct()
-            made = drawers.renew(old["drawers"], g, graph, near)
-        derived = Graph(pagerank=ranks, class_pagerank=rank.class_pagerank(g, ranks), drawers=made, postings=search.graph_postings(g))
-        return self.store.write(graph, derived, staged=g)
+            return self.apply_delta(path, graph, **notes)
+        return self.files(graph).import_full(export.read_full(self.spark, path), **notes)
+
+    def apply_delta(self, path: str, graph: str, **notes) -> int:
+        """Facts of changed classes are replaced; only the buckets that a change reaches are written."""
+        doc = export.read_delta(self.spark, path).cache()  # one small row, asked for many times
+        try:
+            return self.files(graph).import_delta(deltas.read_change(doc), **notes)
+        finally:
+            doc.unpersist()
 
     def context_import(self, path: str, graph: str) -> int:
         """Drawers of an export alone, under ``<graph>.context``."""
@@ -80,10 +68,14 @@ class Engine:
         return changes.watch(events, apply, checkpoint, **how)
 
     def clear(self, graph: str) -> None:
-        self.store.clear(graph)
+        self.buckets.clear(graph)
+
+    def vacuum(self, graph: str, keep: int = 1) -> int:
+        """Remove what only older versions than the last ``keep`` need."""
+        return self.buckets.vacuum(graph, keep)
 
     def graph(self, graph: str) -> Graph:
-        g = self.store.read(graph)
+        g = self.files(graph).read()
         empty = lambda ddl: conform(self.spark.range(0), ddl)
         return Graph({n: empty(d) for n, (_, d) in NODES.items()} | {n: empty(d) for n, d in EDGES.items()} | g)
 

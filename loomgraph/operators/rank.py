@@ -17,6 +17,10 @@ SEED_ANNOTATIONS = ("Scheduled", "PostConstruct", "EventListener", "KafkaListene
 ENTRY_ANNOTATIONS = ("org.springframework.scheduling.annotation.Scheduled", "javax.annotation.PostConstruct", "jakarta.annotation.PostConstruct")
 
 
+#: Edges from which on they stay dealt by source, so that rounds shuffle sums of ranks only.
+DEALT_EDGES = 20_000_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir; only in local mode a temporary one is set where none is."""
     sc = spark.sparkContext
@@ -40,27 +44,72 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """``df`` checkpointed in ``parts`` partitions by ``key``, which later joins and sums by it know, so that they do not shuffle it again.
+
+    An adaptive plan would forget how its rows are dealt; the setting holds for this plan alone.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(df.repartition(parts, key).sortWithinPartitions(key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def entry_seeds(graph: Graph) -> DataFrame:
     """(node): handlers and methods with a seed annotation."""
     marked = graph["annotated_with"].where(F.substring_index("dst", ".", -1).isin(*SEED_ANNOTATIONS)).select(F.col("src").alias("node"))
     return graph["handles"].select(F.col("src").alias("node")).unionByName(marked).distinct()
 
 
-def _prepared(edges: DataFrame, entries: DataFrame, boost: float) -> tuple[DataFrame, DataFrame, int]:
-    """(nodes: node, p, deg), (edges: src, dst, deg) and the number of nodes; p is the restart, summing to one."""
-    e = edges.select("src", "dst").distinct()
+def _prepared(edges: DataFrame, entries: DataFrame, boost: float) -> tuple[DataFrame, DataFrame, int, float]:
+    """(nodes: node, id, w, deg), (edges: s, d, deg by node id), the number of nodes and their weight; nodes and edges are dealt by id and s.
+
+    Names become numbers once, so that rounds shuffle and compare numbers only.
+    """
+    e = checkpointed(edges.select("src", "dst").distinct())
     nodes = union_all([e.select(F.col("src").alias("node")), e.select(F.col("dst").alias("node")), entries.select("node")]).distinct()
     nodes = nodes.join(entries.select("node", F.lit(boost).alias("w")).distinct(), "node", "left").select("node", F.coalesce("w", F.lit(1.0)).alias("w"))
-    out = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
-    nodes = checkpointed(nodes.join(out, "node", "left"))
+    nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()))
+    ids = nodes.select("node", "id")
+    numbered = e.join(ids.toDF("src", "s"), "src").join(ids.toDF("dst", "d"), "dst").select("s", "d")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = checkpointed(numbered)
+    large = numbered.count() > DEALT_EDGES  # below, sending the ranks to all edges is faster than sorting by node in each round
+    if large:
+        numbered = dealt(numbered, parts, "s")
+    out = numbered.groupBy(F.col("s").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
+    nodes = checkpointed(nodes.join(out, "id", "left"))
+    if large:
+        nodes = dealt(nodes, parts, "id")
     n, weight = nodes.agg(F.count(F.lit(1)), F.sum("w")).first()
-    e = checkpointed(e.join(out.withColumnRenamed("node", "src"), "src").select("src", "dst", "deg"))
-    return nodes.select("node", (F.col("w") / F.lit(weight)).alias("p"), "deg"), e, n
+    return nodes, numbered, n, weight
 
 
 def _received(e: DataFrame, ranks: DataFrame) -> DataFrame:
-    sent = e.join(ranks.select(F.col("node").alias("src"), "r"), "src")
-    return sent.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") / F.col("deg")).alias("got"))
+    """(id, got): what each node gets of ranks (id, r, deg)."""
+    sent = e.join(ranks.where("deg is not null").select(F.col("id").alias("s"), (F.col("r") / F.col("deg")).alias("out")), "s")
+    return sent.groupBy(F.col("d").alias("id")).agg(F.sum("out").alias("got"))
+
+
+def mass(edges: DataFrame, entries: DataFrame, *, alpha: float = 0.85, boost: float = 10.0, iterations: int = 100, tolerance: float = 1e-6, every: int = 5) -> tuple[DataFrame, float, int]:
+    """(node, w, mass), total mass and number of nodes: the solution of mass = alpha P mass + w, with w = ``boost`` for entries and 1 for others."""
+    nodes, e, n, _ = _prepared(edges, entries, boost)
+    if not n:
+        return nodes.select("node", "w", F.col("w").alias("mass")), 0.0, 0
+    y = nodes.withColumn("r", F.col("w"))
+    for k in range(1, iterations + 1):
+        y = y.join(_received(e, y), "id", "left").select("node", "id", "w", "deg", F.col("r").alias("old"), (alpha * F.coalesce("got", F.lit(0.0)) + F.col("w")).alias("r"))
+        if k % every == 0 or k == iterations:
+            y = checkpointed(y)
+            total, change = y.agg(F.sum("r"), F.sum(F.abs(F.col("r") - F.col("old")))).first()
+            if change < tolerance * total:
+                break
+    else:
+        warnings.warn(f"PageRank: change is {change / total:.1e} of the total after {iterations} rounds, above {tolerance}", stacklevel=2)
+    return y.select("node", "w", F.col("r").alias("mass")), total, n
 
 
 def pagerank(edges: DataFrame, entries: DataFrame, *, alpha: float = 0.85, boost: float = 10.0, iterations: int = 100, tolerance: float = 1e-6, every: int = 5, fixed: bool = False) -> DataFrame:
@@ -73,30 +122,19 @@ def pagerank(edges: DataFrame, entries: DataFrame, *, alpha: float = 0.85, boost
     million nodes meet whatever is left. ``fixed`` deals the lost mass in each round and does
     exactly ``iterations`` rounds from equal ranks.
     """
-    nodes, e, n = _prepared(edges, entries, boost)
-    if not n:
-        return nodes.select("node", F.lit(0.0).alias("pagerank"))
     if fixed:
-        return _power(nodes, e, n, alpha, iterations)
-    y = nodes.withColumn("r", F.col("p"))
-    for k in range(1, iterations + 1):
-        y = y.join(_received(e, y), "node", "left").select("node", "p", F.col("r").alias("old"), (alpha * F.coalesce("got", F.lit(0.0)) + F.col("p")).alias("r"))
-        if k % every == 0 or k == iterations:
-            y = checkpointed(y)
-            total, change = y.agg(F.sum("r"), F.sum(F.abs(F.col("r") - F.col("old")))).first()
-            if change < tolerance * total:
-                break
-    else:
-        warnings.warn(f"PageRank: change is {change / total:.1e} of the total after {iterations} rounds, above {tolerance}", stacklevel=2)
-    return y.select("node", (F.col("r") / F.lit(total)).alias("pagerank"))
+        nodes, e, n, weight = _prepared(edges, entries, boost)
+        return _power(nodes.withColumn("p", F.col("w") / F.lit(weight)), e, n, alpha, iterations) if n else nodes.select("node", F.lit(0.0).alias("pagerank"))
+    y, total, n = mass(edges, entries, alpha=alpha, boost=boost, iterations=iterations, tolerance=tolerance, every=every)
+    return y.select("node", (F.col("mass") / F.lit(total)).alias("pagerank")) if n else y.select("node", F.lit(0.0).alias("pagerank"))
 
 
 def _power(nodes: DataFrame, e: DataFrame, n: int, alpha: float, iterations: int) -> DataFrame:
     ranks = nodes.withColumn("r", F.lit(1.0 / n))
     for _ in range(iterations):
         lost = ranks.where("deg is null").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
-        new = ranks.join(_received(e, ranks), "node", "left")
-        ranks = checkpointed(new.select("node", "p", "deg", (alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("p")) + (1 - alpha) * F.col("p")).alias("r")))
+        new = ranks.join(_received(e, ranks), "id", "left")
+        ranks = checkpointed(new.select("node", "id", "p", "deg", (alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("p")) + (1 - alpha) * F.col("p")).alias("r")))
     return ranks.select("node", F.col("r").alias("pagerank"))
 
 

@@ -75,7 +75,8 @@ def apply_change(old: Graph, change: Change) -> Graph:
             rows = rows.unionByName(fresh, allowMissingColumns=True).select(*old[name].columns)
         out[name] = rows
     for name in ("spring", "modules"):
-        out[name] = change.sections.get(name, old[name])
+        if name in change.sections or name in old:
+            out[name] = change.sections.get(name, old.get(name))
     return out
 
 
@@ -92,8 +93,3 @@ def choose_sync_mode(changed: int, total: int, is_ancestor: bool) -> str:
     if changed == 0:
         return "none"
     return "full" if total and changed > 0.3 * total else "delta"
-
-
-def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Rows of ``source`` replace those of ``target`` with the same key."""
-    return target.join(source.select(key), key, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
