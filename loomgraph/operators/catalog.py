@@ -9,6 +9,7 @@ from ..functions import ids
 from ..plans.ingest import union_all
 from ..schemas import LABELS
 from ..sources.store import Graph
+from .index import containing
 from .rank import ENTRY_ANNOTATIONS
 
 
@@ -22,6 +23,14 @@ def find_class(graph: Graph, part: str, limit: int = 20) -> DataFrame:
     return graph["class"].where(F.col("name").contains(part)).select("fqn", "name", "kind", "filePath").orderBy("fqn").limit(limit)
 
 
+def find_classes(graph: Graph, parts: DataFrame, limit: int = 20) -> DataFrame:
+    """``find_class`` for a table of parts (query_id, needle): (query_id, fqn, name, kind, filePath)."""
+    names = graph["class"].select(F.lit("class").alias("field"), F.col("name").alias("text"), "fqn", "name", "kind", "filePath")
+    found = containing(names, parts.select("query_id", F.lit("class").alias("field"), "needle"))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("fqn"))
+    return found.withColumn("_n", first).where(F.col("_n") <= limit).select("query_id", "fqn", "name", "kind", "filePath")
+
+
 def entry_points(graph: Graph) -> DataFrame:
     """(fqn, type, detail): handlers, scheduled or post-construct methods, and project main methods."""
     e = graph["handles"].join(graph["endpoint"].select(F.col("id").alias("dst"), F.concat_ws(" ", "httpMethod", "path").alias("detail")), "dst")

@@ -14,6 +14,7 @@ from ..functions.vector import Embedder, Reranker, cosine_distance, hashing_embe
 from ..plans.ingest import union_all
 from ..sources.store import Graph
 from .catalog import locations, neighbors
+from .index import graph_direct, term_hits
 
 RRF_K = 60
 #: Queries that one array has, about.
@@ -58,17 +59,9 @@ def fts_search(index: DataFrame, queries: DataFrame, limit: int = 50, documents:
 
     ``term*`` is a prefix and ``%term%k`` allows k edits. ``rank`` counts from 0 within query and type.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}*%]+"), lambda x: x.rlike(r"[\p{L}\p{N}]")))).alias("raw"))
-    bare = F.regexp_extract("raw", r"([\p{L}\p{N}]+)", 1)
-    q = q.select("query_id", "raw", bare.alias("q"), F.col("raw").endswith("*").alias("prefix"), F.expr("cast(nullif(regexp_extract(raw, '%[^%]+%([0-9])', 1), '') as int)").alias("edits"))
     df = index.groupBy("type", "term").agg(F.count(F.lit(1)).alias("df"))
     n = (documents if documents is not None else index.select("type", "key").distinct()).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    idf = df.join(n, "type").select("type", "term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    plain = idf.join(q.where("not prefix and edits is null").select("query_id", F.col("q").alias("term")), "term")
-    first = F.substring("term", 1, 1)  # prefix terms share their first letter with what they match
-    ahead = idf.withColumn("f", first).join(q.where("prefix").withColumn("f", F.substring("q", 1, 1)), "f").where(F.col("term").startswith(F.col("q")))
-    fuzzy = within_edits(idf, q.where("not prefix and edits is not null"))
-    hits = union_all([x.select("term", "type", "idf", "query_id") for x in (plain, ahead, fuzzy)]).distinct()
+    hits = term_hits(df.join(n, "type").select("type", "term", F.log(1 + F.col("n") / F.col("df")).alias("idf")), queries)
     scored = index.join(hits, ["type", "term"]).groupBy("query_id", "type", "key").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))  # rounded, so that equal documents tie
     w = Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "key")
     return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
@@ -156,37 +149,6 @@ def route_queries(queries: DataFrame) -> DataFrame:
     return queries.withColumn("hint", hint)
 
 
-def graph_direct(graph: Graph, routed: DataFrame, limit: int = 50) -> DataFrame:
-    """(query_id, key, type, score, rank): what a routed query names outright.
-
-    What only ``contains`` can find is tested for each node against one block of such queries at a time.
-    """
-    h = routed.select("query_id", strip(F.col("query")).alias("q"), "hint.*")
-    nodes = union_all([
-        graph["class"].select("fqn", "name", F.lit("class").alias("type"), F.lit(True).alias("own")),
-        graph["method"].select("fqn", "name", F.lit("method").alias("type"), F.col("external").isNull().alias("own")),
-        graph["endpoint"].select(F.col("id").alias("fqn"), F.col("path").alias("name"), F.lit("endpoint").alias("type"), F.lit(True).alias("own")),
-    ])
-    asked = query_blocks(h.where("kind is not null"), "query_id", "q", "kind", "verb", "path")
-    t, own, name, fqn = F.col("type"), F.col("own"), F.col("name"), F.col("fqn")
-
-    def score(x):
-        part = F.when(name == x["q"], 1.0).when(name.contains(x["q"]), 0.8)
-        route = (t == "endpoint") & name.contains(x["path"]) & (x["verb"].isNull() | fqn.startswith(F.concat(x["verb"], F.lit(":"))))
-        return (
-            F.when((x["kind"] == "endpoint") & route, 1.0)
-            .when(x["kind"].isin("method", "fqn") & (t != "endpoint") & fqn.contains(x["q"]), 0.9)
-            .when((x["kind"] == "class") & (t == "class"), part)
-            .when((x["kind"] == "name") & (t == "method") & own, part)
-        )
-
-    scored = nodes.crossJoin(asked).select("fqn", "type", F.explode(F.filter(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), score(x).alias("score"))), lambda y: y["score"].isNotNull())).alias("h"))
-    rows = scored.select(F.col("h.query_id").alias("query_id"), F.col("fqn").alias("key"), "type", F.col("h.score").alias("score"))
-    order = F.when(t == "method", 0).when(t == "class", 1).otherwise(2)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), order, "key")
-    return rows.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
-
-
 def kind_boost(fused: DataFrame, routed: DataFrame) -> DataFrame:
     """Scores times the hint's boost where the type is preferred, and times two where the name has the asked part."""
     h = routed.select("query_id", "hint")

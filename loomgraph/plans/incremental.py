@@ -15,7 +15,10 @@ taken to lie in the class that their name begins with.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,10 +172,19 @@ class GraphFiles:
         lost, won = checkpointed(calls(old).exceptAll(calls(m))), checkpointed(calls(m).exceptAll(calls(old)))
         into = self._buckets(lost.unionByName(won).select(owner("dst").alias("o")), old)
         m = self._put(m, {"calls_in": self._get(old, ["calls_in"], into)["calls_in"].exceptAll(lost).unionByName(won)}, {"calls_in": into})
-        m = self._drawers(old, m, owners, came.unionByName(went), a0, spring)
-        m = self._put(m, {"postings": search.graph_postings(self._get(m, ["class", "method"], a) | {"endpoint": ends})}, {} if spring else {"postings": a})
-        m, work = self._ranks(old, m, a, spring)
-        return self.store.commit(self.graph, m, **work, **notes)
+        # three that do not need one another
+        parts = {
+            "drawers": lambda: (self._drawers(old, m, owners, came.unionByName(went), a0, spring), {}),
+            "postings": lambda: (self._put(m, {"postings": search.graph_postings(self._get(m, ["class", "method"], a) | {"endpoint": ends})}, {} if spring else {"postings": a}), {}),
+            "ranks": lambda: self._ranks(old, m, a, spring),
+        }
+        with ThreadPoolExecutor(len(parts)) as pool:
+            made_by = list(pool.map(inheritable_thread_target(self.store.spark)(lambda f: f()), parts.values()))
+        done, more = replace(m, folders=dict(m.folders)), {}
+        for (x, said), tables in zip(made_by, (["drawers"], ["postings"], ["ranks", "class_pagerank"])):
+            done.folders |= {t: x.folders[t] for t in tables}
+            more |= said
+        return self.store.commit(self.graph, done, **more, **notes)
 
     def _drawers(self, old: Manifest, m: Manifest, owners: DataFrame, named: DataFrame, a0: list[int], spring: bool) -> Manifest:
         if spring:
@@ -202,6 +214,8 @@ class GraphFiles:
         was, now = was.join(sources, "src", "left_semi"), now.join(sources, "src", "left_semi")
         seed_old, seed_new = checkpointed(seeds(old)), checkpointed(seeds(m))
         entries = seed_old.exceptAll(seed_new).unionByName(seed_new.exceptAll(seed_old))
+        if sources.isEmpty() and entries.isEmpty() and not spring:
+            return self._class_ranks(m, a), {"pushes": 0, "pushed": 0}
         nodes = checkpointed(union_all([sources.select(F.col("src").alias("node")), was.select(F.col("dst").alias("node")), now.select(F.col("dst").alias("node")), entries]).distinct())
         b = self._buckets(nodes.select(owner("node").alias("o")), m)
         ends = self._get(m, ["calls"], b)["calls"].select(F.col("src").alias("node")).unionByName(self._get(m, ["calls_in"], b)["calls_in"].select(F.col("dst").alias("node"))).distinct()
@@ -223,11 +237,13 @@ class GraphFiles:
         after = checkpointed(push.merged(before, state, weights))
         both = [df.agg(F.coalesce(F.sum("mass"), F.lit(0.0)), F.count(F.lit(1))).first() for df in (before, after)]
         m = self._put(m, {"ranks": after}, {"ranks": reached})
-        owned = sorted({*reached, *a})
+        m = self._class_ranks(m, sorted({*reached, *a}))
+        return m, {"mass": old.notes.get("mass", 0.0) + both[1][0] - both[0][0], "nodes": old.notes.get("nodes", 0) + both[1][1] - both[0][1], "pushes": pushes, "pushed": work}
+
+    def _class_ranks(self, m: Manifest, owned: list[int]) -> Manifest:
         g = self._get(m, ["class", "has_method"], owned)
         named = self._get(m, ["ranks"], owned)["ranks"].select("node", F.col("mass").alias("pagerank"))
-        m = self._put(m, {"class_pagerank": _class_mass(g, named)}, {"class_pagerank": owned})
-        return m, {"mass": old.notes.get("mass", 0.0) + both[1][0] - both[0][0], "nodes": old.notes.get("nodes", 0) + both[1][1] - both[0][1], "pushes": pushes, "pushed": work}
+        return self._put(m, {"class_pagerank": _class_mass(g, named)}, {"class_pagerank": owned})
 
 
 def _class_mass(graph: Graph, masses: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import catalog, context, impact, rank, search, traverse
+from ..operators import catalog, context, impact, index, rank, search, traverse
 from ..streaming import changes
 from . import drawers, ingest
 from .tables import BASE, CLOCK_NOW, LIST_ADD, SCHEDULED, cust, demo_graph, m, nation, order, part, region, supp, with_views
@@ -110,6 +110,12 @@ _LABELS = {"class": "Class", "method": "Method", "field": "Field", "bean": "Spri
 _COUNTS = " union all ".join(f"select '{v}' as label, count(*) as n from {{{k}}}" for k, v in _LABELS.items())
 on_graph("stats", f", n as ({_COUNTS}) select label, n from n union all select 'total', cast(sum(n) as bigint) from n")(catalog.stats)
 on_graph("find_class", "select fqn, name, kind, filePath from {class} where contains(name, 'Nation1') order by fqn limit 20")(lambda g: catalog.find_class(g, "Nation1"))
+on_graph(
+    "find_classes",
+    ", parts as (select r_regionkey as query_id, 'Supplier' || r_regionkey as needle from {region} union all select 9, 'Base' union all select 10, 'n1'),"
+    " x as (select query_id, fqn, name, kind, filePath, row_number() over (partition by query_id order by fqn) as n from parts, {class} where contains(name, needle))"
+    " select query_id, fqn, name, kind, filePath from x where n <= 20",
+)(lambda g: catalog.find_classes(g, g["class"].sparkSession.createDataFrame([*[(k, f"Supplier{k}") for k in range(5)], (9, "Base"), (10, "n1")], "query_id long, needle string")))
 on_graph(
     "entry_points",
     f"select src as fqn, 'ENDPOINT' as type, 'GET ' || substring(dst, 5) as detail from {{handles}} union select src, 'SCHEDULED', 'Scheduled' from {{annotated_with}} where dst = '{SCHEDULED}' union select fqn, 'MAIN', 'main' from {{method}} where name = 'main' and external is null",
@@ -217,6 +223,14 @@ def _fts(spark, sf_dir):
     return search.fts_search(search.postings(d, {"name": 10.0, "body": 1.0}), q, 20)
 
 
+@register("fts_index_search", _FTS + " select query_id, type, key, score, rank from r where rank < 20", views=False)
+def _fts_index(spark, sf_dir):
+    """The same answers from posting blocks, which are written first as an import does."""
+    d, q = _corpus(spark, sf_dir)
+    forward = rank.checkpointed(search.postings(d, {"name": 10.0, "body": 1.0}))
+    return index.search(rank.checkpointed(index.blocks(forward)), index.sizes(forward), forward, q, 20)[0]
+
+
 _KNN = """with q as (select vec_id as query_id, embedding as v from embeddings where vec_id % 20 = 0),
  x as (select query_id, vec_id as id, 1 - list_dot_product(cast(v as double[]), cast(embedding as double[])) / (sqrt(list_dot_product(cast(v as double[]), cast(v as double[]))) * sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])))) as d from q, embeddings),
  r as (select *, row_number() over (partition by query_id order by d, id) - 1 as rank from x)"""
