@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalog, context, impact, rank, search, traverse
+from .operators import catalog, context, impact, index, many, search, traverse
 from .plans import delta as deltas
 from .plans import drawers
 from .plans.incremental import GraphFiles
@@ -92,7 +92,7 @@ class Engine:
 
     def search(self, graph: str, text: str, limit: int = 20) -> DataFrame:
         g = self.graph(graph)
-        return search.fts_search(g["postings"], self._one(text), limit)
+        return index.search(g["blocks"], g["sizes"], g["postings"], self._one(text), limit)[0]
 
     def trace(self, graph: str, target: str, depth: int = 5, include_external: bool = False) -> DataFrame:
         """Of a method, or of an endpoint given as ``/path`` or ``VERB:/path``."""
@@ -112,6 +112,10 @@ class Engine:
     def callers(self, graph: str, fqn: str, depth: int = 2) -> DataFrame:
         return traverse.callers(self.graph(graph), fqn, depth)
 
+    def impact_many(self, graph: str, fqns: DataFrame, depth: int = 5, **how) -> DataFrame:
+        """Impact of all methods of a table (column fqn) at once."""
+        return many.impact_many(self.graph(graph), fqns, depth, **how)
+
     def callees(self, graph: str, fqn: str, depth: int = 2) -> DataFrame:
         return traverse.callees(self.graph(graph), fqn, depth)
 

@@ -14,7 +14,7 @@ from ..functions import ids
 from ..plans.ingest import union_all
 from ..sources.store import Graph
 from .rank import checkpointed
-from .traverse import classes_with_field, closure, compatible_types, links, seeds, sent, walk
+from .traverse import SENT, classes_with_field, compatible_types, links, overridden, seeds, sent, walk
 
 
 def _hits(graph: Graph, found: DataFrame) -> DataFrame:
@@ -34,16 +34,19 @@ def impact(graph: Graph, fqn: str, depth: int = 5, *, polymorphic: bool = True,
     """(endpoint, handler, file, line, hops, precision), one row an endpoint; precise ones first when sorted by precision, hops, endpoint."""
     if precision not in ("hop", "path"):
         raise ValueError("precision is hop or path")
-    over, back = links(graph["overrides"]), links(graph["calls"], False)
+    back = links(graph["calls"], False)
+    # what each method overrides, over any number of steps: kept by an import, else found once
+    over = (graph["overridden"] if "overridden" in graph else checkpointed(overridden(graph))) if polymorphic else None
     frontier = checkpointed(seeds(graph, fqn).withColumn("poly", F.lit(False)))
     visited, found = frontier.select("node"), []
     for hop in range(1, min(max(depth, 1), 8) + 1):
         reached, over_any = frontier, False
         if polymorphic:  # what the frontier overrides, found once a hop
-            up = checkpointed(closure(frontier, over, 5).join(frontier.select("node"), "node", "left_anti").select("node", F.lit(True).alias("poly")))
+            near = F.broadcast(frontier) if frontier.count() <= SENT else frontier
+            up = checkpointed(over.join(near.select("node"), "node").select(F.col("to").alias("node")).distinct().join(near.select("node"), "node", "left_anti").withColumn("poly", F.lit(True)))
             over_any = not up.isEmpty()
-            reached = frontier.unionByName(up) if over_any else frontier
-        calls = back.join(sent(checkpointed(reached)), "node").select(F.col("to").alias("node"), "poly")
+            reached = checkpointed(frontier.unionByName(up)) if over_any else frontier
+        calls = back.join(sent(reached), "node").select(F.col("to").alias("node"), "poly")
         # a caller is tainted on a path only if every way to it is
         new = checkpointed(calls.groupBy("node").agg(F.min("poly").alias("poly")).join(visited, "node", "left_anti"))
         if new.isEmpty():

@@ -131,6 +131,13 @@ def override_closure(graph: Graph, start: DataFrame, depth: int = 5) -> DataFram
     return closure(start, links(graph["overrides"]), depth)
 
 
+def overridden(graph: Graph, depth: int = 5) -> DataFrame:
+    """(node, to): each method and all that it overrides in up to ``depth`` steps; a small table, kept by an import."""
+    own = graph["overrides"].select(F.col("src").alias("node")).distinct()
+    up = closure(own.select("node", F.col("node").alias("origin")), links(graph["overrides"]), depth, ("origin",))
+    return up.select(F.col("origin").alias("node"), F.col("node").alias("to")).where("node <> to")
+
+
 def supertypes(graph: Graph) -> DataFrame:
     return links(graph["extends"].unionByName(graph["implements"]))
 

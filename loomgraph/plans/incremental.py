@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import push, rank, search
+from ..operators import index, push, rank, search, traverse
 from ..operators.rank import checkpointed
 from ..schemas import EDGES, NODES
 from ..sources.buckets import BucketStore, Manifest, bucket_of
@@ -37,7 +37,7 @@ from .ingest import conform, edge_load, external_stubs, module_tables, spring_ta
 OWNERS = {
     "class": "fqn", "method": "fqn", "field": "fqn", "annotation": "fqn", "calls": "src", "has_method": "dst", "has_field": "dst", "extends": "src", "implements": "src",
     "overrides": "src", "annotated_with": "src", "handles": "src", "bean": "name", "endpoint": "id", "injects": "src", "module": "name", "module_depends": "src",
-    "calls_in": "dst", "refs": "target", "drawers": "fqn", "postings": "key", "ranks": "node", "class_pagerank": "fqn", "fact.handles": "src",
+    "calls_in": "dst", "refs": "target", "overridden": "node", "drawers": "fqn", "postings": "key", "ranks": "node", "class_pagerank": "fqn", "fact.handles": "src",
 } | {f"fact.{name}": key for name, key in FACTS.items()}
 SECTIONS = {"spring": ("bean", "endpoint", "injects", "fact.handles"), "modules": ("module", "module_depends")}
 #: Graph tables that follow from facts and refs of the same buckets.
@@ -104,7 +104,7 @@ class GraphFiles:
         self.store, self.graph = store, graph
 
     def _put(self, m: Manifest, tables: dict[str, DataFrame], only: dict[str, Iterable[int]] | None = None) -> Manifest:
-        return self.store.stage(self.graph, m, {t: (df, owner(OWNERS[t])) for t, df in tables.items()}, only)
+        return self.store.stage(self.graph, m, {t: (df, owner(OWNERS[t]) if t in OWNERS else None) for t, df in tables.items()}, only)
 
     def _get(self, m: Manifest, tables: Iterable[str], buckets: Iterable[int] | None = None) -> Graph:
         return Graph({t.removeprefix("fact."): self.store._read(self.graph, m, t, buckets) for t in tables if t in m.schemas})
@@ -138,7 +138,15 @@ class GraphFiles:
         ranks = checkpointed(ranks.withColumn("residual", F.lit(0.0)))
         named = ranks.select("node", F.col("mass").alias("pagerank"))
         derived = {"calls_in": g["calls"], "drawers": drawer_plans.drawers(g, self.graph), "postings": search.graph_postings(g), "ranks": ranks, "class_pagerank": _class_mass(g, named)}
-        return self.store.commit(self.graph, self._put(m, derived), mass=total, nodes=n, **notes)
+        m = self._indexed(self._put(m, derived), None)
+        return self.store.commit(self.graph, self._put(m, {"overridden": traverse.overridden(g)}), mass=total, nodes=n, **notes)
+
+    def _indexed(self, m: Manifest, buckets: list[int] | None) -> Manifest:
+        """Posting blocks and document numbers of the postings of some buckets, or of all."""
+        p = self._get(m, ["postings"], buckets)["postings"]
+        own = bucket_of(owner("key"), m.buckets)
+        only = {} if buckets is None else {"blocks": buckets, "sizes": buckets}
+        return self._put(m, {"blocks": index.blocks(p, own), "sizes": index.sizes(p, own)}, only)
 
     # --- delta -----------------------------------------------------------------
     def import_delta(self, change: Change, **notes) -> int:
@@ -172,20 +180,33 @@ class GraphFiles:
         lost, won = checkpointed(calls(old).exceptAll(calls(m))), checkpointed(calls(m).exceptAll(calls(old)))
         into = self._buckets(lost.unionByName(won).select(owner("dst").alias("o")), old)
         m = self._put(m, {"calls_in": self._get(old, ["calls_in"], into)["calls_in"].exceptAll(lost).unionByName(won)}, {"calls_in": into})
-        # three that do not need one another
+        # tables that do not need one another
         parts = {
             "drawers": lambda: (self._drawers(old, m, owners, came.unionByName(went), a0, spring), {}),
-            "postings": lambda: (self._put(m, {"postings": search.graph_postings(self._get(m, ["class", "method"], a) | {"endpoint": ends})}, {} if spring else {"postings": a}), {}),
+            "postings": lambda: (self._postings(m, None if spring else a, ends), {}),
+            "overridden": lambda: (self._overridden(old, m, a), {}),
             "ranks": lambda: self._ranks(old, m, a, spring),
         }
+        results = [["drawers"], ["postings", "blocks", "sizes"], ["overridden"], ["ranks", "class_pagerank"]]
         with ThreadPoolExecutor(len(parts)) as pool:
             made_by = list(pool.map(inheritable_thread_target(self.store.spark)(lambda f: f()), parts.values()))
         done, more = replace(m, folders=dict(m.folders)), {}
-        for (x, said), tables in zip(made_by, (["drawers"], ["postings"], ["ranks", "class_pagerank"])):
+        for (x, said), tables in zip(made_by, results):
             done.folders |= {t: x.folders[t] for t in tables}
             more |= said
         return self.store.commit(self.graph, done, **more, **notes)
 
+    def _postings(self, m: Manifest, buckets: list[int] | None, ends: DataFrame) -> Manifest:
+        g = self._get(m, ["class", "method"], buckets) | {"endpoint": ends}
+        return self._indexed(self._put(m, {"postings": search.graph_postings(g)}, {} if buckets is None else {"postings": buckets}), buckets)
+
+    def _overridden(self, old: Manifest, m: Manifest, a: list[int]) -> Manifest:
+        """A small table, made anew only if an override came or went."""
+        was, now = (self._get(k, ["overrides"], a)["overrides"] for k in (old, m))
+        if was.exceptAll(now).isEmpty() and now.exceptAll(was).isEmpty():
+            return m
+        return self._put(m, {"overridden": traverse.overridden(self._get(m, ["overrides"]))})
+
     def _drawers(self, old: Manifest, m: Manifest, owners: DataFrame, named: DataFrame, a0: list[int], spring: bool) -> Manifest:
         if spring:
             return self._put(m, {"drawers": drawer_plans.drawers(self._get(m, [*NODES, *EDGES]), self.graph)})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import catalog, context, impact, index, rank, search, traverse
+from ..operators import catalog, context, impact, index, many, rank, search, traverse
 from ..streaming import changes
 from . import drawers, ingest
 from .tables import BASE, CLOCK_NOW, LIST_ADD, SCHEDULED, cust, demo_graph, m, nation, order, part, region, supp, with_views
@@ -74,6 +74,19 @@ def _at(expr: str) -> str:
 R0, C1, S1, N0, O1 = m(region, 0), m(cust, 1), m(supp, 1), m(nation, 0), m(order, 1)
 
 on_graph("callers", _walk("back", _at(R0), 3) + "select w.node as caller, classFqn as className, filePath as file, depth from w join {method} on fqn = node")(lambda g: traverse.callers(g, _say(R0), 3))
+on_graph(
+    "callers_many",
+    ", back(node, nxt) as (select distinct dst, src from {calls}), w1 as (select distinct b.node as target, b.nxt as node from {method} join back b on b.node = fqn where fqn like 'com.shop.supply.%'),"
+    " w2 as (select distinct target, b.nxt as node from w1 join back b using (node)),"
+    " w as (select *, 1 as depth from w1 union all select *, 2 from w2)"
+    " select target, w.node as caller, classFqn as className, filePath as file, depth from w join {method} on fqn = node",
+)(lambda g: many.callers_many(g, g["method"].where(F.col("fqn").startswith("com.shop.supply.")), 2))
+on_graph(
+    "blast_radius_many",
+    ", back(node, nxt) as (select distinct dst, src from {calls}), w1 as (select distinct filePath as target, nxt as node from {method} join back on node = fqn where filePath like 'src/geo/%'),"
+    " w2 as (select distinct target, b.nxt as node from w1 join back b using (node)), w as (select * from w1 union select * from w2)"
+    " select target, w.node as caller, classFqn as className, filePath as file from w join {method} on fqn = node",
+)(lambda g: many.blast_radius_many(g, g["method"].where("filePath like 'src/geo/%'").select("filePath")))
 on_graph("callees", _walk("fwd", _at(C1), 3) + "select w.node as callee, classFqn as className, filePath as file, depth from w join {method} on fqn = node")(lambda g: traverse.callees(g, _say(C1), 3))
 on_graph("blast_radius", _walk("back", "select fqn as node from {method} where filePath = 'src/supply/Supplier1.java'", 2) + "select distinct w.node as caller, classFqn as className, filePath as file from w join {method} on fqn = node")(lambda g: traverse.blast_radius(g, "src/supply/Supplier1.java"))
 on_graph("trace_method", _walk("fwd", _at(C1), 5) + "select fqn, classFqn as className, filePath as file, lineStart as line, external, depth from w join {method} on fqn = node")(lambda g: traverse.trace_method(g, _say(C1), 5))

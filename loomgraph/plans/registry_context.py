@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_error, name_error, sanitize
 from ..functions.vector import hashing_embedder
-from ..operators import catalog, context, impact, rank, search, traverse
+from ..operators import many, catalog, context, impact, rank, search, traverse
 from ..sources import export
 from ..sources.store import Graph
 from . import delta as deltas
@@ -45,6 +45,28 @@ def _impact_sql(path: bool, depth: int = 5) -> str:
 on_graph("impact", _impact_sql(False) + " select * from kept")(lambda g: impact.impact(g, _overriding(g)))
 on_graph("impact_path", _impact_sql(True) + " select * from kept")(lambda g: impact.impact(g, _overriding(g), precision="path"))
 on_graph("impact_precise", _impact_sql(False) + " select * from kept where precision = 'precise'")(lambda g: impact.impact(g, _overriding(g)).where("precision = 'precise'"))
+
+
+def _impact_many_sql(depth: int = 5) -> str:
+    """Of every method named supply: unrolled hops with the target beside each node."""
+    out = ", f0 as (select fqn as target, fqn as node from {method} where name = 'supply' and fqn in (select src from {overrides})), v0 as (select * from f0)"
+    for k in range(1, depth + 1):
+        p = k - 1
+        out += f", c{k} as (select target, dst as node from f{p} join {{overrides}} on src = node union select target, dst from c{k} join {{overrides}} on src = node)"
+        out += f", u{k} as (select c.target, c.node from c{k} c anti join f{p} f on f.target = c.target and f.node = c.node)"
+        out += f", g{k} as (select distinct r.target, c.src as node from {{calls}} c join (select * from f{p} union select * from u{k}) r on c.dst = r.node)"
+        out += f", f{k} as (select g.target, g.node from g{k} g anti join v{p} v on v.target = g.target and v.node = g.node), v{k} as (select * from v{p} union select * from f{k})"
+    found = " union all ".join(f"select target, node, target in (select target from u{k}) as poly, {k} as hops from f{k}" for k in range(1, depth + 1))
+    out += f", w as ({found}), hit as (select w.target, 'GET ' || substring(h.dst, 5) as endpoint, w.node as handler, m.filePath as file, m.lineStart as line, cast(w.hops as int) as hops,"
+    out += " case when w.poly then 'polymorphic' else 'precise' end as precision, row_number() over (partition by w.target, h.dst order by w.hops, w.node) as pick from w join {handles} h on h.src = w.node join {method} m on m.fqn = w.node)"
+    return out + " select target, endpoint, handler, file, line, hops, precision from hit where pick = 1"
+
+
+def _supplying(g):
+    return g["overrides"].select(F.col("src").alias("fqn")).distinct()
+
+
+on_graph("impact_many", _impact_many_sql())(lambda g: many.impact_many(g, _supplying(g), field_filter=False))
 on_graph("impact_totals", _impact_sql(False) + " select precision, count(*) as endpoints from kept group by 1 union all select 'total', count(*) from kept")(lambda g: impact.impact_totals(impact.impact(g, _overriding(g))))
 
 _SHORT = "list_extract(string_split(split_part({0}, '#', 1), '.'), -1)"

@@ -109,17 +109,17 @@ class BucketStore:
         return Graph({t: self._read(graph, m, t, buckets) for t in tables if t in m.schemas})
 
     # --- writing ------------------------------------------------------------
-    def stage(self, graph: str, m: Manifest, rows: dict[str, tuple[DataFrame, Column]], only: dict[str, Iterable[int]] | None = None) -> Manifest:
+    def stage(self, graph: str, m: Manifest, rows: dict[str, tuple[DataFrame, Column | None]], only: dict[str, Iterable[int]] | None = None) -> Manifest:
         """The manifest of the next version with ``rows`` (table, owner) written to new folders.
 
-        Buckets of a table in ``only`` are replaced and all others kept; a table that is not in it is replaced whole. Not committed by this.
+        A table without an owner has its buckets' numbers in ``bucket``. Buckets of a table in ``only`` are replaced and all others kept; a table that is not in it is replaced whole. Not committed by this.
         """
         token = f"{m.version + 1}-{uuid.uuid4().hex[:12]}"
         new = Manifest(m.version, m.buckets or self.default, {t: dict(f) for t, f in m.folders.items()}, dict(m.schemas), dict(m.notes))
 
         def put(table: str) -> None:
             df, owner = rows[table]
-            dealt = df.withColumn("_bucket", bucket_of(owner, new.buckets))
+            dealt = df.withColumn("_bucket", bucket_of(owner, new.buckets) if owner is not None else F.col("bucket"))
             if only is not None and table in only:
                 dealt = dealt.where(F.col("_bucket").isin(*only[table]) if only[table] else F.lit(False))
             out = dealt.withColumn("_version", F.lit(token)).hint("rebalance", "_bucket")
