@@ -30,8 +30,9 @@ from ..sources.buckets import BucketStore, Manifest, bucket_of
 from ..sources.export import facts
 from ..sources.store import Graph
 from . import drawers as drawer_plans
+from . import spring
 from .delta import FACTS, Change, apply_change
-from .ingest import conform, edge_load, external_stubs, module_tables, spring_tables, union_all
+from .ingest import capped, conform, edge_load, external_stubs, module_tables, spring_tables, union_all
 
 #: table -> column whose class is the owner
 OWNERS = {
@@ -59,6 +60,7 @@ def named_in(f: Graph) -> DataFrame:
 def linked(f: Graph, refs: DataFrame, endpoints: DataFrame) -> Graph:
     """Nodes and edges of some buckets (or of all) from their facts, the refs into them, and all endpoints."""
     classes, methods, fields = (f[t].dropDuplicates(["fqn"]) for t in ("classes", "methods", "fields"))
+    methods = capped(methods)
     to = lambda kind: refs.where(F.col("kind") == kind).select("target").distinct()
     called, none = to("method").toDF("calleeFqn"), to("method").toDF("overridesFqn").where("false")
     class_stubs, method_stubs = external_stubs(classes, methods, called, to("class").toDF("parentFqn"), none)
@@ -86,10 +88,10 @@ def linked(f: Graph, refs: DataFrame, endpoints: DataFrame) -> Graph:
     return Graph({n: conform(df, NODES[n][1] if n in NODES else EDGES[n]) for n, df in g.items()})
 
 
-def _sections(spring: DataFrame | None, modules: DataFrame | None) -> Graph:
+def _sections(section: Graph | None, modules: DataFrame | None) -> Graph:
     out = Graph()
-    if spring is not None:
-        s = spring_tables(spring)
+    if section is not None:
+        s = section
         out |= {n: conform(s[n], NODES[n][1] if n in NODES else EDGES[n]) for n in ("bean", "endpoint", "injects")} | {"fact.handles": s["handles"]}
     if modules is not None:
         s = module_tables(modules)
@@ -125,10 +127,12 @@ class GraphFiles:
         return g
 
     # --- full import ----------------------------------------------------------
-    def import_full(self, doc: DataFrame, **notes) -> int:
+    def import_full(self, doc: DataFrame, *, derive_spring: bool = False, **notes) -> int:
+        """``derive_spring``: beans, endpoints and injections come from the facts, here and in later deltas, and not from the export."""
         m = self.store.manifest(self.graph)
-        rows = {f"fact.{t}": facts(doc, t) for t in FACTS} | _sections(doc.select("spring"), doc.select("modules"))
-        m = self._put(m, rows)
+        m = self._put(m, {f"fact.{t}": facts(doc, t) for t in FACTS})
+        section = spring.tables(self._get(m, [f"fact.{t}" for t in FACTS])) if derive_spring else spring_tables(doc.select("spring"))
+        m = self._put(m, _sections(section, doc.select("modules")))
         f = self._get(m, self._FACTS)
         m = self._put(m, {"refs": named_in(f)})
         refs, ends = self._get(m, ["refs"])["refs"], self._get(m, ["endpoint"])["endpoint"]
@@ -139,7 +143,7 @@ class GraphFiles:
         named = ranks.select("node", F.col("mass").alias("pagerank"))
         derived = {"calls_in": g["calls"], "drawers": drawer_plans.drawers(g, self.graph), "postings": search.graph_postings(g), "ranks": ranks, "class_pagerank": _class_mass(g, named)}
         m = self._indexed(self._put(m, derived), None)
-        return self.store.commit(self.graph, self._put(m, {"overridden": traverse.overridden(g)}), mass=total, nodes=n, **notes)
+        return self.store.commit(self.graph, self._put(m, {"overridden": traverse.overridden(g)}), mass=total, nodes=n, derive_spring=derive_spring, **notes)
 
     def _indexed(self, m: Manifest, buckets: list[int] | None) -> Manifest:
         """Posting blocks and document numbers of the postings of some buckets, or of all."""
@@ -160,6 +164,9 @@ class GraphFiles:
         before = self._get(old, tables, a0)
         after = apply_change(before, change)
         m = self._put(old, {f"fact.{t}": after[t] for t in FACTS}, {t: a0 for t in tables})
+        section = spring_tables(change.sections["spring"]) if "spring" in change.sections else None
+        if old.notes.get("derive_spring"):
+            section = spring.tables(self._get(m, tables))
         after = self._get(m, tables, a0)
         # what the changed classes name now and named before
         own = lambda f: named_in(f).join(owners, "owner", "left_semi").select("target", "kind", "owner")
@@ -167,13 +174,13 @@ class GraphFiles:
         moved = came.exceptAll(went).unionByName(went.exceptAll(came))
         a = sorted({*a0, *self._buckets(moved.select(owner("target").alias("o")), old)})
         kept = self._get(old, ["refs"], a)["refs"].join(owners, "owner", "left_anti").select("target", "kind", "owner")
-        m = self._put(m, {"refs": kept.unionByName(came)} | _sections(change.sections.get("spring"), change.sections.get("modules")), {"refs": a})
-        spring = "spring" in change.sections
+        m = self._put(m, {"refs": kept.unionByName(came)} | _sections(section, change.sections.get("modules")), {"refs": a})
+        ends_anew = section is not None
         ends = self._get(m, ["endpoint"])["endpoint"]
         made = linked(self._get(m, self._FACTS, a), self._get(m, ["refs"], a)["refs"], ends)
         only: dict[str, Iterable[int]] = {t: a for t in LINKED}
-        m = self._put(m, {t: df for t, df in made.items() if t != "handles" or not spring}, only)
-        if spring:  # beans and endpoints are replaced whole
+        m = self._put(m, {t: df for t, df in made.items() if t != "handles" or not ends_anew}, only)
+        if ends_anew:  # beans and endpoints are replaced whole
             m = self._put(m, {"handles": edge_load(self._get(m, ["fact.handles"])["handles"], self._get(m, ["method"])["method"].select("fqn"), ends.select("id"))})
         # calls, by the called class
         calls = lambda k: self._get(k, ["calls"], a)["calls"]
@@ -182,10 +189,10 @@ class GraphFiles:
         m = self._put(m, {"calls_in": self._get(old, ["calls_in"], into)["calls_in"].exceptAll(lost).unionByName(won)}, {"calls_in": into})
         # tables that do not need one another
         parts = {
-            "drawers": lambda: (self._drawers(old, m, owners, came.unionByName(went), a0, spring), {}),
-            "postings": lambda: (self._postings(m, None if spring else a, ends), {}),
+            "drawers": lambda: (self._drawers(old, m, owners, came.unionByName(went), a0, ends_anew), {}),
+            "postings": lambda: (self._postings(m, None if ends_anew else a, ends), {}),
             "overridden": lambda: (self._overridden(old, m, a), {}),
-            "ranks": lambda: self._ranks(old, m, a, spring),
+            "ranks": lambda: self._ranks(old, m, a, ends_anew),
         }
         results = [["drawers"], ["postings", "blocks", "sizes"], ["overridden"], ["ranks", "class_pagerank"]]
         with ThreadPoolExecutor(len(parts)) as pool:
@@ -207,8 +214,8 @@ class GraphFiles:
             return m
         return self._put(m, {"overridden": traverse.overridden(self._get(m, ["overrides"]))})
 
-    def _drawers(self, old: Manifest, m: Manifest, owners: DataFrame, named: DataFrame, a0: list[int], spring: bool) -> Manifest:
-        if spring:
+    def _drawers(self, old: Manifest, m: Manifest, owners: DataFrame, named: DataFrame, a0: list[int], ends_anew: bool) -> Manifest:
+        if ends_anew:
             return self._put(m, {"drawers": drawer_plans.drawers(self._get(m, [*NODES, *EDGES]), self.graph)})
         users = [self._get(k, ["refs"], a0)["refs"].select(owner("target").alias("o"), "owner").join(owners.withColumnRenamed("owner", "o"), "o", "left_semi").select("owner") for k in (old, m)]
         near = union_all([owners, *users, named.select(owner("target").alias("owner"))]).distinct()
@@ -225,9 +232,9 @@ class GraphFiles:
         renewed = drawer_plans.renew(self._get(m, ["drawers"], b)["drawers"], Graph(g), self.graph, near)
         return self._put(m, {"drawers": renewed}, {"drawers": b})
 
-    def _ranks(self, old: Manifest, m: Manifest, a: list[int], spring: bool) -> tuple[Manifest, dict]:
+    def _ranks(self, old: Manifest, m: Manifest, a: list[int], ends_anew: bool) -> tuple[Manifest, dict]:
         """Ranks by pushing what changed; with new endpoints, which may be anywhere, over all tables."""
-        part = None if spring else a
+        part = None if ends_anew else a
         seeds = lambda k: rank.entry_seeds(self._get(k, ["annotated_with", "handles"], part))
         edges = lambda k, b: self._get(k, ["calls"], b)["calls"].select("src", "dst").distinct()
         was, now = checkpointed(edges(old, a)), checkpointed(edges(m, a))
@@ -235,7 +242,7 @@ class GraphFiles:
         was, now = was.join(sources, "src", "left_semi"), now.join(sources, "src", "left_semi")
         seed_old, seed_new = checkpointed(seeds(old)), checkpointed(seeds(m))
         entries = seed_old.exceptAll(seed_new).unionByName(seed_new.exceptAll(seed_old))
-        if sources.isEmpty() and entries.isEmpty() and not spring:
+        if sources.isEmpty() and entries.isEmpty() and not ends_anew:
             return self._class_ranks(m, a), {"pushes": 0, "pushed": 0}
         nodes = checkpointed(union_all([sources.select(F.col("src").alias("node")), was.select(F.col("dst").alias("node")), now.select(F.col("dst").alias("node")), entries]).distinct())
         b = self._buckets(nodes.select(owner("node").alias("o")), m)

@@ -55,9 +55,11 @@ def annotation_dim(annotations: DataFrame, *more: DataFrame) -> DataFrame:
 
 
 def spring_tables(doc: DataFrame) -> Graph:
-    beans = facts(doc, "spring.beans")
-    ends = facts(doc, "spring.endpoints").withColumn("id", ids.endpoint_id(F.col("httpMethod"), F.col("path")))
-    inj = facts(doc, "spring.injections")
+    return spring_rows(facts(doc, "spring.beans"), facts(doc, "spring.endpoints"), facts(doc, "spring.injections"))
+
+
+def spring_rows(beans: DataFrame, ends: DataFrame, inj: DataFrame) -> Graph:
+    ends = ends.withColumn("id", ids.endpoint_id(F.col("httpMethod"), F.col("path")))
     g = Graph()
     g["bean"] = conform(beans.dropDuplicates(["name"]), NODES["bean"][1])
     g["endpoint"] = conform(ends.groupBy("id").agg(F.min(F.struct("path", "httpMethod", "controllerFqn", "handlerMethodFqn")).alias("e")).select("id", "e.*"), NODES["endpoint"][1])
@@ -74,9 +76,17 @@ def module_tables(doc: DataFrame) -> Graph:
     return Graph(module=conform(modules.dropDuplicates(["name"]), NODES["module"][1]), module_depends=deps.distinct())
 
 
+#: Longer bodies are left out, longer javadoc is cut.
+MOST_BODY, MOST_JAVADOC = 20_000, 2_000
+
+
+def capped(methods: DataFrame) -> DataFrame:
+    return methods.withColumns({"body": F.when(F.length("body") <= MOST_BODY, F.col("body")), "javadoc": F.substring("javadoc", 1, MOST_JAVADOC)})
+
+
 def build(classes, methods, fields, calls, inheritance, overrides, annotations, spring: Graph, modules: Graph) -> Graph:
     """Graph tables from the fact tables of an export (or from those after a delta)."""
-    classes, methods, fields = classes.dropDuplicates(["fqn"]), methods.dropDuplicates(["fqn"]), fields.dropDuplicates(["fqn"])
+    classes, methods, fields = classes.dropDuplicates(["fqn"]), capped(methods.dropDuplicates(["fqn"])), fields.dropDuplicates(["fqn"])
     class_stubs, method_stubs = external_stubs(classes, methods, calls, inheritance, overrides)
     g = Graph(spring | modules)
     g["class"] = conform(classes, NODES["class"][1]).unionByName(class_stubs)
@@ -101,13 +111,3 @@ def build(classes, methods, fields, calls, inheritance, overrides, annotations,
 def ingest_full(doc: DataFrame) -> Graph:
     f = lambda c: facts(doc, c)
     return build(f("classes"), f("methods"), f("fields"), f("callGraph"), f("inheritance"), f("methodOverrides"), f("annotations"), spring_tables(doc), module_tables(doc))
-
-
-def derive_injections(fields: DataFrame, methods: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Injections from facts: annotated fields, and parameters of a class's only constructor."""
-    auto = annotations.where("targetKind = 'FIELD'").where(F.substring_index("annotationFqn", ".", -1).isin("Autowired", "Inject", "Resource")).select(F.col("targetFqn").alias("fqn")).distinct()
-    by_field = fields.join(auto, "fqn", "left_semi").select(F.col("classFqn").alias("targetClassFqn"), F.col("name").alias("targetFieldOrParam"), F.col("type").alias("injectedClassFqn"), F.lit("FIELD").alias("injectionType"))
-    ctors = methods.where("isConstructor").select("classFqn", "parameters")
-    only = ctors.groupBy("classFqn").agg(F.count(F.lit(1)).alias("n"), F.first("parameters").alias("parameters")).where("n = 1")
-    by_ctor = only.select("classFqn", F.explode("parameters").alias("p")).select(F.col("classFqn").alias("targetClassFqn"), F.col("p.name").alias("targetFieldOrParam"), F.col("p.type").alias("injectedClassFqn"), F.lit("CONSTRUCTOR").alias("injectionType"))
-    return by_field.unionByName(by_ctor)
