@@ -113,18 +113,23 @@ def ordered_partitions(df: DataFrame, *order: str) -> DataFrame:
     return materialize(dealt, "ordered")
 
 
-def global_row_numbers(df: DataFrame, *order: str) -> DataFrame:
-    """Dense ``row_no`` from 0 in the order of ``order`` without a single-task sort.
+def numbered_rows(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """``df`` with a dense ``row_no`` from 0 in the order of ``order``, without a single-task sort, and the number of rows.
 
-    Counts per range partition (one row each) give every partition its first number.
+    Counts per range partition (one row each) give every partition its first number. Columns of the caller wait in one
+    struct, so any name may occur; one named ``row_no`` is replaced.
     """
     from pyspark.sql import Window
 
-    cut = ordered_partitions(df, *order)
-    counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    keys = [f"o{k}" for k in range(len(order))]
+    held = df.select(F.struct(*df.columns).alias("_row"), *[F.col(c).alias(k) for c, k in zip(order, keys)])
+    cut = ordered_partitions(held, *keys)
+    counts = materialize(cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), "counts")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_part").orderBy(*order)
+    inside = Window.partitionBy("_part").orderBy(*keys)
     numbered = cut.withColumn("_i", F.row_number().over(inside))
     # one row per partition: as small as the number of shuffle partitions
-    return numbered.join(F.broadcast(starts), "_part").select("*", (F.col("_start") + F.col("_i") - 1).alias("row_no")).drop("_part", "_i", "_start")
+    placed = numbered.join(F.broadcast(starts), "_part")
+    kept = [F.col("_row")[c].alias(c) for c in df.columns if c != "row_no"]
+    return placed.select(*kept, (F.col("_start") + F.col("_i") - 1).alias("row_no")), counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]

@@ -8,7 +8,7 @@ softmax has one class more, for text in no language that was learned: its rows a
 sampled texts read backwards or with their letters exchanged. A temperature fitted on
 rows the training did not see makes the scores probabilities, and the scores of those
 rows give the threshold below which a text is rejected: the share ``false_reject`` of
-them lies below it.
+them lies below it, one of them at least.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and
 rejected. With no labelled row at all every text is ``und``. Equal texts have
@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_steps, least_picks
+from .common import byte_steps
 
 BUCKET_BITS = 13
 SIZES = (3, 4)
@@ -121,15 +121,64 @@ def bucket_counts(text: Column) -> Column:
 _LETTERS, _EXCHANGED = "aeiounrstlmdcphgbvfyzqwjkxAEIOUNRSTLM", "qzxjkwvbhgpfyaceimnoudrltsQZXJKWVBHGP"
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", sample_rows: int = 1200, calibration_rows: int = 1200, dim: int = 16, epochs: int = 12, false_reject: float = 0.001, seed: int = 7) -> LanguageModel:
-    """Fit on at most ``sample_rows`` rows and calibrate on at most ``calibration_rows`` others, the ones with the least content hashes.
+def _shares(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many of ``rows`` rows each label gets: all of a rare one's, equal numbers of the others."""
+    out: dict[str, int] = {}
+    for k, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[label] = min(n, (rows - sum(out.values())) // (len(counts) - k))
+    return out
+
 
-    These and the number of buckets bound what the driver gets, whatever the size of the table; every label of the
-    sample is learned. ``false_reject`` is the share of calibration rows that the threshold may lose.
+def _sample(labelled: DataFrame, text: str, label: str, rows: int, most_labels: int) -> DataFrame:
+    """(label, text, pick): of each label the rows with the least content hashes, copies once; the labels' counts come from one aggregation."""
+    known = labelled.select(F.col(label).alias("label"), F.col(text).alias("text")).where("label is not null")
+    frequent = known.where(F.col("text").rlike(r"\p{L}")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).collect()
+    counts = {r.label: r.n for r in frequent}
+    shares = _shares(counts, rows)
+    # a filter on the hash passes about twice a label's share, so what meets in the last step does not grow with the table
+    top = lambda v: min(2**63 - 1, -(2**63) + int(min(1.0, 2 * shares[v] / counts[v]) * 2**64)) if shares[v] < counts[v] else 2**63 - 1
+    wanted = known.sparkSession.createDataFrame([(v, top(v), shares[v]) for v in shares], "label string, top long, share long")
+    picked = known.where(F.col("text").rlike(r"\p{L}")).withColumn("pick", F.xxhash64("text", "label")).join(F.broadcast(wanted), "label").where("pick <= top")
+    first = F.row_number().over(Window.partitionBy("label").orderBy("pick"))
+    return picked.dropDuplicates(["label", "pick"]).withColumn("_i", first).where(F.col("_i") <= F.col("share")).select("label", "text", "pick")
+
+
+class _Sparse:
+    """Gram counts of rows, each row scaled to sum one."""
+
+    def __init__(self, buckets: pa.ListArray, counts: pa.ListArray):
+        self.ends = buckets.offsets.to_numpy().astype(np.int64)
+        first = self.ends[0]
+        self.ends = self.ends - first
+        self.at = buckets.values.to_numpy()[first:]
+        self.n = counts.values.to_numpy()[first:]
+
+    def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.ends[k], self.ends[k + 1])
+        n = self.n[part].astype(np.float32)
+        return self.at[part], n / max(n.sum(), 1)
+
+    def block(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that some of the rows have, and the rows over these."""
+        parts = [self.row(k) for k in rows.tolist()]
+        used = np.unique(np.concatenate([at for at, _ in parts]))
+        x = np.zeros((len(parts), len(used)), np.float32)
+        for i, (at, n) in enumerate(parts):
+            x[i, np.searchsorted(used, at)] = n
+        return used, x
+
+
+def train(
+    labelled: DataFrame, *, text: str = "text", label: str = "lang", sample_rows: int = 1800, calibration_rows: int = 1200, most_labels: int = 1000, dim: int = 16, epochs: int = 12, false_reject: float = 0.001, seed: int = 7
+) -> LanguageModel:
+    """Fit on at most ``sample_rows`` rows and calibrate on at most ``calibration_rows`` others.
+
+    The rows are dealt by label (all of a rare one's, equal numbers of the others), within a label by least content hash, so
+    that a language of a few documents in millions is learned; in the fit, rows of rare labels come up to twenty times.
+    Only the ``most_labels`` most frequent labels are learned. These numbers and the number of buckets bound what the driver
+    gets, whatever the size of the table. ``false_reject`` is the share of calibration rows that the threshold may lose.
     """
-    known = labelled.where(F.col(label).isNotNull())
-    wanted = known.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text, label).alias("pick")).where(F.col("text").rlike(r"\p{L}"))
-    picked = least_picks(wanted, known.count(), sample_rows + calibration_rows).repartition(12)
+    picked = _sample(labelled, text, label, sample_rows + calibration_rows, most_labels).repartition(12)
     # half of the rows stand a second time for no language
     odd = F.when(F.col("pick") % 4 == 0, F.reverse("text")).otherwise(F.translate("text", _LETTERS, _EXCHANGED))
     both = F.array(F.struct("label", "text"), F.struct(F.lit(None).cast("string").alias("label"), F.when(F.col("pick") % 2 == 0, odd).alias("text")))
@@ -139,46 +188,47 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", sampl
     labels = tuple(sorted({v for v in label_of if v is not None}))
     if not labels:
         return LanguageModel((), np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0), 1.0, 0.0)
-    picks = np.unique(pick_of)
-    some = np.random.default_rng(seed).permutation(len(picks))[: len(picks) * calibration_rows // (sample_rows + calibration_rows)]
-    held = np.isin(pick_of, picks[some]) if len(picks) >= 50 else np.zeros(len(pick_of), bool)
     code = {v: k for k, v in enumerate(labels)}
     y = np.array([code.get(v, len(labels)) for v in label_of])
-    buckets, counts = (got.column(k).combine_chunks() for k in ("bucket", "n"))
-
-    def features(at: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(at), 1 << BUCKET_BITS), np.float32)
-        for i, k in enumerate(at.tolist()):
-            x[i, buckets[k].values.to_numpy()] = counts[k].values.to_numpy()
-        x /= np.maximum(x.sum(1, keepdims=True), 1)
-        return x
-
+    # of each label the same share is held back; a text read backwards goes with its text
+    held_picks = []
+    for k in range(len(labels)):
+        own = np.unique(pick_of[y == k])
+        some = np.random.default_rng(seed + k).permutation(len(own))[: len(own) * calibration_rows // (sample_rows + calibration_rows)]
+        held_picks.append(own[some])
+    picks = np.unique(pick_of)
+    held = np.isin(pick_of, np.concatenate(held_picks)) if len(picks) >= 50 else np.zeros(len(pick_of), bool)
+    x = _Sparse(*(got.column(k).combine_chunks() for k in ("bucket", "n")))
     own = np.flatnonzero(~held)
-    x, target = features(own), np.eye(len(labels) + 1, dtype=np.float32)[y[own]]
+    sizes = np.bincount(y[own], minlength=len(labels) + 1)
+    often = np.clip(-(-sizes.max() // (10 * np.maximum(sizes, 1))), 1, 20)
+    fit = np.repeat(own, often[y[own]])
+    target = np.eye(len(labels) + 1, dtype=np.float32)
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.5, (x.shape[1], dim)).astype(np.float32)
+    emb = rng.normal(0, 0.5, (1 << BUCKET_BITS, dim)).astype(np.float32)
     out = np.zeros((dim, len(labels) + 1), np.float32)
     bias = np.zeros(len(labels) + 1, np.float32)
     for epoch in range(epochs):
         rate = 8.0 * (1 - epoch / epochs)
-        order = rng.permutation(len(own))
+        order = rng.permutation(fit)
         for k in range(0, len(order), 32):
             at = order[k : k + 32]
-            hidden = x[at] @ emb
-            grad = (_softmax(hidden @ out + bias) - target[at]) / len(at)
-            used = np.flatnonzero(x[at].any(0))
-            emb[used] -= rate * 20 * (x[at][:, used].T @ (grad @ out.T))
+            used, part = x.block(at)
+            hidden = part @ emb[used]
+            grad = (_softmax(hidden @ out + bias) - target[y[at]]) / len(at)
+            emb[used] -= rate * 20 * (part.T @ (grad @ out.T))
             out -= rate * hidden.T @ grad
             bias -= rate * 0.1 * grad.sum(0)
     weights = (emb @ out).astype(np.float64)
     check = np.flatnonzero(held) if held.any() else own
-    logits = np.concatenate([features(check[k : k + 256]) @ weights + bias for k in range(0, len(check), 256)])
+    logits = np.array([n @ weights[at] for at, n in map(x.row, check.tolist())]) + bias
     truth = y[check]
     temps = np.geomspace(0.05, 20, 60)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in temps]
     temperature = float(temps[int(np.argmin(loss))])
     sure = np.sort(_softmax(logits / temperature)[truth < len(labels), :-1].max(1))
-    threshold = float(sure[int(false_reject * len(sure))]) if len(sure) else 0.0
+    # the least score alone may be that of a row with a wrong label
+    threshold = float(sure[min(len(sure) - 1, max(1, int(false_reject * len(sure))))]) if len(sure) else 0.0
     return LanguageModel(labels, weights, bias.astype(np.float64), temperature, threshold)
 
 

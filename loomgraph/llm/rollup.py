@@ -48,8 +48,8 @@ def _changes(df: DataFrame, tokenizer: str, docs: Column, tokens: Column) -> Dat
 class TokenRollup:
     """A delta table in a folder all executors share: ``<path>/batches/<id>/v<n>/`` and, once compacted, ``<path>/snapshots/v<n>/``.
 
-    A commit is written beside the earlier one of its id and counts once its success mark stands, so one that fails
-    leaves the earlier in force. One writer at a time.
+    A commit is written beside the earlier one of its id and counts once its own record ``_committed`` stands, which is
+    written last, so one that fails leaves the earlier in force. Success marks of Spark's committer play no part. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -71,15 +71,17 @@ class TokenRollup:
         covered = list(self.batches().items())
         # versions stay where they are, so a snapshot and later commits of what it covers do not disturb each other
         n = self._next("snapshots")
+        # both parts, then the record
         self._sum(covered).write.parquet(f"{self.path}/snapshots/{n}/sums")
         self.spark.createDataFrame(covered, "batch string, version int").coalesce(1).write.parquet(f"{self.path}/snapshots/{n}/covers")
+        self._record(f"snapshots/{n}")
 
     def totals(self) -> DataFrame:
         return self._sum(list(self.batches().items()))
 
     def _sum(self, batches: list[tuple[str, int]]) -> DataFrame:
         """Newest snapshot, plus versions that it does not cover, less covered ones that are not in force any more."""
-        n = self._version("snapshots", mark="covers/_SUCCESS")
+        n = self._version("snapshots")
         covered = {(r.batch, r.version) for r in self.spark.read.parquet(f"{self.path}/snapshots/v{n}/covers").collect()} if n else set()
         rows = self._read([f"snapshots/v{n}/sums"] if n else [], 1)
         rows = rows.unionByName(self._read([f"batches/{b}/v{v}" for b, v in batches if (b, v) not in covered], 1))
@@ -91,13 +93,19 @@ class TokenRollup:
         return rows.select(*GROUP, *[(F.col(c) * sign).alias(c) for c in ("n_docs", "n_tokens")])
 
     def _write(self, df: DataFrame, folder: str) -> None:
-        df.write.parquet(f"{self.path}/{folder}/{self._next(folder)}")
+        n = self._next(folder)
+        df.write.parquet(f"{self.path}/{folder}/{n}")
+        self._record(f"{folder}/{n}")
+
+    def _record(self, folder: str) -> None:
+        fs, path = self._fs(f"{folder}/_committed")
+        fs.create(path, True).close()
 
     def _next(self, folder: str) -> str:
         """A version that no attempt has used, failed ones included."""
         return f"v{max([int(x[1:]) for x in self._names(folder)], default=0) + 1}"
 
-    def _version(self, folder: str, mark: str = "_SUCCESS") -> int:
+    def _version(self, folder: str, mark: str = "_committed") -> int:
         """The newest complete version, 0 if there is none."""
         for n in sorted((int(x[1:]) for x in self._names(folder)), reverse=True):
             fs, path = self._fs(f"{folder}/v{n}/{mark}")

@@ -8,8 +8,11 @@ inside, so the permutation is exact for any row count. Position p goes to shard
 slots have no gaps, and both follow from the row number alone.
 
 Defined results: null text has size of the fixed part only and the crc32 of empty
-text; null keys are numbered first; repeated rows are numbered one after another
-and all kept.
+text; null keys are numbered first; rows with equal keys are numbered by the other
+columns of the order, repeated rows one after another, and all are kept; an empty table
+has no rows; a text of any length is read where it lies and only its size and checksum
+travel. Extra columns pass through ``shard_rows`` whatever their names, but for ``row_no``,
+``shard`` and ``slot``, which are replaced; ``shard_documents`` returns its own columns only.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_row_numbers
+from .common import numbered_rows
 
 ROUNDS = 4
 
@@ -59,10 +62,10 @@ def positions(number: Column, total: int, seed: int) -> Column:
 
 def shard_rows(df: DataFrame, shards: int, order: list[str], *, seed: int = 20) -> DataFrame:
     """Narrow ``df`` with ``row_no``, ``shard`` and ``slot``; counts of shards differ by one at most. Order by all columns that tell rows apart."""
-    numbered = global_row_numbers(df, *order)
-    total = df.count()
-    placed = numbered.withColumn("_pos", positions(F.col("row_no"), total, seed))
-    return placed.select("*", (F.col("_pos") % shards).cast("int").alias("shard"), F.expr(f"_pos div {int(shards)}").alias("slot")).drop("_pos")
+    numbered, total = numbered_rows(df, *order)
+    kept = [c for c in numbered.columns if c not in ("shard", "slot")]
+    placed = numbered.select(F.struct(*kept).alias("r"), positions(F.col("row_no"), total, seed).alias("p"))
+    return placed.select(*[F.col("r")[c].alias(c) for c in kept], (F.col("p") % shards).cast("int").alias("shard"), F.expr(f"p div {int(shards)}").alias("slot"))
 
 
 def shard_documents(df: DataFrame, shards: int = 40, *, key: str = "doc_id", text: str = "text", overhead: int = 16, seed: int = 20) -> DataFrame:

@@ -42,3 +42,24 @@ def test_names_and_labels(spark, docs):
     assert {(r.row, r.t, r.out, r.best) for r in got.collect()} == {("own",) * 4}
     none = langid.identify(df, langid.train(docs.limit(0)))
     assert {(r.lang_pred, r.lang_score, r.lang_rejected) for r in none.collect()} == {("und", 0.0, True)}
+
+
+def test_a_rare_language_is_learned(spark, docs):
+    """Ten documents of a language among ten times the others: dealt by label, all of them reach the fit."""
+    words = "talossa on kissa ja koira jotka juoksevat pihalla kun aurinko paistaa ja lapset leikkivät järven rannalla vanha mies lukee kirjaa metsässä kävelee hirvi ja linnut laulavat".split()
+    rng = random.Random(1)
+    finnish = lambda: " ".join(rng.choice(words) for _ in range(60))
+    rare = spark.createDataFrame([(-k, finnish(), "fi") for k in range(1, 11)], "doc_id long, text string, lang string")
+    many = docs
+    for _ in range(3):
+        many = many.unionByName(docs.withColumn("text", F.concat("text", F.lit(" "), F.col("doc_id").cast("string"))))
+    model = langid.train(many.unionByName(rare))
+    got = langid.identify(spark.createDataFrame([(finnish(),) for _ in range(10)], "text string"), model).collect()
+    assert sum(r.lang_pred == "fi" for r in got) >= 9
+    seen = langid.identify(docs, model).collect()
+    assert sum(r.lang_pred == r.lang for r in seen if r.lang) >= 0.97 * len(seen)
+
+
+def test_shares():
+    assert langid._shares({"a": 3, "b": 1000, "c": 1000}, 103) == {"a": 3, "b": 50, "c": 50}
+    assert langid._shares({"a": 5, "b": 7}, 100) == {"a": 5, "b": 7} and langid._shares({}, 10) == {}

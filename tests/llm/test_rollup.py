@@ -87,3 +87,21 @@ def test_counts_of_a_real_tokenizer(spark, sf_dir, tmp_path):
     table = rollup.TokenRollup(spark, str(tmp_path / "t"))
     table.commit("b1", rollup.inserts(coded, "byte_bpe_50k", F.col("n")))
     assert got(table) == want((1, "byte_bpe_50k", [(r.source, r.lang, r.n, 1) for r in coded.collect()]))
+
+
+def test_commits_do_not_need_success_marks(spark, tmp_path):
+    """Some object stores are set up without Spark's success marks; a commit has a record of its own."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        table = rollup.TokenRollup(spark, str(tmp_path / "t"))
+        df = spark.createDataFrame([("s", "en", 5)], "source string, lang string, n long")
+        table.commit("b1", rollup.inserts(df, "v", F.col("n")))
+        table.compact()
+        table.commit("b2", rollup.inserts(df, "v", F.col("n")))
+        assert [tuple(r) for r in table.totals().collect()] == [("s", "en", "v", 2, 10)]
+    finally:
+        conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+    # data without a record, as of a commit that broke off, does not count
+    (tmp_path / "t" / "batches" / "b2" / "v1" / "_committed").unlink()
+    assert [tuple(r) for r in table.totals().collect()] == [("s", "en", "v", 1, 5)]
