@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import catalog, context, impact, index, many, rank, search, traverse
+from ..operators import catalog, context, impact, index, many, rank, search, traverse, vectors
 from ..streaming import changes
 from . import drawers, ingest
 from .tables import BASE, CLOCK_NOW, LIST_ADD, SCHEDULED, cust, demo_graph, m, nation, order, part, region, supp, with_views
@@ -255,6 +255,14 @@ def _semantic(spark, sf_dir):
     return search.knn(v, v.where("id % 20 = 0").selectExpr("id as query_id", "embedding as vector"), 10)
 
 
+@register("vector_index_search", _KNN + " select query_id, id, round(d, 4) + 0.0 as distance, round(greatest(0, 1 - d), 3) as similarity, rank from r where rank < 10", views=False)
+def _vector_index(spark, sf_dir):
+    """The same answers from an inverted file, which is written first."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id as id", "embedding")
+    c = vectors.centres(v)
+    return vectors.search(rank.checkpointed(vectors.cells_of(v, c)), c, v.where("id % 20 = 0").selectExpr("id as query_id", "embedding as vector"), 10)[0]
+
+
 def _lists(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     a = c.selectExpr("c_nationkey as query_id", "cast(c_custkey as string) as key", "cast(row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) - 1 as int) as rank").where("rank < 50")

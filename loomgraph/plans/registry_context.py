@@ -10,7 +10,7 @@ from ..operators import many, catalog, context, impact, rank, search, traverse
 from ..sources import export
 from ..sources.store import Graph
 from . import delta as deltas
-from . import drawers, ingest
+from . import drawers, ingest, spring
 from .registry import C1, _at, _say, _walk, on_graph, register
 from .tables import demo_graph
 
@@ -217,6 +217,46 @@ def _context_import(spark, sf_dir):
     return drawers.from_export(export.read_full(spark, _exported(spark, sf_dir)), "shop").select("id", "document", "type", "room")
 
 
+def _spring_facts(spark, sf_dir):
+    """Facts over the tables: suppliers are services with a field or a constructor, customers controllers with mappings."""
+    g = demo_graph(spark, sf_dir)
+    supp = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("'com.shop.supply.Supplier' || s_suppkey as fqn", "s_suppkey as k", "'com.shop.geo.Nation' || s_nationkey as nation")
+    cust = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("'com.shop.crm.Customer' || c_custkey as fqn", "c_custkey as k", "c_nationkey as n", "lower(c_mktsegment) as seg")
+    note = lambda df, target, kind, ann, key=None, value=None: df.selectExpr(f"{target} as targetFqn", f"'{kind}' as targetKind", f"'{ann}' as annotationFqn", f"map('{key}', {value}) as params" if key else "cast(map() as map<string,string>) as params")
+    web = spring.MAPPING
+    notes = [
+        note(supp, "fqn", "CLASS", "org.springframework.stereotype.Service"), note(supp.where("k % 2 = 0"), "fqn || '#nation'", "FIELD", spring.AUTOWIRED),
+        note(cust, "fqn", "CLASS", web + "RestController"), note(cust, "fqn", "CLASS", web + "RequestMapping", "value", """'"/' || seg || '/"'"""),
+        note(cust.where("k % 3 = 0"), "fqn || '#order(long)'", "METHOD", web + "PostMapping", "path", """'{ "/n' || n || '", "/other" }'"""), note(cust.where("k % 3 = 1"), "fqn || '#order(long)'", "METHOD", web + "GetMapping"),
+        note(cust.where("k % 3 = 2"), "fqn || '#order(long)'", "METHOD", web + "RequestMapping", "value", "'Paths.ALL'"),
+    ]
+    fields = supp.selectExpr("fqn || '#nation' as fqn", "'nation' as name", "fqn as classFqn", "nation as type")
+    one, two = supp.where("k % 3 = 0"), supp.where("k % 3 = 1")
+    ctor = lambda df, sig: df.selectExpr(f"fqn || '#Supplier({sig})' as fqn", "fqn as classFqn", "true as isConstructor", "array(named_struct('name', 'home', 'type', nation)) as parameters")
+    methods = g["method"].selectExpr("fqn", "classFqn", "isConstructor", "cast(null as array<struct<name:string,type:string>>) as parameters")
+    methods = ingest.union_all([methods, ctor(one, "a"), ctor(two, "a"), ctor(two, "b")])
+    return spring.derived(Graph(classes=g["class"].select("fqn"), methods=methods, fields=fields, annotations=ingest.union_all(notes)))
+
+
+@register(
+    "spring_facts",
+    " select 'bean' as section, lower(substring(x, 1, 1)) || substring(x, 2) as a, fqn as b, t as c, 'singleton' as d from ("
+    "select 'Supplier' || s_suppkey as x, 'com.shop.supply.Supplier' || s_suppkey as fqn, 'SERVICE' as t from {supplier} union all select 'Customer' || c_custkey, 'com.shop.crm.Customer' || c_custkey, 'REST_CONTROLLER' from {customer})"
+    " union all select 'endpoint', '/' || lower(c_mktsegment) || case c_custkey % 3 when 0 then '/n' || c_nationkey when 1 then '/' else '/Paths.ALL' end,"
+    " case c_custkey % 3 when 0 then 'POST' when 1 then 'GET' else 'ALL' end, 'com.shop.crm.Customer' || c_custkey, 'com.shop.crm.Customer' || c_custkey || '#order(long)' from {customer} where c_custkey % 3 <> 1"
+    " union all select 'endpoint', '/' || lower(c_mktsegment), 'GET', 'com.shop.crm.Customer' || c_custkey, 'com.shop.crm.Customer' || c_custkey || '#order(long)' from {customer} where c_custkey % 3 = 1"
+    " union all select 'injection', 'com.shop.supply.Supplier' || s_suppkey, 'nation', 'com.shop.geo.Nation' || s_nationkey, 'FIELD' from {supplier} where s_suppkey % 2 = 0"
+    " union all select 'injection', 'com.shop.supply.Supplier' || s_suppkey, 'home', 'com.shop.geo.Nation' || s_nationkey, 'CONSTRUCTOR' from {supplier} where s_suppkey % 3 = 0",
+)
+def _spring(spark, sf_dir):
+    d = _spring_facts(spark, sf_dir)
+    row = lambda section, df, *cols: df.select(F.lit(section).alias("section"), *[F.col(c).alias(n) for c, n in zip(cols, "abcd")])
+    return ingest.union_all([
+        row("bean", d["beans"], "name", "classFqn", "type", "scope"), row("endpoint", d["endpoints"], "path", "httpMethod", "controllerFqn", "handlerMethodFqn"),
+        row("injection", d["injections"], "targetClassFqn", "targetFieldOrParam", "injectedClassFqn", "injectionType"),
+    ])
+
+
 @register(
     "delta_apply",
     ", gone as (select fqn from {class} where fqn like 'com.shop.supply.Supplier%5'), touched as (select fqn from {class} where fqn like 'com.shop.supply.Supplier%7')"
