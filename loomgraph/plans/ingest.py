@@ -109,5 +109,9 @@ def build(classes, methods, fields, calls, inheritance, overrides, annotations,
 
 
 def ingest_full(doc: DataFrame) -> Graph:
-    f = lambda c: facts(doc, c)
-    return build(f("classes"), f("methods"), f("fields"), f("callGraph"), f("inheritance"), f("methodOverrides"), f("annotations"), spring_tables(doc), module_tables(doc))
+    """Graph tables of a full document. Each section is parsed once and kept in the shared folder, since many tables ask for it."""
+    from ..operators.rank import checkpointed
+
+    f = lambda c: checkpointed(facts(doc, c))
+    spring = spring_rows(f("spring.beans"), f("spring.endpoints"), f("spring.injections"))
+    return build(f("classes"), f("methods"), f("fields"), f("callGraph"), f("inheritance"), f("methodOverrides"), f("annotations"), spring, module_tables(doc))

@@ -190,31 +190,58 @@ def _exported(spark, sf_dir):
     return path
 
 
-_TABLES = ("class", "method", "field", "calls", "extends", "implements", "overrides", "annotated_with", "handles", "injects", "bean", "endpoint", "module", "has_field")
-_STUBS = {"class": " + 2"}  # the library's two classes, which the demo graph names only in methods
+#: What an import must give back: table -> columns compared; rows are told apart by their table's name.
+_COMPARED = {
+    "method": ("fqn", "name", "classFqn", "returnType", "isConstructor", "filePath", "lineStart", "lineEnd", "body", "javadoc", "external"),
+    "field": ("fqn", "name", "classFqn", "type", "filePath", "lineStart"), "calls": ("src", "dst", "line"), "extends": ("src", "dst"), "implements": ("src", "dst"),
+    "overrides": ("src", "dst"), "annotated_with": ("src", "dst", "kind"), "handles": ("src", "dst"), "injects": ("src", "dst", "field", "type"), "bean": ("name", "classFqn", "scope", "type"),
+    "module": ("name", "type"), "has_field": ("src", "dst"), "annotation": ("fqn",),
+}
+_CLASS_COLUMNS = ("fqn", "name", "kind", "filePath", "lineStart", "lineEnd", "packageName")
 
 
-def _sizes(g: Graph):
-    return ingest.union_all([g[t].select(F.lit(t).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")) for t in _TABLES])
+def _lines(columns) -> str:
+    """One text for a row; a null is a word of its own."""
+    return " || '|' || ".join(f"coalesce(cast({c} as varchar(1000)), '~')" for c in columns)
 
 
-@register("ingest_full", " union all ".join(f"select '{t}' as name, (select count(*){_STUBS.get(t, '')} from {{{t}}}) as n" for t in _TABLES))
+def _contents_sql() -> str:
+    # the library's classes, which the demo graph names only in methods, become stubs; its own stubs of methods keep what only their name tells
+    stub = "select 'class' as name, fqn || '|' || s || '|EXTERNAL|~|~|~|' || p as line from (select 'java.util.List' as fqn, 'List' as s, 'java.util' as p union all select 'java.time.Clock', 'Clock', 'java.time') x"
+    parts = [f"select 'class' as name, {_lines(_CLASS_COLUMNS)} as line from {{class}}", stub]
+    known = "case when external then null else {0} end"
+    for t, columns in _COMPARED.items():
+        cols = [known.format(c) if t == "method" and c in ("returnType",) else c for c in columns]
+        parts.append(f"select distinct '{t}', {_lines(cols)} from {{{t}}}" if t != "calls" else f"select '{t}', {_lines(cols)} from {{{t}}}")
+    return " union all ".join(parts)
+
+
+@register("ingest_full", _contents_sql())
 def _ingest(spark, sf_dir):
-    return _sizes(ingest.ingest_full(export.read_full(spark, _exported(spark, sf_dir))))
+    """Every row of the tables that an import of an export gives, not their sizes only."""
+    g = ingest.ingest_full(export.read_full(spark, _exported(spark, sf_dir)))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~"))
+    each = lambda t, columns: g[t].select(F.lit(t).alias("name"), F.concat_ws("|", *[text(c) for c in columns]).alias("line"))
+    return ingest.union_all([each("class", _CLASS_COLUMNS), *[each(t, columns) for t, columns in _COMPARED.items()]])
 
 
-@register("export_json", "select src, dst, line from {calls}")
+@register("export_json", "select 'calls' as section, src as a, dst as b, line as n from {calls} union all select 'inheritance', src, dst, 0 from {extends} union all select 'inheritance', src, dst, 1 from {implements} union all select 'field', fqn, type, lineStart from {field} union all select 'bean', name, classFqn, 0 from {bean}")
 def _export(spark, sf_dir):
-    return export.facts(export.read_full(spark, _exported(spark, sf_dir)), "callGraph").selectExpr("callerFqn as src", "calleeFqn as dst", "line")
+    doc = export.read_full(spark, _exported(spark, sf_dir))
+    row = lambda section, t, a, b, n: export.facts(doc, t).select(F.lit(section).alias("section"), F.col(a).alias("a"), F.col(b).alias("b"), F.expr(n).cast("int").alias("n"))
+    return ingest.union_all([
+        row("calls", "callGraph", "callerFqn", "calleeFqn", "line"), row("inheritance", "inheritance", "childFqn", "parentFqn", "case relationType when 'EXTENDS' then 0 else 1 end"),
+        row("field", "fields", "fqn", "type", "lineStart"), row("bean", "spring.beans", "name", "classFqn", "0"),
+    ])
 
 
 # an import takes the first handler by name
 _FIRST = "(select e.id, e.path, e.httpMethod, e.controllerFqn, min(h.src) as handlerMethodFqn from {endpoint} e join {handles} h on h.dst = e.id group by all) y left join outs8"
 
 
-@register("context_import", _DRAWERS.replace("{endpoint} left join outs8", _FIRST) + " select id, document, type, room from dr")
+@register("context_import", _DRAWERS.replace("{endpoint} left join outs8", _FIRST) + " select id, document, wing, room, hall, fqn, type from dr")
 def _context_import(spark, sf_dir):
-    return drawers.from_export(export.read_full(spark, _exported(spark, sf_dir)), "shop").select("id", "document", "type", "room")
+    return drawers.from_export(export.read_full(spark, _exported(spark, sf_dir)), "shop").select("id", "document", "wing", "room", "hall", "fqn", "type")
 
 
 def _spring_facts(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -46,7 +48,10 @@ def _full(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def document(graph: Graph, shards: int = 1) -> DataFrame:
-    """The export that gives ``graph`` when imported, in shards (columns of EXPORT): stubs stay out, since import makes them again."""
+    """The export that gives ``graph`` when imported, in shards (columns of EXPORT), a row for each element of a section.
+
+    Stubs stay out, since import makes them again. Nothing is collected, so a section may have any size.
+    """
     own = lambda t: graph[t].where("external is null")
     inherits = [graph[t].select(F.col("src").alias("childFqn"), F.col("dst").alias("parentFqn"), F.lit(t.upper()).alias("relationType")) for t in ("extends", "implements")]
     bean = graph["bean"].select("name", "classFqn")
@@ -66,14 +71,20 @@ def document(graph: Graph, shards: int = 1) -> DataFrame:
         "modules": (MODULE, graph["module"]),
     }
     spring = {f.name: f.dataType.elementType.simpleString()[7:-1] for f in _schema(f"struct<{SPRING}>")}
-    rows = graph["class"].sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+    whole = _schema(EXPORT)
+    head = graph["class"].sparkSession.range(1).select(F.lit("1").alias("version"), F.lit("full").alias("exportType"))
+    parts = [head]
     for name, (kind, df) in sections.items():
         full = _full(df, kind or spring[name])
-        dealt = full.select(F.pmod(F.xxhash64(*[c for c, t in full.dtypes if t == "string"]), F.lit(shards)).cast("int").alias("shard"), F.struct(*full.columns).alias("x"))
-        rows = rows.join(dealt.groupBy("shard").agg(F.collect_list("x").alias(name)), "shard", "left")
-    rows = rows.withColumn("spring", F.struct("beans", "endpoints", "injections")).withColumn("exportType", F.lit("full")).withColumn("version", F.lit("1"))
-    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _schema(EXPORT)])
+        one = F.array(F.struct(*full.columns))
+        if name in spring:
+            empty = [one.alias(n) if n == name else F.lit(None).cast(f"array<struct<{ddl}>>").alias(n) for n, ddl in spring.items()]
+            parts.append(full.select(F.struct(*empty).alias("spring")))
+        else:
+            parts.append(full.select(one.alias(name)))
+    rows = [p.select(*[(F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in whole]) for p in parts]
+    return reduce(DataFrame.unionByName, rows).repartition(shards)
 
 
 def write_json(doc: DataFrame, path: str) -> None:
-    doc.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    doc.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
