@@ -52,18 +52,18 @@ class Engine:
     def watch(self, events: DataFrame, graph: str, exporter: Callable[[DataFrame], str | None], checkpoint: str, **how):
         """Follow a stream of file changes: ``exporter`` writes a delta export for a micro-batch's sessions and returns its path.
 
-        A micro-batch that comes a second time, after a failure, is known by its id and left out.
+        A micro-batch that comes a second time, after a failure, is known by its id, which the graph's own commit
+        carries for each checkpoint folder, and is left out.
         """
 
         def apply(sessions: DataFrame, batch: int) -> None:
-            done = self.store.read(f"{graph}.applied")
-            seen = done["batch"] if "batch" in done else self.spark.createDataFrame([], "batch long")
-            if sessions.isEmpty() or not seen.where(F.col("batch") == batch).isEmpty():
+            applied = self.buckets.manifest(graph).notes.get("applied", {})
+            # counted, not asked whether empty: a stateful batch must be read as a whole, also if it came before
+            if not sessions.count() or batch <= applied.get(checkpoint, -1):
                 return
             path = exporter(sessions)
             if path:
-                self.import_graph(path, graph)
-            self.store.write(f"{graph}.applied", Graph(batch=seen.unionByName(self.spark.createDataFrame([(batch,)], "batch long")).coalesce(1)))
+                self.import_graph(path, graph, applied=applied | {checkpoint: batch})
 
         return changes.watch(events, apply, checkpoint, **how)
 
@@ -83,6 +83,10 @@ class Engine:
     def stats(self, graph: str) -> DataFrame:
         return catalog.stats(self.graph(graph))
 
+    def lookup(self, graph: str, table: str, keys: list[str] | DataFrame) -> DataFrame:
+        """Rows of some keys, read from their buckets alone; ``calls_in`` has calls by the called method."""
+        return self.files(graph).lookup(table, keys)
+
     def sql(self, graph: str, query: str, limit: int = 100) -> DataFrame:
         """Free-form queries: Spark SQL over the graph's tables (views named like the tables) in a session of their own."""
         session = self.spark.newSession()

@@ -126,6 +126,18 @@ class GraphFiles:
             g["pagerank"] = g["ranks"].select("node", (F.col("mass") / F.lit(float(total))).alias("pagerank"))
         return g
 
+    def lookup(self, table: str, keys: list[str] | DataFrame) -> DataFrame:
+        """Rows of a table whose owner key (``OWNERS``: fqn of a node, source of an edge, and so on) is among ``keys``, a list or a column ``key``.
+
+        Only the buckets of these keys are opened, and of their files only row groups that may hold one.
+        """
+        m, column = self.store.manifest(self.graph), OWNERS[table]
+        asked = self.store.spark.createDataFrame([(k,) for k in keys], "key string") if isinstance(keys, list) else keys.select("key")
+        rows = self.store._read(self.graph, m, table, self._buckets(asked.select(owner("key").alias("o")), m))
+        if isinstance(keys, list) and len(keys) <= 100:
+            return rows.where(F.col(column).isin(*keys))  # reaches the scan
+        return rows.join(push._small(asked.distinct().withColumnRenamed("key", column)), column, "left_semi").select(*rows.columns)
+
     # --- full import ----------------------------------------------------------
     def import_full(self, doc: DataFrame, *, derive_spring: bool = False, **notes) -> int:
         """``derive_spring``: beans, endpoints and injections come from the facts, here and in later deltas, and not from the export."""

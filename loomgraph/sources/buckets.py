@@ -123,6 +123,9 @@ class BucketStore:
             if only is not None and table in only:
                 dealt = dealt.where(F.col("_bucket").isin(*only[table]) if only[table] else F.lit(False))
             out = dealt.withColumn("_version", F.lit(token)).hint("rebalance", "_bucket")
+            # sorted by key inside a file, so that the statistics of its row groups serve a lookup
+            keys = [c for c in ("fqn", "src", "dst", "target", "node", "key", "term", "id", "name") if c in df.columns and dict(df.dtypes)[c] == "string"]
+            out = out.sortWithinPartitions("_bucket", "_version", *keys[:1])
             out.write.partitionBy("_bucket", "_version").mode("append").parquet(f"{self.root}/{graph}/data/{table}")
 
         # many tables are small: their jobs run side by side

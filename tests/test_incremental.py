@@ -97,6 +97,13 @@ def test_a_small_delta_writes_little(spark, tmp_path):
     moved = {t: sum(v != before.folders[t].get(b) for b, v in f.items()) for t, f in m.folders.items()}
     assert moved["fact.methods"] == 1 and moved["fact.fields"] == 0 and moved["method"] <= 2, moved
     assert m.notes["pushed"] < 60  # of 3,000 nodes
+    # a lookup opens the file of its bucket and no other
+    whole, some = e.graph("ex")["method"], e.lookup("ex", "method", [PKG + "C7#m3()"])
+    assert len(whole.inputFiles()) > 50 and len(some.inputFiles()) == 1 and [r.name for r in some.collect()] == ["m3"]
+    assert "PushedFilters: [IsNotNull(fqn), EqualTo(fqn" in some._jdf.queryExecution().executedPlan().toString() or "In(fqn" in some._jdf.queryExecution().executedPlan().toString()
+    keys = spark.createDataFrame([(PKG + "C299#m9()",), ("no.Such#m()",)], "key string")
+    into = e.lookup("ex", "calls_in", keys)
+    assert sorted(map(str, into.collect())) == sorted(map(str, e.graph("ex")["calls"].where(F.col("dst") == PKG + "C299#m9()").collect()))
     assert {r.body for r in e.graph("ex")["method"].where(F.col("classFqn") == PKG + "C290").collect()} == {"changed"}
 
 
