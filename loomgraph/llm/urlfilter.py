@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, least_picks
+from .common import ascii_lower, least_picks, materialize, spread_join
 
 FEATURES = ("url_len", "host_len", "path_len", "depth", "labels", "digit_ratio", "entropy", "params", "hyphens", "suffix_rate")
 
@@ -174,15 +174,20 @@ def with_features(df: DataFrame, labelled: DataFrame, smooth: float = 10.0) -> t
 
     A labelled row's own label is left out of its suffix share.
     """
-    lab = lexical(labelled)
-    stats = lab.where("sure").groupBy("_suffix").agg(F.count(F.lit(1)).alias("_sn"), F.sum("blocked").alias("_sb"))
+    lab, rows = lexical(labelled), lexical(df)
+    sure = F.col("sure")
+    stats = lab.groupBy("_suffix").agg(F.count(F.lit(1)).alias("_times"), F.count(F.when(sure, True)).alias("_sn"), F.coalesce(F.sum(F.when(sure, F.col("blocked"))), F.lit(0.0)).alias("_sb"))
+    stats = materialize(stats, "suffixes")
+    asked = rows.groupBy("_suffix").agg(F.count(F.lit(1)).alias("_times")).join(stats.drop("_times"), "_suffix", "left")
+    asked = materialize(asked, "asked")
     prior = 0.5
     rate = lambda n, b: ((b + smooth * prior) / (n + smooth)).alias("suffix_rate")
     n, b = F.coalesce("_sn", F.lit(0)), F.coalesce("_sb", F.lit(0.0))
-    own = F.col("sure").cast("int")
+    own = sure.cast("int")
     drop = ("_suffix", "_sn", "_sb")
-    fit = lab.join(stats, "_suffix", "left").select("*", rate(n - own, b - own * F.col("blocked"))).drop(*drop)
-    use = lexical(df).join(stats, "_suffix", "left").select("*", rate(n, b)).drop(*drop)
+    # a suffix may make up a third of all rows: frequent ones are sent to the rows, the others meet by a shuffle
+    fit = spread_join(lab, stats, "_suffix", "_times").select("*", rate(n - own, b - own * F.col("blocked"))).drop(*drop)
+    use = spread_join(rows, asked, "_suffix", "_times").select("*", rate(n, b)).drop(*drop)
     return fit, use
 
 
