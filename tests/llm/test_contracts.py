@@ -212,7 +212,7 @@ def test_null_and_repeated_ids(spark, tmp_path):
     spark.createDataFrame([(None, "x"), (1, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(None, None)], "page_id long, url string").write.parquet(f"{d}/pages.parquet")
     for name, q in queries.queries().items():
-        if name.startswith(("op2", "op6")):
+        if name.startswith(("op2_", "op6_", "op13_")):  # these have no row for each document
             q(spark, d).collect()
         else:
             assert q(spark, d).count() == 5, name
