@@ -168,7 +168,7 @@ def _grown(leaves: DataFrame, unit: int, step: int) -> tuple[DataFrame, DataFram
     dealt = held.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
     rows = dealt.select("_h", "_leaf", "_row").rdd
     plan = spark.sparkContext.broadcast(_offsets(rows.mapPartitionsWithIndex(_counted).collect()))
-    schema = T.StructType().add("_h", "string").add("_part", "int").add("_unit", "long").add("_level", "int").add("_index", "long").add("_hash", "string")
+    schema = T.StructType().add("_h", "string").add("_part", "integer").add("_unit", "long").add("_level", "integer").add("_index", "long").add("_hash", "string")
     schema = schema.add("_row", held.schema["_row"].dataType)
     built = materialize(spark.createDataFrame(rows.mapPartitionsWithIndex(lambda k, it: _built(k, it, plan.value, unit)), schema, verifySchema=False), "built")
     sizes = materialize(held.groupBy("_h").agg(F.count(F.lit(1)).alias("_size")).withColumn("_times", F.col("_size")), "sizes")
