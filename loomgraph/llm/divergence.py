@@ -22,6 +22,7 @@ others may have any name. Sums of squares stay below 2^63 up to a billion kept t
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
@@ -91,7 +92,7 @@ def vocabulary(docs: DataFrame, min_docs: int = 3, *, chunk_bytes: int = CHUNK_B
 _built: dict[tuple, tuple] = {}
 
 
-def _automaton(key: int, chunk: bytes, lang: str):
+def _automaton(key: tuple[str, int], chunk: bytes, lang: str):
     """Automaton of one language's terms in a chunk (None if it has none), and their set; a worker holds those of one chunk."""
     import ahocorasick
 
@@ -111,7 +112,7 @@ def _automaton(key: int, chunk: bytes, lang: str):
     return _built[key, lang]
 
 
-def _recounter(key: int, shared, more: bool):
+def _recounter(key: tuple[str, int], shared, more: bool):
     """Of (lang, source, text or words already blanked): counts by (lang, source, tid), and with ``more`` the words the chunk lacks."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -157,13 +158,15 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     chunks = sorted(r[0] for r in terms.select("chunk").distinct().collect())
     schema = "lang string, source string, tid long, n long, text string"
     left, found = docs.select("lang", "source", "text"), None
+    # workers outlive a query: what they keep is named by the call and the chunk
+    call = uuid.uuid4().hex
     for chunk in chunks:
         table = terms.where(F.col("chunk") == chunk).select("lang", "term", "tid").toArrow()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as w:
             w.write_table(table)
         more = chunk != chunks[-1]
-        counted = left.mapInArrow(_recounter(chunk, spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), more), schema)
+        counted = left.mapInArrow(_recounter((call, chunk), spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), more), schema)
         if more:
             counted = materialize(counted, "counted")
             left = counted.where("tid is null").select("lang", "source", "text")

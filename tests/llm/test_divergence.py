@@ -86,3 +86,11 @@ def test_empty_and_no_vocabulary(spark):
     assert divergence.audit(spark.createDataFrame([], schema)).collect() == []
     rows = [("a b", "en", "x"), ("c", "en", "y")]
     assert sorted(map(tuple, divergence.audit(spark.createDataFrame(rows, schema)).collect())) == brute(rows) == [("en", "x", "pair", "y", 0, 1), ("en", "y", "pair", "x", 0, 1)]
+
+
+def test_workers_keep_nothing_of_another_table(spark):
+    """The same workers audit one table after another."""
+    for words in ("alpha beta", "gamma alpha delta", "beta beta"):
+        rows = [(words, "en", s) for s in ("x", "x", "x", "y")] + [(words.split()[0], "en", "z")]
+        df = spark.createDataFrame(rows, "text string, lang string, source string")
+        assert sorted(map(tuple, divergence.audit(df).collect())) == brute(rows)
