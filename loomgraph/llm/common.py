@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run inside get Arrow batches of about ``size`` bytes, unless the caller has set a size; else long texts come ten thousand at once.
+
+    A batch stands in the JVM, with up to as much again as its buffers double, and in the Python worker of each task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def spread_join(rows: DataFrame, values: DataFrame, key: str, times: str, *, share: int = 10_000) -> DataFrame:
     """Inner join of ``rows`` with ``values``, which has each key once and in ``times`` how many of the rows have it.
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_steps, materialize
+from .common import batch_bytes, byte_steps, materialize
 from .decontam import _LOWER, word_hashes
 
 #: Words sent to all tasks (24 bytes each with their values; their codes have 20 bits), tokens of one part of the table of pairs,
@@ -50,8 +50,10 @@ HOT_PAIRS = 1 << 16
 COUNT_TOKENS = 1_000_000
 BLOCK_TOKENS = 600_000
 PACK_ROWS = 200_000
-#: Bytes of text hashed at once.
+#: Bytes of text hashed at once, and of one Arrow batch; words looked up in the head at once.
 STEP = 1 << 19
+BATCH_BYTES = 1 << 22
+LOOKUP = 1 << 16
 #: Katz's k: counts above it are not discounted.
 KATZ = 5
 
@@ -161,27 +163,32 @@ class Head:
     @cached_property
     def spread(self) -> np.ndarray:
         """Over how many parts a word's pairs are dealt."""
-        return np.minimum(self.parts, 1 + self.counts * self.parts * 2 // max(self.total, 1)).astype(np.uint64)
+        return np.minimum(self.parts, 1 + self.counts * self.parts * 2 // max(self.total, 1)).astype(np.uint32)
 
     def codes(self, h: np.ndarray) -> np.ndarray:
-        """Code of each word, -1 for words outside; by open addressing, all words in step."""
-        if not len(self.hashes):
-            return np.full(len(h), -1, np.int64)
-        bits = (4 * len(self.hashes)).bit_length()
+        """Code of each word, -1 for words outside; by open addressing, some words in step."""
+        code = np.full(len(h), -1, np.int32)
+        if len(self.hashes):
+            for i in range(0, len(h), LOOKUP):
+                code[i : i + LOOKUP] = self._look_up(h[i : i + LOOKUP])
+        return code
+
+    def _look_up(self, h: np.ndarray) -> np.ndarray:
+        bits = (2 * len(self.hashes)).bit_length()
         if self.slots is None:
             self.slots = np.zeros(1 << bits, np.int32)
-            left, at = np.arange(len(self.hashes), dtype=np.int32), (self.hashes >> np.uint64(64 - bits)).astype(np.int64)
+            left, at = np.arange(len(self.hashes), dtype=np.int32), (self.hashes >> np.uint64(64 - bits)).astype(np.int32)
             while len(left):
                 free = self.slots[at] == 0
                 self.slots[at[free]] = left[free] + 1
                 lost = self.slots[at] != left + 1
                 left, at = left[lost], (at[lost] + 1) & ((1 << bits) - 1)
         at = (h >> np.uint64(64 - bits)).astype(np.int64)
-        code = self.slots[at].astype(np.int64) - 1
+        code = self.slots[at] - 1
         other = np.flatnonzero((code >= 0) & (self.hashes[code] != h))
         while len(other):
             at[other] = (at[other] + 1) & ((1 << bits) - 1)
-            code[other] = self.slots[at[other]].astype(np.int64) - 1
+            code[other] = self.slots[at[other]] - 1
             other = other[(code[other] >= 0) & (self.hashes[code[other]] != h[other])]
         return code
 
@@ -255,21 +262,25 @@ def count_pairs(texts: DataFrame, shared) -> DataFrame:
         def flush():
             head: Head = shared.value
             near, far = [], []
-            for t in held:
+            while held:
+                t = held.pop()
                 _, _, keys, other = head.pairs(t)
                 near.append(keys)
                 far.append((_before(t, other), t[other]))
-            keys = np.sort(np.concatenate(near))
+            keys = np.concatenate(near)
+            keys.sort()
+            del near, t
             first = _firsts(keys)
-            keys, n = keys[first], _lengths(first, len(keys))
+            keys, n = keys[first], _lengths(first, len(keys)).astype(np.uint32)
             a, b = (np.concatenate(x) for x in zip(*far))
+            del far
             far_keys = tail_keys(a, b)
             order = np.argsort(far_keys)
             far_keys = far_keys[order]
             first = _firsts(far_keys)
             far_n, far_keys, a, b = _lengths(first, len(far_keys)), far_keys[first], a[order[first]], b[order[first]]
             empty = _pack(np.zeros(0, np.uint64))
-            rows = [(p, _pack(keys[i]), _pack(n[i].astype(np.uint32)), empty, empty, empty) for p, i in _by_part(head.part(keys))]
+            rows = [(p, _pack(keys[i]), _pack(n[i]), empty, empty, empty) for p, i in _by_part(head.part(keys))]
             rows += [(p, empty, empty, _pack(a[i]), _pack(b[i]), _pack(far_n[i].astype(np.uint32))) for p, i in _by_part(head.part(far_keys))]
             kinds = [pa.int32(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["part", "keys", "n", "a", "b", "m"])
@@ -280,7 +291,7 @@ def count_pairs(texts: DataFrame, shared) -> DataFrame:
                 size += len(t)
                 if size > COUNT_TOKENS:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flush()
 
@@ -289,9 +300,12 @@ def count_pairs(texts: DataFrame, shared) -> DataFrame:
         column = lambda k, kind: np.concatenate([_unpack(x.as_py(), kind) for x in table.column(k)])
         keys, n = column("keys", np.uint64), column("n", np.uint32)
         order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+        keys, n = keys[order], n[order]
+        del order
         first = _firsts(keys)
-        near = (keys[first], np.add.reduceat(n[order].astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64))
+        near = (keys[first], np.add.reduceat(n, first, dtype=np.uint64) if len(first) else np.zeros(0, np.uint64))
+        near = [_pack(x) for x in near]
+        del keys, n, first
         a, b, m = column("a", np.uint64), column("b", np.uint64), column("m", np.uint32).astype(np.int64)
         keys = tail_keys(a, b)
         order = np.argsort(keys, kind="stable")
@@ -302,7 +316,7 @@ def count_pairs(texts: DataFrame, shared) -> DataFrame:
         k, head = len(first), shared.value
         code = head.codes(b)
         c2 = pa.array(np.append(head.counts, 0)[code], mask=code < 0)
-        cols = [pa.array([part] + [None] * k, pa.int32()), *(pa.array([_pack(x), *[None] * k], pa.binary()) for x in near)]
+        cols = [pa.array([part] + [None] * k, pa.int32()), *(pa.array([x, *[None] * k], pa.binary()) for x in near)]
         none = pa.nulls(1, pa.int64())
         cols += [pa.concat_arrays([none, x]) for x in (pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sums), c2)]
         return pa.table(cols, ["part", "keys", "counts", "w1", "w2", "n", "c2"])
@@ -393,9 +407,13 @@ class Model:
     def log_p1(self, c: np.ndarray) -> np.ndarray:
         return np.log10(np.maximum(_kept(c, self.d1), 1e-300) / max(self.total, 1))
 
-    def values(self, head: Head) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word of the head, as context and as token at once: in a training text, in another."""
-        return -self.log_u, self.log_a + self.log_p1(head.counts)
+    def values(self, head: Head, code: np.ndarray, train: np.ndarray) -> np.ndarray:
+        """Of words of the head, as context and as token at once: in a training text or in another."""
+        v = -self.log_u[code]
+        rest = np.flatnonzero(~train)
+        code = code[rest]
+        v[rest] = self.log_a[code] + self.log_p1(head.counts[code])
+        return v
 
     def gains(self, head: Head, keys: np.ndarray, n: np.ndarray, train: np.ndarray) -> np.ndarray:
         """Value of pairs in the head with counts n: in a training text, and over backing off in another."""
@@ -410,7 +428,7 @@ class Model:
         w1, w2 = w1.view(np.uint64), w2.view(np.uint64)
         code = head.codes(w1)
         if len(self.log_u):
-            off = np.where(code >= 0, (self.log_u + self.log_a)[code], off)
+            off = np.where(code >= 0, self.log_u[code] + self.log_a[code], off)
         v = np.log10(_kept(n, self.d2))
         return tail_keys(w1, w2), v, v - off - self.log_p1(c2), np.full(len(n), -1)
 
@@ -426,30 +444,37 @@ def asks(docs: DataFrame, shared, model) -> DataFrame:
 
         def flush():
             head, know, block = shared.value, model.value, task << 32 | blocks
-            in_train, in_other = know.values(head)
             t, of, words, train, *rids = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             n = len(words)
             c, at, keys, other = head.pairs(t)
             inside = np.flatnonzero(c >= 0)
             own, text = c[inside], of[inside]
+            del inside
             add = lambda i, v: np.bincount(i, v, n)
             known, base = add(text, None), add(text, np.log10(head.counts[own] + 1.0))
             rest = add(of, None) - known
-            s = add(text, np.where(train[text], in_train[own], in_other[own])) + np.where(train, 0, rest * know.unseen)
+            s = add(text, know.values(head, own, train[text])) + np.where(train, 0, rest * know.unseen)
+            del own, text
             # a text's number and whether it is one to learn from
-            tag = of.astype(np.uint64) << np.uint64(1) | train[of]
-            x = np.sort(keys << _TEXT | tag[at])
-            first = _firsts(x)
-            k, d, m = x[first] >> _TEXT, x[first] & np.uint64((1 << 24) - 1), _lengths(first, len(x))
-            hit, at = _find(know.hot, k)
-            s += add((d[hit] >> np.uint64(1)).astype(np.int64), m[hit] * know.gains(head, k[hit], know.hot_n[at], (d[hit] & np.uint64(1)).astype(bool)))
-            k, d, m = (np.delete(x, hit) for x in (k, d, m))
+            tag = of.astype(np.uint32) << np.uint32(1) | train[of]
+            x = keys << _TEXT | tag[at]
+            del of, keys, at
             far = np.flatnonzero(c < 0)
             fk, fd = np.concatenate([t[far] | _TAIL, tail_keys(_before(t, other), t[other])]), np.concatenate([tag[far], tag[other]])
+            del t, c, tag, far, other
+            x.sort()
+            first = _firsts(x)
+            k, d, m = x[first] >> _TEXT, (x[first] & np.uint64((1 << 24) - 1)).astype(np.uint32), _lengths(first, len(x)).astype(np.uint32)
+            del x
+            hit, at = _find(know.hot, k)
+            s += add(d[hit] >> np.uint32(1), m[hit] * know.gains(head, k[hit], know.hot_n[at], (d[hit] & np.uint32(1)).astype(bool)))
             order = np.lexsort((fd, fk))
             fk, fd = fk[order], fd[order]
+            del order
             first = _firsts(fk, fd)
-            k, d, m = np.concatenate([k, fk[first]]), np.concatenate([d, fd[first]]).astype(np.uint32), np.concatenate([m, _lengths(first, len(fk))]).astype(np.uint32)
+            k, d, m = (np.concatenate([np.delete(x, hit), y]) for x, y in ((k, fk[first]), (d, fd[first]), (m, _lengths(first, len(fk)).astype(np.uint32))))
+            del fk, fd
             first = _firsts(k)
             times = _lengths(first, len(k))
             out = [(block % head.parts, 2, block, *map(_pack, (*rids, words.astype(np.int64), s, base, known.astype(np.int64))))]
@@ -464,11 +489,11 @@ def asks(docs: DataFrame, shared, model) -> DataFrame:
             train = b.column("train").to_numpy(zero_copy_only=False).astype(bool)
             for t, of, words in tokens(b.column("text")):
                 to = row + len(words)
-                held.append((t, of + rows, words, train[row:to], *(r[row:to] for r in rids)))
+                held.append((t, (of + rows).astype(np.int32), words, train[row:to], *(r[row:to] for r in rids)))
                 row, rows, size = to, rows + len(words), size + len(t)
                 if size > BLOCK_TOKENS:
                     yield flush()
-                    blocks, held, size, rows = blocks + 1, [], 0, 0
+                    blocks, size, rows = blocks + 1, 0, 0
         if held:
             yield flush()
 
@@ -493,8 +518,10 @@ def answers(rows: DataFrame, shared, model) -> DataFrame:
                     out.append((block, *data))
                 else:
                     if table is None:
-                        table = [_sorted(near, 2), _sorted(far, 4)]
-                        near, far = [], []
+                        table = [_sorted(near, 2)]
+                        near = []
+                        table.append(_sorted(far, 4))
+                        far = []
                     k, times, d, m = _unpack(data[0], np.uint64), *(_unpack(x, np.uint32) for x in data[1:4])
                     out += _found(shared.value, model.value, table, block, k, times.astype(np.int64), d.astype(np.int64), m.astype(np.int64))
             if out:
@@ -580,17 +607,9 @@ def _by_rank(words: DataFrame, *columns: str) -> list[np.ndarray]:
     return [got.column(k).to_numpy() for k in columns]
 
 
-def score(df: DataFrame, train: Column, *, text: str = "text", head: int = HEAD, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """``df`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score. ``train``: which rows to learn from."""
-    if not 0 <= head <= HEAD:
-        raise ValueError(f"a head of up to {HEAD} words")
-    spark = df.sparkSession
-    keep = [c for c in df.columns if c != text and c not in _MADE]
-    t = F.coalesce(F.col(text), F.lit(""))
-    # two hashes of the whole row name it
-    row = F.struct(*keep) if keep else F.struct(F.lit(1).alias("_none"))
-    docs = df.select(row.alias("row"), t.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    docs = docs.select("row", "text", "train", F.xxhash64("row", "text").alias("r1"), F.xxhash64("text", F.lit("second"), "row").alias("r2"))
+def _sums(docs: DataFrame, head: int, part_tokens: int) -> tuple[DataFrame, int, int]:
+    """(r1, r2, n_words, s, base, known) of each row, written; tokens and different words of the training texts."""
+    spark = docs.sparkSession
     own = docs.where("train").select("text")
     unigrams = materialize(count_words(own), "unigrams")
     total, types = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -635,6 +654,24 @@ def score(df: DataFrame, train: Column, *, text: str = "text", head: int = HEAD,
     rows = near_pairs.unionByName(far_pair_rows).unionByName(far_word_rows).unionByName(asks(docs, shared, model))
     got = answers(rows.repartition(parts, "part").sortWithinPartitions("part", "kind", "block"), shared, model)
     sums = got.groupBy("block").applyInArrow(_gather, "r1 long, r2 long, n_words long, s double, base double, known long")
+    return materialize(sums, "sums"), total, types
+
+
+def score(df: DataFrame, train: Column, *, text: str = "text", head: int = HEAD, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """``df`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score. ``train``: which rows to learn from.
+
+    The model's jobs run within the call, with small Arrow batches; the join of its sums with the rows is left to the caller.
+    """
+    if not 0 <= head <= HEAD:
+        raise ValueError(f"a head of up to {HEAD} words")
+    keep = [c for c in df.columns if c != text and c not in _MADE]
+    t = F.coalesce(F.col(text), F.lit(""))
+    # two hashes of the whole row name it
+    row = F.struct(*keep) if keep else F.struct(F.lit(1).alias("_none"))
+    docs = df.select(row.alias("row"), t.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    docs = docs.select("row", "text", "train", F.xxhash64("row", "text").alias("r1"), F.xxhash64("text", F.lit("second"), "row").alias("r2"))
+    with batch_bytes(df.sparkSession, BATCH_BYTES):
+        sums, total, types = _sums(docs, head, part_tokens)
     # rows that are equal in all share their sums, and divide them
     same = sums.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("times"), *[F.sum(k).alias(k) for k in ("n_words", "s", "base", "known")])
     each = lambda k: F.col(k) / F.col("times")

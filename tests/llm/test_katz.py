@@ -1,8 +1,11 @@
 """The model of op9 against a direct evaluation that knows every word and every pair."""
 
 import math
+import tempfile
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import re
 
@@ -11,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomgraph.llm import katz, queries
-from loomgraph.llm.common import crc_mod
+from loomgraph.llm.common import batch_bytes, crc_mod
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -133,3 +136,54 @@ def test_frequent_pairs_and_words_are_dealt_out():
     pairs = lambda w: np.uint64(w) << np.uint64(20) | np.arange(100, dtype=np.uint64)
     assert len(np.unique(head.part(pairs(0)))) > 30 and len(np.unique(head.part(pairs(5)))) == 1
     assert (head.codes(katz._mix(np.arange(0, 120, dtype=np.uint64))) == [-1, *range(100), *[-1] * 19]).all()
+
+
+def test_texts_come_in_small_batches(spark, tmp_path, monkeypatch):
+    """Tasks get batches of a bounded size, however long the texts; the session's setting is as before afterwards."""
+    key, plain, folder = "spark.sql.execution.arrow.maxBytesPerBatch", katz.tokens, str(tmp_path)
+
+    def noted(texts):
+        with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as f:
+            f.write(str(texts.nbytes))
+        yield from plain(texts)
+
+    monkeypatch.setattr(katz, "tokens", noted)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat('some words and more ', 2500)").alias("text")).coalesce(1)
+    before = spark.conf.get(key, None)
+    assert katz.score(docs, F.lit(True)).count() == 400
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sizes) >= 3 * 400 * 50_000  # words, pairs and asks, of whole texts
+    assert max(sizes) < 2 * katz.BATCH_BYTES
+    assert spark.conf.get(key, None) == before
+
+
+def test_a_callers_batch_size_holds(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "12345")
+    try:
+        with batch_bytes(spark, 99):
+            assert spark.conf.get(key) == "12345"
+        assert spark.conf.get(key) == "12345"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_memory_of_a_block(monkeypatch):
+    """What a task holds while it packs a block of asks or an emission of pairs, a token."""
+    rng, n = np.random.default_rng(0), 1 << 16
+    texts = pa.array([" ".join(f"w{x}" for x in rng.zipf(1.2, 1000) % 200_000) for _ in range(620)])
+    hashes = np.unique(katz._mix(next(katz.token_steps(pa.array([" ".join(f"w{x}" for x in range(n))])))[0]))
+    values = rng.random(n)
+    head = SimpleNamespace(value=katz.Head(hashes, [(7, n)], 7 * n, 50))
+    model = SimpleNamespace(value=katz.Model(values, values, np.ones(6), np.ones(6), 7 * n, -7.0, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    numbers = pa.array(np.arange(len(texts)))
+    batch = pa.record_batch([numbers, numbers, pa.array(np.arange(len(texts)) % 7 != 2), texts], ["r1", "r2", "train", "text"])
+    pairs = SimpleNamespace(mapInArrow=lambda f, _: SimpleNamespace(groupBy=lambda _: SimpleNamespace(applyInArrow=lambda *_: f)))
+    asks = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda f, _: f))
+    for task, given, most in ((katz.asks(asks, head, model), batch, 100), (katz.count_pairs(pairs, head), batch.select(["text"]), 45)):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in task([given])) > 50
+        peak = tracemalloc.get_traced_memory()[1] / (1001 * len(texts))
+        tracemalloc.stop()
+        assert peak < most
