@@ -3,7 +3,8 @@ r"""Source divergence audit: how far the words of each source are from those of
 Two passes over the texts. The first counts, for each language, in how many documents a term occurs, exactly; terms of at
 least ``min_docs`` documents are the vocabulary. The second builds an Aho-Corasick automaton (pyahocorasick) of the kept
 terms, each between two blanks, and runs it over the texts with all other characters made blank: every hit is one whole
-word. Counts are summed in the tasks and become sparse postings (term, source, count).
+word. Counts are summed in the tasks and become sparse postings (term, source, count). Tasks read small batches and hand on
+what they hold by its size, so a worker's memory is its chunk's automata and a bounded rest, but for one very long text.
 
 Vocabularies of any size: terms are cut into chunks of ``CHUNK_BYTES`` by falling document frequency, and one chunk at a
 time goes to the tasks. If there are more, a pass also writes the words it did not know, joined by blanks, and the next
@@ -25,19 +26,25 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ordered_partitions
+from .common import batch_bytes, materialize, ordered_partitions
 
 #: Bytes of kept terms (with OVERHEAD each) in one automaton.
 CHUNK_BYTES = 24 << 20
 OVERHEAD = 16
 #: Counts that a task holds before it hands them on, and bytes of text after which it does so at the latest.
 HELD, HELD_BYTES = 400_000, 128 << 20
+#: Hits of an automaton (8 bytes each) before they become counts, and counts kept as arrays (16 bytes each); bytes of one Arrow batch
+#: of texts, rows of one of counts.
+HITS, SUMS = 1 << 19, 1 << 20
+BATCH_BYTES, BATCH_ROWS = 1 << 22, 1 << 16
 SCALE = 1_000_000_000
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -50,12 +57,16 @@ def blanked(text: str | None) -> bytes:
 
 
 def _doc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # workers outlive a query: a new one needs no automata of the last
+    _built.clear()
     held: dict[str, Counter] = {}
-    size = 0
+    size = terms_held = 0
 
     def flush():
         for lang, counter in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter), pa.string()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "term", "n"])
+            for part in batched(counter.items(), BATCH_ROWS):
+                terms, ns = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array(ns, pa.int64())], ["lang", "term", "n"])
 
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
@@ -63,13 +74,13 @@ def _doc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(words)
             terms = set(words.split(b" "))
             terms.discard(b"")
-            held.setdefault(lang, Counter()).update(terms)
-            if size > HELD_BYTES:
+            counter = held.setdefault(lang, Counter())
+            terms_held -= len(counter)
+            counter.update(terms)
+            terms_held += len(counter)
+            if terms_held > HELD or size > HELD_BYTES:
                 yield from flush()
-                held, size = {}, 0
-        if sum(map(len, held.values())) > HELD:
-            yield from flush()
-            held, size = {}, 0
+                held, size, terms_held = {}, 0, 0
     yield from flush()
 
 
@@ -77,7 +88,8 @@ def vocabulary(docs: DataFrame, min_docs: int = 3, *, chunk_bytes: int = CHUNK_B
     """(lang, term, tid, chunk): the terms of at least ``min_docs`` documents of their language, as a written table."""
     counts = docs.select("lang", "text").mapInArrow(_doc_counts, "lang string, term string, n long")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
-    cut = ordered_partitions(kept.withColumn("_last", -F.col("n")), "_last", "lang", "term")
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        cut = ordered_partitions(kept.withColumn("_last", -F.col("n")), "_last", "lang", "term")
     size = (F.octet_length("term") + OVERHEAD).cast("long")
     parts = cut.groupBy("_part").agg(F.sum(size).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +105,7 @@ _built: dict[tuple, tuple] = {}
 
 
 def _automaton(key: tuple[str, int], chunk: bytes, lang: str):
-    """Automaton of one language's terms in a chunk (None if it has none), and their set; a worker holds those of one chunk."""
+    """Automaton of one language's terms in a chunk (None if it has none), which finds their places, and the ids by place; a worker holds those of one chunk."""
     import ahocorasick
 
     if _built and next(iter(_built))[0] != key:
@@ -101,52 +113,83 @@ def _automaton(key: tuple[str, int], chunk: bytes, lang: str):
     if (key, lang) not in _built:
         table = pa.ipc.open_stream(chunk).read_all()
         own = table.filter(pa.compute.equal(table["lang"], lang))
-        auto = ahocorasick.Automaton()
-        words = set()
-        for term, tid in zip(own["term"].to_pylist(), own["tid"].to_pylist()):
-            word = term.encode().decode("latin-1")  # one character a byte
-            auto.add_word(f" {word} ", tid)
-            words.add(word)
+        auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        terms = (term for batch in own.to_batches(max_chunksize=BATCH_ROWS) for term in batch["term"].to_pylist())
+        for place, term in enumerate(terms):
+            auto.add_word(f" {term.encode().decode('latin-1')} ", place)  # one character a byte
         auto.make_automaton()
-        _built[key, lang] = (auto if words else None), words
+        _built[key, lang] = (auto if len(own) else None), own["tid"].to_numpy()
     return _built[key, lang]
 
 
+def _without(words: bytes, ends: np.ndarray) -> bytes:
+    """Words between blanks of which none ends before one of the blanks at ``ends``."""
+    edges = np.flatnonzero(np.diff(np.frombuffer(words, np.uint8) != 32)) + 1
+    first, last = edges[::2], edges[1::2]
+    met = np.zeros(len(words), bool)
+    met[ends] = True
+    left = np.flatnonzero(~met[last])
+    return b" ".join([words[a:b] for a, b in zip(first[left].tolist(), last[left].tolist())])
+
+
+def _added(keys: np.ndarray, n: np.ndarray, hits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ``keys`` and their counts, with what ``hits`` add; empties these."""
+    new = np.concatenate(hits) if hits else keys[:0]
+    hits.clear()
+    new, more = np.unique(new, return_counts=True)
+    at = np.searchsorted(keys, new)
+    old = np.append(keys, -1)[at] == new
+    n[at[old]] += more[old]
+    at, new, more = at[~old], new[~old], more[~old]
+    return np.insert(keys, at, new), np.insert(n, at, more)
+
+
 def _recounter(key: tuple[str, int], shared, more: bool):
     """Of (lang, source, text or words already blanked): counts by (lang, source, tid), and with ``more`` the words the chunk lacks."""
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["lang", "source", "tid", "n", "text"])
+    names = ["lang", "source", "tid", "n", "text"]
 
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], Counter] = {}
+        # a group's number and a term's place in one key
+        numbers: dict[tuple[str, str], int] = {}
+        none = np.zeros(0, np.int64)
+        keys, counts, hits, waiting = none, none, [], 0
 
         def flush():
-            for (lang, source), counter in held.items():
-                n = len(counter)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(counter), pa.int64()), pa.array(list(counter.values()), pa.int64()), pa.nulls(n, pa.string())],
-                    ["lang", "source", "tid", "n", "text"],
-                )
+            groups = list(numbers)
+            lang, source = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+            for i in range(0, len(keys), BATCH_ROWS):
+                part, n = keys[i : i + BATCH_ROWS], pa.array(counts[i : i + BATCH_ROWS])
+                group, tids = part >> 32, part & 0xFFFFFFFF
+                for g in np.unique(group).tolist():
+                    own = slice(*np.searchsorted(group, [g, g + 1]))
+                    tids[own] = _automaton(key, shared.value, groups[g][0])[1][tids[own]]
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(group)), source.take(pa.array(group)), pa.array(tids), n, pa.nulls(len(n), pa.string())], names)
 
         for batch in batches:
             groups: dict[tuple[str, str], list[bytes]] = {}
             for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), batch["text"]):
                 groups.setdefault((lang, source), []).append(blanked(text.as_py()))
             for (lang, source), texts in groups.items():
-                auto, known = _automaton(key, shared.value, lang)
-                words = b" ".join([b"", *texts, b""]).decode("latin-1")
+                auto, _ = _automaton(key, shared.value, lang)
+                words = b" ".join([b"", *texts, b""])
+                ends = none
                 if auto is not None:
-                    held.setdefault((lang, source), Counter()).update(map(_second, auto.iter(words)))
-                if more:
-                    rest = " ".join([w for w in words.split() if w not in known])
-                    if rest:
-                        yield batch_of([(lang, source, None, None, rest.encode("latin-1").decode())])
-            if sum(map(len, held.values())) > HELD:
-                yield from flush()
-                held = {}
+                    found = auto.iter(words.decode("latin-1"))
+                    if more:
+                        ends, places = np.fromiter(found, np.dtype((np.int64, 2))).reshape(-1, 2).T
+                    else:
+                        places = np.fromiter(map(_second, found), np.int64)
+                    hits.append(places | numbers.setdefault((lang, source), len(numbers)) << 32)
+                    waiting += len(places)
+                if more and (rest := _without(words, ends)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((lang, pa.string()), (source, pa.string()), (None, pa.int64()), (None, pa.int64()), (rest.decode(), pa.string()))], names)
+                if waiting > HITS:
+                    keys, counts = _added(keys, counts, hits)
+                    waiting = 0
+                if len(keys) > SUMS:
+                    yield from flush()
+                    keys, counts = none, none
+        keys, counts = _added(keys, counts, hits)
         yield from flush()
 
     return recount
@@ -168,13 +211,15 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
         more = chunk != chunks[-1]
         counted = left.mapInArrow(_recounter((call, chunk), spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), more), schema)
         if more:
-            counted = materialize(counted, "counted")
+            with batch_bytes(spark, BATCH_BYTES):
+                counted = materialize(counted, "counted")
             left = counted.where("tid is null").select("lang", "source", "text")
         part = counted.where("tid is not null").select("lang", "source", "tid", "n")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "lang string, source string, tid long, n long")
-    return materialize(found.groupBy("lang", "source", "tid").agg(F.sum("n").alias("n")), "postings")
+    with batch_bytes(spark, BATCH_BYTES):
+        return materialize(found.groupBy("lang", "source", "tid").agg(F.sum("n").alias("n")), "postings")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
