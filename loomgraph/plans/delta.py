@@ -58,9 +58,12 @@ def apply_delta(old: Graph, delta: DataFrame) -> Graph:
 
 def apply_change(old: Graph, change: Change) -> Graph:
     """New fact tables: for every deleted or upserted class all it owns goes, then the upserted rows come in."""
-    out = Graph()
+    from ..operators.rank import checkpointed
+    from ..operators.traverse import sent
+
+    out, touched = Graph(), sent(checkpointed(change.touched))
     for name, key in FACTS.items():
-        rows = old[name].withColumn("owner", ids.class_of(F.col(key))).join(change.touched, "owner", "left_anti").drop("owner")
+        rows = old[name].withColumn("owner", ids.class_of(F.col(key))).join(touched, "owner", "left_anti").drop("owner")
         if change.members is not None:
             rows = rows.join(change.members.withColumnRenamed("member", key), key, "left_anti")
         rows, fresh = rows.select(*old[name].columns), change.up.get(name)
