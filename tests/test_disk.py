@@ -48,3 +48,14 @@ def test_shards_are_packed_and_parsed_once(spark, tmp_path):
     assert all(f.endswith(".parquet") for f in again.inputFiles())
     calls = ingest.ingest_full(again)["calls"]
     assert sorted(calls.collect()) == sorted(many.collect())
+
+
+def test_endpoint_documents_move_the_calls_of_handlers(spark, tmp_path):
+    """All calls were put in order for a few endpoints."""
+    from loomgraph.plans import drawers
+
+    g = deltas.graph_of(deltas.fact_tables(export.read_full(spark, save(document(), tmp_path / "full.json"))))
+    docs = drawers.endpoint_docs(g)
+    assert {r.id: r.document for r in docs.collect()}["PUT:/orders"] == "PUT /orders | OrderCtl#put | calls: OrderSvc.place"
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("Window") < plan.index("LeftSemi")
